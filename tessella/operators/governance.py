@@ -7,6 +7,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessella.config import DEFAULT, EngineConfig
 from tessella.functions import words as W
@@ -110,7 +111,7 @@ def model_provenance(dossiers: DataFrame, nodes: DataFrame) -> DataFrame:
     return skew_join(links, known, ["source_id"], "inner", ["id"])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def side_by_side(source: pd.Series, proposed: pd.Series) -> pd.Series:
     """Unified diff of two texts, first 2000 characters."""
     return pd.Series(

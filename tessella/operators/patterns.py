@@ -6,6 +6,7 @@ import ast
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessella import schemas
 from tessella.config import DEFAULT, EngineConfig, PatternConfig
@@ -36,6 +37,7 @@ def extract_phrases(texts: DataFrame, min_words: int = 10) -> DataFrame:
         W.phrase_name(F.col("phrase")).alias("name"),
         F.col("phrase").alias("content"),
         "context",
+        F.lit("phrase").alias("tag"),
         F.sha2("phrase", 256).alias("hash"),
         "seq",
         "pos",
@@ -77,7 +79,12 @@ def python_patterns(code: str) -> list[tuple[str, str, str, str]]:
     return found["definition"] + found["constant"] + found["library"]
 
 
-@F.udf("array<struct<type:string,name:string,content:string,tag:string>>")
+PATTERN_ROWS = T.ArrayType(
+    T.StructType([T.StructField(n, T.StringType()) for n in ("type", "name", "content", "tag")])
+)
+
+
+@F.udf(PATTERN_ROWS)
 def _python_patterns(code):
     return python_patterns(code) if code else []
 
@@ -91,6 +98,7 @@ def extract_code(texts: DataFrame) -> DataFrame:
         "p.name",
         "p.content",
         "context",
+        "p.tag",
         F.sha2(F.col("p.content"), 256).alias("hash"),
         "seq",
         "pos",
@@ -238,12 +246,10 @@ def _checksum_matches(patterns: DataFrame, fragments: DataFrame) -> DataFrame:
 
 def to_fragments(patterns: DataFrame) -> DataFrame:
     """Pattern rows as fragments with pattern-scan provenance."""
-    tag = (
-        F.when(F.col("type") == "phrase", F.lit("phrase"))
-        .when(F.col("type") == "constant", F.lit("constant"))
-        .when(F.col("type") == "library", F.lit("import"))
+    tags = F.filter(
+        F.array(F.nullif("context", F.lit("")), F.nullif("tag", F.lit(""))),
+        lambda t: t.isNotNull(),
     )
-    tags = F.filter(F.array(F.nullif("context", F.lit("")), tag), lambda t: t.isNotNull())
     evaluation = F.struct(
         F.lit(None).cast("timestamp").alias("timestamp"),
         # fixed value: model name stored with mined patterns
