@@ -21,6 +21,11 @@ def strings(values) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
+def bind(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, also inside lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def words(text: Column) -> Column:
     return F.filter(F.split(text, BLANK), lambda w: w != "")
 
@@ -74,7 +79,10 @@ def _long_query_aspects(query: Column, toks: Column) -> Column:
 
 def aspects(query: Column, min_aspects: int = 2) -> Column:
     """Ordered aspects of a query; short queries fall back to their halves."""
-    toks = lower_words(query)
+    return bind(lower_words(query), lambda toks: _aspects(query, toks, min_aspects))
+
+
+def _aspects(query: Column, toks: Column, min_aspects: int) -> Column:
     singles = F.filter(toks, lambda t: F.length(t) > 2)
     short = F.concat(singles, _bigrams(toks))
     half = F.floor(F.length(query) / 2).cast("int")
@@ -113,30 +121,36 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def vagueness(text: Column) -> Column:
-    distinct = word_set(text)
-    hedges = F.size(F.array_intersect(distinct, strings(lx.HEDGES)))
-    return F.when(
-        F.size(distinct) > 0, F.least(hedges / F.size(distinct) * 5.0, F.lit(1.0))
-    ).otherwise(F.lit(0.0))
+    def score(distinct: Column) -> Column:
+        hedges = F.size(F.array_intersect(distinct, strings(lx.HEDGES)))
+        return F.when(
+            F.size(distinct) > 0, F.least(hedges / F.size(distinct) * 5.0, F.lit(1.0))
+        ).otherwise(F.lit(0.0))
+
+    return bind(word_set(text), score)
 
 
 def negation_share(text: Column) -> Column:
-    toks = lower_words(text)
-    negative = F.size(F.filter(toks, lambda w: w.isin(list(lx.NEGATIONS))))
-    return F.when(
-        F.size(toks) > 0, F.least(negative / F.size(toks) * 3.0, F.lit(1.0))
-    ).otherwise(F.lit(0.0))
+    def score(toks: Column) -> Column:
+        negative = F.size(F.filter(toks, lambda w: w.isin(list(lx.NEGATIONS))))
+        return F.when(
+            F.size(toks) > 0, F.least(negative / F.size(toks) * 3.0, F.lit(1.0))
+        ).otherwise(F.lit(0.0))
+
+    return bind(lower_words(text), score)
 
 
 def antonym_sides(word_array: Column, side: int) -> Column:
     """Indexes of the antonym pairs whose left (0) or right (1) word occurs."""
     sides = strings([pair[side] for pair in lx.ANTONYMS])
-    return F.filter(
-        F.transform(
-            sides, lambda w, i: F.when(F.array_contains(word_array, w), i)
-        ),
-        lambda i: i.isNotNull(),
-    )
+
+    def indexes(ws: Column) -> Column:
+        return F.filter(
+            F.transform(sides, lambda w, i: F.when(F.array_contains(ws, w), i)),
+            lambda i: i.isNotNull(),
+        )
+
+    return bind(word_array, indexes)
 
 
 def antonym_score(left_a: Column, right_a: Column, left_b: Column, right_b: Column) -> Column:
@@ -148,23 +162,36 @@ def antonym_score(left_a: Column, right_a: Column, left_b: Column, right_b: Colu
 
 
 def text_antonym_score(a: Column, b: Column) -> Column:
-    wa, wb = word_set(a), word_set(b)
-    return antonym_score(
-        antonym_sides(wa, 0), antonym_sides(wa, 1), antonym_sides(wb, 0), antonym_sides(wb, 1)
+    def sides(text: Column) -> Column:
+        return bind(
+            word_set(text),
+            lambda ws: F.struct(antonym_sides(ws, 0).alias("left"), antonym_sides(ws, 1).alias("right")),
+        )
+
+    return bind(
+        F.struct(sides(a).alias("a"), sides(b).alias("b")),
+        lambda s: antonym_score(s["a"]["left"], s["a"]["right"], s["b"]["left"], s["b"]["right"]),
     )
 
 
 def overlap_excerpt(a: Column, b: Column, limit: int = 100) -> Column:
     """Words of ``a`` that also occur in ``b``, cut to ``limit`` characters."""
-    wb = words(b)
-    shared = F.filter(words(a), lambda w: F.array_contains(wb, w))
-    joined = F.aggregate(
+    shared = bind(words(b), lambda wb: F.filter(words(a), lambda w: F.array_contains(wb, w)))
+    return bind(_join_upto(shared, limit), lambda joined: _cut_excerpt(joined, limit))
+
+
+def _join_upto(shared: Column, limit: int) -> Column:
+    """Words joined by blanks until the text is longer than ``limit``."""
+    return F.aggregate(
         shared,
         F.lit(""),
         lambda acc, w: F.when(F.length(acc) > limit, acc)
         .when(acc == "", w)
         .otherwise(F.concat_ws(" ", acc, w)),
     )
+
+
+def _cut_excerpt(joined: Column, limit: int) -> Column:
     cut = F.when(
         F.length(joined) > limit, F.concat(F.substring(joined, 1, limit), F.lit("..."))
     ).otherwise(joined)
@@ -200,20 +227,20 @@ def phrases(text: Column, min_words: int = 10, max_words: int = 50) -> Column:
     stop = list(lx.PHRASE_STOPWORDS)
 
     def useful(sentence: Column) -> Column:
-        ws = words(sentence)
-        content = F.filter(ws, lambda w: ~F.lower(w).isin(stop))
-        return F.size(ws).between(min_words, max_words) & (F.size(content) >= 3)
+        return bind(words(sentence), lambda ws: F.size(ws).between(min_words, max_words)
+                    & (F.size(F.filter(ws, lambda w: ~F.lower(w).isin(stop))) >= 3))
 
     return F.filter(sentences, useful)
 
 
 def phrase_name(phrase: Column) -> Column:
-    ws = words(phrase)
-    name = F.concat(
-        F.array_join(F.slice(ws, 1, 5), " "),
-        F.when(F.size(ws) > 5, F.lit("...")).otherwise(F.lit("")),
-    )
-    return F.substring(name, 1, 60)
+    def name(ws: Column) -> Column:
+        return F.concat(
+            F.array_join(F.slice(ws, 1, 5), " "),
+            F.when(F.size(ws) > 5, F.lit("...")).otherwise(F.lit("")),
+        )
+
+    return F.substring(bind(words(phrase), name), 1, 60)
 
 
 LINE_BREAK = "\r\n|[\n\r\u000b\u000c\u001c\u001d\u001e\u0085  ]"
@@ -221,10 +248,12 @@ LINE_BREAK = "\r\n|[\n\r\u000b\u000c\u001c\u001d\u001e\u0085  ]"
 
 def lines(text: Column) -> Column:
     """Lines of a text; a trailing break opens no further line."""
-    parts = F.split(text, LINE_BREAK)
-    return F.when(text == "", F.array().cast("array<string>")).when(
-        F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)
-    ).otherwise(parts)
+    def trimmed(parts: Column) -> Column:
+        return F.when(text == "", F.array().cast("array<string>")).when(
+            F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)
+        ).otherwise(parts)
+
+    return bind(F.split(text, LINE_BREAK), trimmed)
 
 
 def line_changes(new: Column, old: Column, limit: int = 50) -> Column:
@@ -291,5 +320,5 @@ def percent(share: Column) -> Column:
 
 
 def fixed(value: Column, digits: int) -> Column:
-    """Number with a fixed count of decimals."""
-    return F.format_string(f"%.{digits}f", value)
+    """Number with a fixed count of decimals, halves to even."""
+    return F.format_string(f"%.{digits}f", F.bround(value, digits))

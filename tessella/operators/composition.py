@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tessella.config import DEFAULT, CompositionConfig
 from tessella.functions import words as W
-from tessella.scale import small_side, top_per_group
+from tessella.scale import cut, top_per_group
 
 
 def frequent_words(texts: DataFrame, key: str, text: str, limit: int) -> DataFrame:
@@ -140,11 +140,14 @@ def find_contradictions(
 
 
 def find_gaps(scanned: DataFrame, fragments: DataFrame) -> DataFrame:
-    """Add ``query_aspects`` and ``gaps``: aspects that no candidate covers."""
+    """Add ``query_aspects`` and ``gaps``: aspects that no candidate covers.
+
+    ``scanned`` is read twice here; pass a materialised one (see :func:`compose`).
+    """
     used = scanned.select(
         "qid", F.explode(F.transform("certified", lambda c: c["id"])).alias("id")
     )
-    picked = fragments.join(small_side(used.select("id").distinct()), "id", "left_semi")
+    picked = fragments.join(used.select("id").distinct(), "id", "left_semi")
     links = (
         connectors(picked)
         .withColumn(
@@ -185,7 +188,7 @@ def compose(
     scanned: DataFrame, fragments: DataFrame, config: CompositionConfig = DEFAULT.composition
 ) -> DataFrame:
     """Composition verdict per query over its certified candidates."""
-    checked = with_word_sets(find_gaps(scanned, fragments))
+    checked = with_word_sets(find_gaps(cut(scanned), fragments))
     checked = checked.withColumn("overlaps", find_overlaps(F.col("members"), config)).withColumn(
         "contradictions", find_contradictions(F.col("members"), config)
     )

@@ -21,9 +21,10 @@ def known_edges(nodes: DataFrame) -> DataFrame:
         F.posexplode("parents").alias("pos", "parent"),
     )
     parents = nodes.select(F.col("fragment_id").alias("parent"), F.col("seq").alias("parent_seq"))
-    return skew_join(links, parents, ["parent"], "inner", ["child", "pos"]).where(
-        F.col("parent_seq") < F.col("child_seq")
-    ).select("parent", "child", "pos")
+    joined = skew_join(links, parents, ["parent"], "inner", ["child", "pos"])
+    return cut(
+        joined.where(F.col("parent_seq") < F.col("child_seq")).select("parent", "child", "pos")
+    )
 
 
 def roots(nodes: DataFrame) -> DataFrame:
@@ -48,7 +49,10 @@ def peel(ids: DataFrame, edges: DataFrame, max_rounds: int | None = None):
     layer = cut(ids.select("fragment_id").join(blocked, "fragment_id", "left_anti"))
     done, depth = layer.withColumn("depth", F.lit(0)), 0
     while max_rounds is None or depth < max_rounds:
-        marks = small_side(layer.select(F.col("fragment_id").alias("parent")))
+        size = layer.count()
+        if size == 0:
+            break
+        marks = small_side(layer.select(F.col("fragment_id").alias("parent")), size)
         freed = open_edges.join(marks, "parent", "left_semi").select("child").distinct()
         rest = cut(open_edges.join(marks, "parent", "left_anti"))
         layer = cut(
@@ -57,8 +61,6 @@ def peel(ids: DataFrame, edges: DataFrame, max_rounds: int | None = None):
             )
         )
         open_edges = rest
-        if layer.isEmpty():
-            break
         depth += 1
         done = done.unionByName(layer.withColumn("depth", F.lit(depth)))
     return done, open_edges
@@ -89,14 +91,15 @@ def _walk(starts: DataFrame, steps: DataFrame, max_depth: int | None) -> DataFra
     reached = frontier.withColumn("distance", F.lit(0))
     distance = 0
     while max_depth is None or distance < max_depth:
+        size = frontier.count()
+        if size == 0:
+            break
         moved = (
-            steps.join(small_side(frontier), steps["src"] == frontier["fragment_id"])
+            steps.join(small_side(frontier, size), steps["src"] == frontier["fragment_id"])
             .select("start", F.col("dst").alias("fragment_id"))
             .distinct()
         )
         frontier = cut(moved.join(reached, ["start", "fragment_id"], "left_anti"))
-        if frontier.isEmpty():
-            break
         distance += 1
         reached = reached.unionByName(frontier.withColumn("distance", F.lit(distance)))
     return reached

@@ -9,7 +9,7 @@ from tessella.config import DEFAULT, RetrievalConfig
 from tessella.functions import words as W
 from tessella.operators.keyword import bm25
 from tessella.operators.vectors import nearest
-from tessella.scale import small_side, top_per_group
+from tessella.scale import BROADCAST_ROWS, skew_join, top_per_group
 
 
 def min_max(hits: DataFrame, keys: list[str]) -> DataFrame:
@@ -56,17 +56,21 @@ def retrieve(
     return fuse(keyword_hits, vector_hits, k, config)
 
 
-def attach(hits: DataFrame, fragments: DataFrame, columns: list[str]) -> DataFrame:
-    """Fetch fragment columns for a hit list."""
-    return fragments.select("id", *columns).join(small_side(hits), "id")
+def attach(hits: DataFrame, fragments: DataFrame, columns: list[str], bound: int) -> DataFrame:
+    """Fetch fragment columns for a hit list of at most ``bound`` rows."""
+    if bound <= BROADCAST_ROWS:
+        return fragments.select("id", *columns).join(F.broadcast(hits), "id")
+    return skew_join(hits, fragments.select("id", *columns), ["id"], "inner", ["qid"])
 
 
-def compose_answers(hits: DataFrame, fragments: DataFrame, queries: DataFrame) -> DataFrame:
+def compose_answers(
+    hits: DataFrame, fragments: DataFrame, queries: DataFrame, k: int = DEFAULT.retrieval.top_k
+) -> DataFrame:
     """Answer text per query: hits by quality, ties in retrieval order.
 
     A query gathers at most its top-k rows, so the ordered list stays short.
     """
-    rows = attach(hits, fragments, ["content", "topic", "quality"])
+    rows = attach(hits, fragments, ["content", "topic", "quality"], queries.count() * k)
     ordered = F.array_sort(
         F.collect_list(
             F.struct(

@@ -9,7 +9,7 @@ from tessella.config import DEFAULT, GateConfig, IntakeConfig
 from tessella.functions import words as W
 from tessella.operators.gate import is_certified
 from tessella.operators.vectors import nearest
-from tessella.scale import small_side, top_per_group
+from tessella.scale import BROADCAST_ROWS, is_small, skew_join, small_side, top_per_group
 
 
 def word_similarities(fragments: DataFrame, queries: DataFrame) -> DataFrame:
@@ -80,8 +80,16 @@ def aspect_hit(aspect: Column, row: Column) -> Column:
     )
 
 
+def attach_details(details: DataFrame, picked: DataFrame, bound: int) -> DataFrame:
+    """Join picked rows (at most ``bound``) with their details."""
+    if bound <= BROADCAST_ROWS:
+        return details.join(F.broadcast(picked), "id")
+    return skew_join(picked, details, ["id"], "inner", ["qid"])
+
+
 def gather(
-    picked: DataFrame, fragments: DataFrame, queries: DataFrame, gate: GateConfig = DEFAULT.gate
+    picked: DataFrame, fragments: DataFrame, queries: DataFrame, k: int,
+    gate: GateConfig = DEFAULT.gate,
 ) -> DataFrame:
     """One row per query with its certified candidates in rank order.
 
@@ -99,11 +107,12 @@ def gather(
         F.lower("topic").alias("topic_lc"),
         F.transform("tags", F.lower).alias("tags_lc"),
     )
+    bound = queries.count() * k
     row = F.struct(
         "rank", "id", "sim", "quality", "topic", "tags", "content", "content_lc", "topic_lc", "tags_lc"
     )
     lists = (
-        details.join(small_side(picked), "id")
+        attach_details(details, picked, bound)
         .groupBy("qid")
         .agg(F.array_sort(F.collect_list(row)).alias("certified"))
     )
@@ -124,8 +133,9 @@ def scan(
     query_vectors: DataFrame | None = None,
 ) -> DataFrame:
     """Candidates are cut to ``k`` first and filtered by certification second."""
-    picked = candidates(fragments, queries, k or config.top_k, config, vectors, query_vectors)
-    gathered = gather(picked, fragments, queries, gate)
+    k = k or config.top_k
+    picked = candidates(fragments, queries, k, config, vectors, query_vectors)
+    gathered = gather(picked, fragments, queries, k, gate)
     return (
         gathered.withColumn("aspects", W.aspects(F.col("text"), config.min_aspects))
         .withColumn(
@@ -156,7 +166,9 @@ def certified_count(
         is_certified(F.col("quality"), F.col("provenance.final_source"))
     ).select("id")
     counted = (
-        sure.join(small_side(picked), "id").groupBy("qid").agg(F.count(F.lit(1)).alias("n"))
+        attach_details(sure, picked, queries.count() * config.count_cap)
+        .groupBy("qid")
+        .agg(F.count(F.lit(1)).alias("n"))
     )
     return queries.join(counted, "qid", "left").select(
         "qid", F.coalesce("n", F.lit(0)).alias("n")
@@ -199,8 +211,6 @@ def find_substrings(texts: DataFrame, needles: DataFrame) -> DataFrame:
     The needle set travels with the tasks while a count proves it small;
     otherwise it is spread over blocks and every block sees the texts.
     """
-    from tessella.scale import is_small
-
     def search(wanted, batches):
         import ahocorasick
         import pandas as pd

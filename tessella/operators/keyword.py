@@ -45,11 +45,10 @@ def search_index(
 ) -> DataFrame:
     """BM25 over a persisted index."""
     terms = query_terms(queries)
-    matched = spark.read.parquet(f"{path}/postings").join(
-        small_side(terms.select("term").distinct()), "term", "left_semi"
-    )
+    wanted, _ = _wanted(terms)
+    matched = spark.read.parquet(f"{path}/postings").join(wanted, "term", "left_semi")
     stats = spark.read.parquet(f"{path}/doc_stats")
-    return _rank(_score(terms, matched, stats, config), k)
+    return _rank(_score(terms, None, matched, stats, config), k)
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -74,13 +73,21 @@ def bm25(
     before the shuffle.
     """
     terms = query_terms(queries)
-    wanted = small_side(terms.select("term").distinct())
+    wanted, n_terms = _wanted(terms)
     matched = _count_terms(
         _tokenised(fragments, by_shelf)
         .withColumn("term", F.explode("toks"))
         .join(wanted, "term", "left_semi")
     )
-    return _rank(_score(terms, matched, build_doc_stats(fragments, by_shelf), config), k)
+    # without shelves every query term has one weight, so the count bounds the side
+    bound = None if by_shelf else n_terms
+    return _rank(_score(terms, bound, matched, build_doc_stats(fragments, by_shelf), config), k)
+
+
+def _wanted(terms: DataFrame) -> tuple[DataFrame, int]:
+    """Distinct query terms, marked small if they are, and the (qid, term) row count."""
+    n = terms.count()
+    return small_side(terms.select("term").distinct(), n), n
 
 
 def _shelf(by_shelf: bool):
@@ -100,7 +107,7 @@ def _count_terms(exploded: DataFrame) -> DataFrame:
 
 
 def _score(
-    terms: DataFrame, matched: DataFrame, stats: DataFrame, config: RetrievalConfig
+    terms: DataFrame, bound: int | None, matched: DataFrame, stats: DataFrame, config: RetrievalConfig
 ) -> DataFrame:
     k1, b = config.k1, config.b
     weights = (
@@ -124,7 +131,7 @@ def _score(
         / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     )
     return (
-        matched.join(small_side(weighted), ["shelf", "term"])
+        matched.join(weighted if bound is None else small_side(weighted, bound), ["shelf", "term"])
         .groupBy("qid", "shelf", "id", "seq")
         .agg(F.sum(F.col("w") * saturation).alias("score"))
     )

@@ -13,6 +13,7 @@ from tessella.config import DEFAULT, EngineConfig, PatternConfig
 from tessella.functions import words as W
 from tessella.operators.gate import guard, is_certified
 from tessella.scale import (
+    cut,
     running_position,
     skew_join,
     small_side,
@@ -213,17 +214,21 @@ def candidates(
         .where(F.col("_n") >= base_threshold(F.col("type"), config.patterns))
         .select("key")
     )
-    held = keyed.join(small_side(frequent), "key", "left_semi")
+    held = cut(keyed.join(small_side(cut(frequent)), "key", "left_semi"))
     numbered = running_position(held, ["key"], OCCURRENCE, "occurrence")
-    due = numbered.where(F.col("occurrence") >= base_threshold(F.col("type"), config.patterns))
-    distinct = due.groupBy("key").agg(
-        F.min_by("content", F.struct(*OCCURRENCE)).alias("content"),
-        F.first("hash").alias("hash"),
+    due = cut(
+        numbered.where(F.col("occurrence") >= base_threshold(F.col("type"), config.patterns))
+    )
+    distinct = cut(
+        due.groupBy("key").agg(
+            F.min_by("content", F.struct(*OCCURRENCE)).alias("content"),
+            F.first("hash").alias("hash"),
+        )
     )
     known = similar_stored(distinct, fragments, config).unionByName(
         _checksum_matches(distinct, fragments)
     )
-    return due.join(small_side(known.distinct()), "key", "left_anti")
+    return due.join(known.distinct(), "key", "left_anti")
 
 
 def _checksum_matches(patterns: DataFrame, fragments: DataFrame) -> DataFrame:

@@ -478,7 +478,7 @@ ORACLES: dict[str, str] = {
     "certified_exists": f"""WITH {FRAG}, {QUERIES}, {ASPECTS}, ua AS (SELECT DISTINCT lower(unnest(aspects)) AS a FROM asp),
  hay AS (SELECT lower(content) AS c, lower(topic) AS t, list_transform(tags, lambda t: lower(t)) AS g FROM frag2 WHERE sure),
  fa AS (SELECT a FROM ua WHERE EXISTS (SELECT 1 FROM hay WHERE contains(c, ua.a) OR contains(t, ua.a) OR len(list_filter(g, lambda x: contains(x, ua.a))) > 0))
- SELECT qid, len(list_filter(aspects, lambda a: lower(a) IN (SELECT a FROM fa))) > 0 AS found FROM asp""",
+ SELECT p.qid, bool_or(fa.a IS NOT NULL) AS found FROM (SELECT qid, lower(unnest(aspects)) AS a FROM asp) p LEFT JOIN fa ON fa.a = p.a GROUP BY p.qid""",
     "certified_count": f"WITH {intake_ctes(100)} SELECT qid, n_cert AS n FROM scanned",
     "dispatch_route": f"""WITH {intake_ctes(20)}, {ROUTED}
  SELECT qid, path, CASE path WHEN 'generate' THEN 0.0 ELSE round(ratio, 6) END AS coverage, CASE path WHEN 'generate' THEN 0.0 ELSE round(cc, 4) END AS compose_cost,
@@ -525,8 +525,8 @@ ORACLES: dict[str, str] = {
     "appeal_metrics": f"WITH {FRAG}, {APPEALS}, {LINKS}, {MEASURED} SELECT id, delta_token, round(coverage, 6) AS coverage, round(risk, 6) AS risk, round(agg, 6) AS aggregate_score FROM measured",
     "appeal_diff": f"""WITH {FRAG}, {APPEALS}, {LINKS}, {MEASURED}, {DIFF},
  ix AS (SELECT id, source_id, content, row_number() OVER (PARTITION BY id ORDER BY pos) - 1 AS i FROM cited),
- seen AS (SELECT x.id, i, max(i) OVER (PARTITION BY x.id, x.source_id) AS place, instr(lower(a.proposed_content), lower({strip('x.content')})) AS at, {strip('x.content')} <> '' AS real FROM ix x JOIN app a ON a.id = x.id),
- ord AS (SELECT id, place, row_number() OVER (PARTITION BY id ORDER BY at, i) - 1 AS rk, count(*) OVER (PARTITION BY id) AS n FROM seen WHERE real AND at > 0),
+ seen AS (SELECT x.id, i, max(i) OVER (PARTITION BY x.id, x.source_id) AS place, instr(lower(a.proposed_content), lower({strip('x.content')})) AS loc, {strip('x.content')} <> '' AS real FROM ix x JOIN app a ON a.id = x.id),
+ ord AS (SELECT id, place, row_number() OVER (PARTITION BY id ORDER BY loc, i) - 1 AS rk, count(*) OVER (PARTITION BY id) AS n FROM seen WHERE real AND loc > 0),
  re AS (SELECT id, string_agg(rk::VARCHAR, '|' ORDER BY rk) AS reordered FROM ord WHERE n >= 2 AND place <> rk GROUP BY id)
  SELECT d.id, len(added) AS n_added, len(removed) AS n_removed, md5(array_to_string(added, '|')) AS added, len(modified) AS n_modified,
   md5(array_to_string(list_transform(modified, lambda m: m.n || ':' || m.o || ':' || m.w), '|')) AS modified, coalesce(re.reordered, '') AS reordered FROM diffed d LEFT JOIN re ON re.id = d.id""",
@@ -623,9 +623,9 @@ ORACLES: dict[str, str] = {
    'Quarantine has ' || total || ' fragments (' || CASE WHEN total >= 100 THEN '>100x threshold)' ELSE 'exceeds threshold of 50)' END AS message FROM qs WHERE total >= 50
   UNION ALL SELECT 2, 'warning', 'pending_notifications', pending, pending || ' fragment(s) in quarantine >24h without admin review' FROM qs WHERE pending > 0)
  SELECT severity, metric, value, message FROM a UNION ALL SELECT 'ok', 'quarantine_size', total, 'Quarantine is healthy' FROM qs WHERE NOT EXISTS (SELECT 1 FROM a)""",
-    "quarantine_fold": """WITH log AS (SELECT 'U-' || user_id AS fragment_id, CASE event_type WHEN 'error' THEN 'quarantine' WHEN 'view' THEN 'notify' WHEN 'click' THEN 'resolve' WHEN 'purchase' THEN (CASE WHEN value > 60 THEN 'release' END) END AS action, ts AS at, event_id AS seq, event_type AS reason FROM events),
+    "quarantine_fold": """WITH log AS (SELECT 'U-' || user_id AS fragment_id, CASE event_type WHEN 'error' THEN 'quarantine' WHEN 'view' THEN 'notify' WHEN 'click' THEN 'resolve' WHEN 'purchase' THEN (CASE WHEN value > 60 THEN 'release' END) END AS action, ts AS t, event_id AS seq, event_type AS reason FROM events),
  c AS (SELECT fragment_id, coalesce(max(seq) FILTER (action = 'release'), -1) AS cut FROM log WHERE action IS NOT NULL GROUP BY ALL),
- s AS (SELECT l.fragment_id, arg_min(at, seq) FILTER (action = 'quarantine') AS q, arg_min(at, seq) FILTER (action = 'notify') AS n, coalesce(bool_or(action = 'resolve'), false) AS resolved, coalesce(arg_max(reason, seq) FILTER (action = 'resolve'), '') AS resolution
+ s AS (SELECT l.fragment_id, arg_min(t, seq) FILTER (action = 'quarantine') AS q, arg_min(t, seq) FILTER (action = 'notify') AS n, coalesce(bool_or(action = 'resolve'), false) AS resolved, coalesce(arg_max(reason, seq) FILTER (action = 'resolve'), '') AS resolution
   FROM log l JOIN c ON c.fragment_id = l.fragment_id WHERE l.action IS NOT NULL AND l.seq > c.cut GROUP BY l.fragment_id)
  SELECT fragment_id, strftime(q, '%Y-%m-%d %H:%M:%S.%f') AS quarantined_at, strftime(n, '%Y-%m-%d %H:%M:%S.%f') AS notified_at, resolved, resolution FROM s WHERE q IS NOT NULL""",
 }

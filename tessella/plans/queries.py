@@ -30,6 +30,7 @@ from tessella.operators import (
     vectors as VE,
     voting as VO,
 )
+from tessella.scale import cut
 from tessella.sources import testbed as TB
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -220,11 +221,8 @@ def compose_text(spark, d):
 
 @query
 def retrieve_with_conflicts(spark, d):
-    hits = _hybrid(spark, d)
     features = CF.conflict_features(TB.fragments(spark, d), TB.fragment_vectors(spark, d))
-    probes = features.join(F.broadcast(hits.select("id").distinct()), "id", "left_semi")
-    sums = CF.scan_probes(probes, features)
-    return hits.join(sums, "id").select(
+    return CF.hit_conflicts(_hybrid(spark, d), features).select(
         "qid", "id", "rank", "n_conflicts", r("max_similarity").alias("max_similarity"),
         r("max_contradiction").alias("max_contradiction"),
     )
@@ -307,7 +305,7 @@ def _scanned(spark, d):
 
 @query
 def composition_gaps(spark, d):
-    return CO.find_gaps(_scanned(spark, d), TB.fragments(spark, d)).select(
+    return CO.find_gaps(cut(_scanned(spark, d)), TB.fragments(spark, d)).select(
         "qid", bar("gaps").alias("gaps")
     )
 
@@ -685,8 +683,8 @@ def ancestors_capped(spark, d):
 def cycle_check(spark, d):
     n = TB.nodes(spark, d)
     e = GE.known_edges(n).select("parent", "child")
-    back = e.select(F.col("child").alias("parent"), F.col("parent").alias("child")).where(
-        F.col("child").startswith("F-")
+    back = e.where(F.col("child").startswith("F-")).select(
+        F.col("child").alias("parent"), F.col("parent").alias("child")
     )
     clean, looped = GE.has_cycle(n, e), GE.cycle_members(n, e.unionByName(back))
     return looped.select(F.lit(clean).alias("clean_has_cycle"), "fragment_id")

@@ -55,13 +55,15 @@ def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark ``df`` for broadcast if a count proves it small, else leave it be.
+def small_side(df: DataFrame, bound: int | None = None, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Mark ``df`` for broadcast if it is proven small, else leave it be.
 
-    Without the mark Spark shuffles both sides and splits skewed partitions at
-    run time.
+    ``bound`` is an upper limit of its rows that the caller knows (queries times
+    k, say); without one the rows are counted. Without the mark Spark shuffles
+    both sides and splits skewed partitions at run time.
     """
-    return F.broadcast(df) if is_small(df, rows) else df
+    small = is_small(df, rows) if bound is None else bound <= rows
+    return F.broadcast(df) if small else df
 
 
 def hot_keys(df: DataFrame, keys: list[str], share: float = HOT_SHARE) -> DataFrame:
