@@ -9,6 +9,7 @@ from tessella.functions import lexicon as lx
 
 # Any Unicode blank, including the ASCII separators 0x1c-0x1f.
 BLANK = r"(?U)[\s\x1c-\x1f]+"
+NOT_BLANK = r"(?U)[^\s\x1c-\x1f]+"
 TOKEN = r"[A-Za-z0-9]+(?:['’][A-Za-z0-9]+)?"
 WORD_RUN = r"(?U)\w+"
 EDGE_BLANK = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
@@ -39,7 +40,7 @@ def word_set(text: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    return F.size(words(text))
+    return F.regexp_count(text, F.lit(NOT_BLANK))
 
 
 def strip(text: Column) -> Column:

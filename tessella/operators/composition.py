@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 
 from tessella.config import DEFAULT, CompositionConfig
 from tessella.functions import words as W
-from tessella.scale import cut, top_per_group
+from tessella.scale import cut, exploded, top_per_group
 
 
 def frequent_words(texts: DataFrame, key: str, text: str, limit: int) -> DataFrame:
     """``key, frequent``: up to ``limit`` repeated longer words, most common first."""
     counted = (
-        texts.select(key, F.posexplode(W.words(F.col(text))).alias("pos", "word"))
+        exploded(texts.select(key, W.words(F.col(text)).alias("_ws")), F.col("_ws"), "word", "pos")
         .where(F.length("word") > 3)
         .groupBy(key, F.lower("word").alias("word"))
         .agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"))

@@ -9,7 +9,7 @@ from tessella.config import DEFAULT, GateConfig, IntakeConfig
 from tessella.functions import words as W
 from tessella.operators.gate import is_certified
 from tessella.operators.vectors import nearest
-from tessella.scale import BROADCAST_ROWS, is_small, skew_join, small_side, top_per_group
+from tessella.scale import BROADCAST_ROWS, exploded, is_small, skew_join, small_side, top_per_group
 
 
 def word_similarities(fragments: DataFrame, queries: DataFrame) -> DataFrame:
@@ -18,12 +18,10 @@ def word_similarities(fragments: DataFrame, queries: DataFrame) -> DataFrame:
     Words meet a counted-small query side inside the scan; pair counts combine
     before the shuffle.
     """
-    asked = queries.select("qid", W.word_set(F.col("text")).alias("ws")).select(
-        "qid", F.size("ws").alias("n"), F.explode("ws").alias("word")
-    )
-    stored = fragments.select(
-        "id", "seq", W.word_set(F.col("content")).alias("ws")
-    ).select("id", "seq", F.size("ws").alias("m"), F.explode("ws").alias("word"))
+    asked = queries.select("qid", W.word_set(F.col("text")).alias("ws"))
+    asked = exploded(asked.withColumn("n", F.size("ws")), F.col("ws"), "word").drop("ws")
+    stored = fragments.select("id", "seq", W.word_set(F.col("content")).alias("ws"))
+    stored = exploded(stored.withColumn("m", F.size("ws")), F.col("ws"), "word").drop("ws")
     shared = (
         stored.join(small_side(asked), "word")
         .groupBy("qid", "id", "seq", "n", "m")

@@ -2,30 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.config import DEFAULT, RetrievalConfig
 from tessella.functions import words as W
-from tessella.scale import small_side, top_per_group
+from tessella.scale import exploded, small_side, top_per_group
 
 EVERYTHING = "_all"
+ROW_MARK = ""  # pseudo term that every indexed row has once
 
 
 def build_postings(fragments: DataFrame, by_shelf: bool = False) -> DataFrame:
-    """Inverted index ``(shelf, term, id, seq, tf, dl)``; token-free rows have no entry."""
-    return _count_terms(_tokenised(fragments, by_shelf).withColumn("term", F.explode("toks")))
+    """Inverted index ``(shelf, term, id, seq, dl, tf)``; token-free rows have no entry.
 
-
-def build_doc_stats(fragments: DataFrame, by_shelf: bool = False) -> DataFrame:
-    """Indexed row count and mean length per shelf (one row when not by shelf)."""
-    length = F.regexp_count(F.col("content"), F.lit(W.TOKEN))
-    return (
-        fragments.select(_shelf(by_shelf).alias("shelf"), length.alias("dl"))
-        .where("dl > 0")
-        .groupBy("shelf")
-        .agg(F.count(F.lit(1)).alias("docs"), F.avg("dl").alias("avgdl"))
-    )
+    Every row also has one entry under the empty term, so row counts and lengths
+    per shelf come from the same pass over the texts.
+    """
+    return _count_terms(_tokenised(fragments, by_shelf))
 
 
 def write_index(fragments: DataFrame, path: str, by_shelf: bool = True) -> None:
@@ -35,20 +29,22 @@ def write_index(fragments: DataFrame, path: str, by_shelf: bool = True) -> None:
         .repartitionByRange("term", "id")
         .sortWithinPartitions("term", "id")
         .write.mode("overwrite")
-        .parquet(f"{path}/postings")
+        .parquet(path)
     )
-    build_doc_stats(fragments, by_shelf).write.mode("overwrite").parquet(f"{path}/doc_stats")
 
 
 def search_index(
-    spark, path: str, queries: DataFrame, k: int = 5, config: RetrievalConfig = DEFAULT.retrieval
+    spark: SparkSession,
+    path: str,
+    queries: DataFrame,
+    k: int = 5,
+    config: RetrievalConfig = DEFAULT.retrieval,
 ) -> DataFrame:
     """BM25 over a persisted index."""
     terms = query_terms(queries)
     wanted, _ = _wanted(terms)
-    matched = spark.read.parquet(f"{path}/postings").join(wanted, "term", "left_semi")
-    stats = spark.read.parquet(f"{path}/doc_stats")
-    return _rank(_score(terms, None, matched, stats, config), k)
+    matched = spark.read.parquet(path).join(wanted, "term", "left_semi")
+    return _rank(_score(terms, None, matched, config), k)
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -74,51 +70,46 @@ def bm25(
     """
     terms = query_terms(queries)
     wanted, n_terms = _wanted(terms)
-    matched = _count_terms(
-        _tokenised(fragments, by_shelf)
-        .withColumn("term", F.explode("toks"))
-        .join(wanted, "term", "left_semi")
-    )
+    matched = _count_terms(_tokenised(fragments, by_shelf).join(wanted, "term", "left_semi"))
     # without shelves every query term has one weight, so the count bounds the side
-    bound = None if by_shelf else n_terms
-    return _rank(_score(terms, bound, matched, build_doc_stats(fragments, by_shelf), config), k)
+    return _rank(_score(terms, None if by_shelf else n_terms, matched, config), k)
 
 
 def _wanted(terms: DataFrame) -> tuple[DataFrame, int]:
-    """Distinct query terms, marked small if they are, and the (qid, term) row count."""
+    """Terms to keep (query terms and the row mark) and the (qid, term) row count."""
     n = terms.count()
-    return small_side(terms.select("term").distinct(), n), n
-
-
-def _shelf(by_shelf: bool):
-    return F.col("shelf") if by_shelf else F.lit(EVERYTHING)
+    mark = terms.sparkSession.createDataFrame([(ROW_MARK,)], "term string")
+    return small_side(terms.select("term").distinct().unionByName(mark), n + 1), n
 
 
 def _tokenised(fragments: DataFrame, by_shelf: bool) -> DataFrame:
-    return fragments.select(
-        _shelf(by_shelf).alias("shelf"), "id", "seq", W.tokens(F.col("content")).alias("toks")
+    shelf = F.col("shelf") if by_shelf else F.lit(EVERYTHING)
+    rows = fragments.select(
+        shelf.alias("shelf"), "id", "seq", W.tokens(F.col("content")).alias("toks")
     ).withColumn("dl", F.size("toks"))
+    marked = F.when(F.col("dl") > 0, F.array_append("toks", F.lit(ROW_MARK)))
+    return exploded(rows, marked, "term").drop("toks")
 
 
-def _count_terms(exploded: DataFrame) -> DataFrame:
-    return exploded.groupBy("shelf", "term", "id", "seq", "dl").agg(
-        F.count(F.lit(1)).alias("tf")
-    )
+def _count_terms(tokens: DataFrame) -> DataFrame:
+    return tokens.groupBy("shelf", "term", "id", "seq", "dl").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def _score(
-    terms: DataFrame, bound: int | None, matched: DataFrame, stats: DataFrame, config: RetrievalConfig
+    terms: DataFrame, bound: int | None, matched: DataFrame, config: RetrievalConfig
 ) -> DataFrame:
     k1, b = config.k1, config.b
+    # reads the same columns as the scoring branch below, so both share one shuffle
+    per_term = matched.groupBy("shelf", "term").agg(
+        F.sum(F.least(F.col("tf"), F.lit(1))).alias("df"), F.avg("dl").alias("mean_dl")
+    )
+    shelf = Window.partitionBy("shelf")
+    is_mark = F.col("term") == ROW_MARK
     weights = (
-        matched.groupBy("shelf", "term")
-        .agg(F.count(F.lit(1)).alias("df"))
-        .join(stats, "shelf")
-        .select(
-            "shelf",
-            "term",
-            "avgdl",
-            F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"),
+        per_term.withColumn("docs", F.max(F.when(is_mark, F.col("df"))).over(shelf))
+        .withColumn("avgdl", F.max(F.when(is_mark, F.col("mean_dl"))).over(shelf))
+        .withColumn(
+            "idf", F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
         )
     )
     # query terms carry their weight, so postings meet one narrow side only
@@ -130,8 +121,9 @@ def _score(
         * (k1 + 1)
         / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     )
+    side = weighted if bound is None else small_side(weighted, bound)
     return (
-        matched.join(weighted if bound is None else small_side(weighted, bound), ["shelf", "term"])
+        matched.join(side, ["shelf", "term"])
         .groupBy("qid", "shelf", "id", "seq")
         .agg(F.sum(F.col("w") * saturation).alias("score"))
     )

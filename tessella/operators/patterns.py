@@ -14,6 +14,7 @@ from tessella.functions import words as W
 from tessella.operators.gate import guard, is_certified
 from tessella.scale import (
     cut,
+    exploded,
     running_position,
     skew_join,
     small_side,
@@ -29,11 +30,10 @@ OCCURRENCE = ["seq", "pos"]
 
 def extract_phrases(texts: DataFrame, min_words: int = 10) -> DataFrame:
     """One row per phrase occurrence: ``type, name, content, context, hash, seq, pos``."""
-    return texts.select(
-        "seq",
-        F.col("context"),
-        F.posexplode(W.phrases(F.col("content"), min_words)).alias("pos", "phrase"),
-    ).select(
+    found = texts.select(
+        "seq", "context", W.phrases(F.col("content"), min_words).alias("phrases")
+    )
+    return exploded(found, F.col("phrases"), "phrase", "pos").select(
         F.lit("phrase").alias("type"),
         W.phrase_name(F.col("phrase")).alias("name"),
         F.col("phrase").alias("content"),
@@ -92,9 +92,8 @@ def _python_patterns(code):
 
 def extract_code(texts: DataFrame) -> DataFrame:
     """Functions, constants and imports of Python sources, one row per occurrence."""
-    return texts.select(
-        "seq", "context", F.posexplode(_python_patterns("content")).alias("pos", "p")
-    ).select(
+    found = texts.select("seq", "context", _python_patterns("content").alias("patterns"))
+    return exploded(found, F.col("patterns"), "p", "pos").select(
         "p.type",
         "p.name",
         "p.content",
@@ -168,30 +167,55 @@ def similar_stored(
     A pattern counts as held if a certified row is among its first few most
     similar rows with enough similarity. Only rows at or above that similarity
     can matter: they precede all others in the ranking. Rows with equal word sets
-    tie, so of each set only the first few rows by ``seq`` can be among the first
-    few and the rest are left out before the join.
+    tie, so of each set only the first few rows by ``seq`` are kept.
+
+    Pairs come from a prefix filter: of the smaller word set at most
+    ``size - ceil(limit * size)`` words may be missing from the larger one, so one
+    more word than that is enough to find every partner. The longest words are
+    taken, which are rarely shared by chance; the choice does not affect results.
     """
     depth, limit = config.patterns.dedup_depth, config.patterns.dedup_similarity
-    asked = patterns.select("key", W.word_set(F.col("content")).alias("ws"))
-    terms = asked.select("key", F.size("ws").alias("n"), F.explode("ws").alias("word"))
+
+    def prefix(ws: Column, size: Column) -> Column:
+        by_length = F.transform(
+            F.array_sort(F.transform(ws, lambda w: F.struct((-F.length(w)).alias("l"), w.alias("w")))),
+            lambda s: s["w"],
+        )
+        return F.slice(by_length, 1, (size - F.ceil(size * limit - 1e-9) + 1).cast("int"))
+
+    asked = patterns.select("key", W.word_set(F.col("content")).alias("ws")).withColumn(
+        "n", F.size("ws")
+    )
     sure = is_certified(F.col("quality"), F.col("provenance.final_source"), config.gate)
     stored = fragments.select(
         "seq", sure.alias("sure"), F.array_sort(W.word_set(F.col("content"))).alias("ws")
     ).withColumn("set_id", F.sha2(F.array_join("ws", " "), 256))
-    few = top_per_group(
-        stored.select("set_id", "seq", "sure"), ["set_id"], [F.col("seq").asc()], depth
+    few = cut(top_per_group(stored, ["set_id"], [F.col("seq").asc()], depth, "copy"))
+    sets = few.where("copy = 1").withColumn("m", F.size("ws"))
+    # side "p": the pattern is the smaller set, side "s": the stored set is
+    asked_words = exploded(asked.select("key", "n", prefix(F.col("ws"), F.col("n")).alias("x"), F.lit("p").alias("side")), F.col("x"), "word").unionByName(
+        exploded(asked.select("key", "n", F.col("ws").alias("x"), F.lit("s").alias("side")), F.col("x"), "word")
+    ).drop("x")
+    stored_words = exploded(sets.select("set_id", "m", F.col("ws").alias("x"), F.lit("p").alias("side")), F.col("x"), "word").unionByName(
+        exploded(sets.select("set_id", "m", prefix(F.col("ws"), F.col("m")).alias("x"), F.lit("s").alias("side")), F.col("x"), "word")
+    ).drop("x")
+    smaller = F.when(F.col("side") == "p", F.col("n") <= F.col("m")).otherwise(
+        F.col("m") < F.col("n")
+    )
+    pairs = (
+        stored_words.join(small_side(asked_words), ["word", "side"])
+        .where(smaller)
+        .select("key", "set_id")
+        .distinct()
     )
-    sets = stored.groupBy("set_id").agg(F.first("ws").alias("ws"))
-    words = sets.select("set_id", F.size("ws").alias("m"), F.explode("ws").alias("word"))
-    shared = (
-        words.join(small_side(terms), "word")
-        .groupBy("key", "set_id", "n", "m")
-        .agg(F.count(F.lit(1)).alias("shared"))
-        .withColumn("sim", F.col("shared") / F.least("n", "m"))
+    near = (
+        pairs.join(asked.select("key", F.col("ws").alias("pattern_ws")), "key")
+        .join(sets.select("set_id", "ws"), "set_id")
+        .select("key", "set_id", W.overlap_share(F.col("pattern_ws"), F.col("ws")).alias("sim"))
         .where(F.col("sim") >= limit)
     )
     ranked = top_per_group(
-        skew_join(shared.select("key", "set_id", "sim"), few.drop("rank"), ["set_id"], "inner", ["key"]),
+        near.join(few.select("set_id", "seq", "sure"), "set_id"),
         ["key"],
         [F.round("sim", 9).desc(), F.col("seq").asc()],
         depth,

@@ -19,22 +19,24 @@ from tessella.config import DEFAULT, CircuitConfig
 from tessella.functions import lexicon as lx
 from tessella.functions import words as W
 from tessella.operators.archive import clamp01, set_consensus
+from tessella.scale import filter_once, top_per_group
 
-Scorer = Callable[[Column, Column], Column]
+# content, quality and the shared base score → score
+Scorer = Callable[[Column, Column, Column], Column]
 
 
 def base_score(content: Column, quality: Column) -> Column:
     """Length and junk-marker heuristic of the built-in scorer, before noise."""
-    n = W.word_count(content)
-    by_length = (
-        F.when(n < 5, F.greatest(F.lit(0.0), quality - 0.3))
+    by_length = W.bind(
+        W.word_count(content),
+        lambda n: F.when(n < 5, F.greatest(F.lit(0.0), quality - 0.3))
         .when(n < 15, quality)
-        .otherwise(F.least(F.lit(1.0), quality + 0.1))
+        .otherwise(F.least(F.lit(1.0), quality + 0.1)),
+    )
+    junk = W.bind(
+        F.lower(content),
+        lambda low: F.exists(W.strings(lx.JUNK_MARKERS), lambda marker: low.contains(marker)),
     )
-    low = F.lower(content)
-    junk = F.lit(False)
-    for marker in lx.JUNK_MARKERS:
-        junk = junk | low.contains(marker)
     return F.when(junk, F.greatest(F.lit(0.0), by_length - 0.4)).otherwise(by_length)
 
 
@@ -53,8 +55,7 @@ def scorer_noise(name: str) -> Callable[[Column], Column]:
 def mock_scorer(name: str, noisy: bool = True) -> Scorer:
     bias = lx.AGENT_BIASES.get(name, 0.0)
 
-    def score(content: Column, quality: Column) -> Column:
-        base = base_score(content, quality)
+    def score(content: Column, quality: Column, base: Column) -> Column:
         if noisy:
             base = F.round(clamp01(base + scorer_noise(name)(content)), 4)
         return F.round(clamp01(base + F.lit(bias)), 4)
@@ -71,14 +72,16 @@ def with_scores(rows: DataFrame, scorers: dict[str, Scorer]) -> DataFrame:
 
     Every scorer is a column function, so external ones plug in as pandas UDFs.
     """
+    inputs = F.col("content"), F.col("quality"), F.col("_base")
+    based = rows.withColumn("_base", base_score(F.col("content"), F.col("quality")))
+    raw = based.withColumns({f"_score_{n}": s(*inputs) for n, s in scorers.items()})
     entries = []
-    for name, scorer in scorers.items():
-        entries += [F.lit(name), clamp01_or_null(scorer(F.col("content"), F.col("quality")))]
-    return rows.withColumn("scores", F.create_map(*entries))
-
-
-def clamp01_or_null(score: Column) -> Column:
-    return F.when(score.isNotNull(), clamp01(score))
+    for name in scorers:
+        given = F.col(f"`_score_{name}`")
+        entries += [F.lit(name), F.when(given.isNotNull(), clamp01(given))]
+    return raw.withColumn("scores", F.create_map(*entries)).drop(
+        "_base", *[f"_score_{n}" for n in scorers]
+    )
 
 
 def route(quality: Column, source: Column, config: CircuitConfig = DEFAULT.circuit) -> Column:
@@ -150,7 +153,7 @@ def accepted_fragments(
     voted: DataFrame, at: Column, config: CircuitConfig = DEFAULT.circuit
 ) -> DataFrame:
     """Accepted rows with provenance; voted ones get a new id and the mean score."""
-    kept = voted.where("accepted AND enough")
+    kept = filter_once(voted, F.col("accepted") & F.col("enough"))
     by_vote = F.col("route") == "vote"
     source = F.when(
         F.col("quality") > config.grey_high, F.lit("independently_verified")
@@ -270,8 +273,6 @@ def counts_by_label(examples: DataFrame) -> DataFrame:
 
 def stratified_sample(examples: DataFrame, n_per_label: int = 5, seed: int = 42) -> DataFrame:
     """``n_per_label`` rows per label in a reproducible pseudo-random order."""
-    from tessella.scale import top_per_group
-
     keyed = examples.withColumn("_draw", F.md5(F.concat_ws(":", F.lit(str(seed)), "id")))
     return top_per_group(
         keyed, ["ground_truth"], [F.col("_draw").asc(), F.col("id").asc()], n_per_label

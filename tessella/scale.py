@@ -50,6 +50,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give a table with fewer splits than cores to all cores.
+
+    Small files come as one split. A table with enough splits is left as it is,
+    so large tables are never shuffled by this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """True when ``df`` has at most ``rows`` rows; reads no more than it must."""
     return df.limit(rows + 1).count() <= rows
@@ -185,6 +195,30 @@ def running_position(
     )
 
 
+def filter_once(df: DataFrame, condition: Column) -> DataFrame:
+    """Filter on costly computed columns without computing them twice.
+
+    Catalyst would copy the expressions into a filter below their projection; a
+    row number that the condition reads keeps the filter above it.
+    """
+    numbered = df.withColumn("_row", F.monotonically_increasing_id())
+    return numbered.where(condition & (F.col("_row") >= 0)).drop("_row")
+
+
+def exploded(df: DataFrame, items: Column, name: str, pos: str | None = None) -> DataFrame:
+    """One row per array item.
+
+    The outer form plus a NULL test gives the rows of a plain explode, but Spark
+    derives no "array is not empty" filter that would build the array twice.
+    Items must not be NULL.
+    """
+    if pos is None:
+        out = df.select("*", F.explode_outer(items).alias(name))
+    else:
+        out = df.select("*", F.posexplode_outer(items).alias(pos, name))
+    return out.where(F.col(name).isNotNull())
+
+
 def top_per_group(
     df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str = "rank"
 ) -> DataFrame:

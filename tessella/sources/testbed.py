@@ -12,14 +12,17 @@ from pyspark.sql import functions as F
 from tessella import schemas
 from tessella.functions import words as W
 from tessella.operators.archive import checksum
+from tessella.scale import spread
 
 EPOCH = "2024-01-01 00:00:00"
 NOW = "2024-01-31 00:00:00"
 OP_CYCLE = schemas.OPERATION_TYPES
+HEAVY = ("documents", "conversations", "embeddings")  # text and vectors: work per row is large
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    out = spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(out) if name in HEAVY else out
 
 
 def fragment_id(number: Column) -> Column:
