@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -211,7 +212,6 @@ def find_substrings(texts: DataFrame, needles: DataFrame) -> DataFrame:
     """
     def search(wanted, batches):
         import ahocorasick
-        import pandas as pd
 
         if "" in wanted:
             yield pd.DataFrame({"aspect": [""]})
@@ -247,9 +247,7 @@ def find_substrings(texts: DataFrame, needles: DataFrame) -> DataFrame:
     ).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     left = grouped.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
 
-    def per_block(key, words, batch):
-        import pandas as pd
-
+    def per_block(key: tuple, words: pd.DataFrame, batch: pd.DataFrame) -> pd.DataFrame:
         out = list(search(list(words["aspect"]), [batch] if len(batch) else []))
         return pd.concat(out) if out else pd.DataFrame({"aspect": pd.Series(dtype=str)})
 

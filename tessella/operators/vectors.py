@@ -114,15 +114,17 @@ def _blockwise(vectors: DataFrame, queries: DataFrame, k: int, rows: int = QUERY
     """Large query batches: query blocks x vector blocks, one matrix product each."""
     query_blocks = -(-queries.count() // rows)
     vector_blocks = max(1, -(-vectors.count() // (4 * rows)))
+    # fresh column identities: both sides may come from one table
+    queries = queries.select(F.col("qid").alias("qid"), F.col("vec").alias("q_vec"))
     q = queries.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(query_blocks)).cast("int"))
     q = q.withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(vector_blocks - 1))))
     v = vectors.withColumn("vb", F.pmod(F.xxhash64("id"), F.lit(vector_blocks)).cast("int"))
     v = v.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
 
-    def multiply(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def multiply(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame(columns=["qid", "id", "seq", "score"])
-        scores = np.stack(left["vec"].to_numpy()) @ np.stack(right["vec"].to_numpy()).T
+        scores = np.stack(left["q_vec"].to_numpy()) @ np.stack(right["vec"].to_numpy()).T
         return _best(left["qid"].to_numpy(), scores, right["id"].to_numpy(), right["seq"], k)
 
     return (
