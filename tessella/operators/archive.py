@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessella.config import DEFAULT, EngineConfig
 from tessella.functions import words as W
-from tessella.scale import skew_join
+from tessella.scale import skew_join, small_side
 
 
 def iso_utc(ts: Column) -> Column:
@@ -40,7 +40,9 @@ def insert(incoming: DataFrame, archive: DataFrame, config: EngineConfig = DEFAU
     Among equal ids in the batch the earliest row that passes the other checks
     is the insert; later ones are duplicates.
     """
-    known = archive.select("id").withColumn("_known", F.lit(True))
+    # only the batch's own ids matter, so a small batch never shuffles the archive
+    asked = small_side(incoming.select("id").distinct())
+    known = archive.select("id").join(asked, "id", "left_semi").withColumn("_known", F.lit(True))
     limit = config.archive.max_content_length
     no_checksum = F.coalesce(F.col("checksum"), F.lit("")) == ""
     too_long = F.length("content") > limit

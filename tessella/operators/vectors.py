@@ -27,6 +27,17 @@ def md5_seed(text: str) -> int:
     return int(hashlib.md5(text.encode("utf-8")).hexdigest()[:8], 16)
 
 
+def seed_column(kind: str = "index") -> Callable:
+    """Seed of the fallback vector of a text."""
+    seed_of = char_sum_seed if kind == "index" else md5_seed
+
+    @F.pandas_udf("long")
+    def seeds(texts: pd.Series) -> pd.Series:
+        return texts.map(seed_of)
+
+    return seeds
+
+
 def _unit_noise(seed: int, dim: int) -> list[float]:
     raw = np.random.RandomState(seed).randn(dim)
     size = np.linalg.norm(raw)

@@ -607,6 +607,27 @@ ORACLES: dict[str, str] = {
     "rollback": f"WITH {FRAG}, {BEST} SELECT s.start AS id, bp.best_parent AS previous, CASE WHEN bp.best_parent IS NULL THEN f.status ELSE 'archived' END AS status FROM {NEWEST} s LEFT JOIN bp ON bp.fragment_id = s.start JOIN frag f ON f.id = s.start",
     "node_model_stats": f"""WITH n AS (SELECT unnest([{{'field': 'model', 'value': CASE WHEN doc_id % 4 = 3 THEN '' ELSE 'm' || (doc_id % 4) END}}, {{'field': 'evaluator', 'value': CASE WHEN doc_id % 3 = 0 THEN '' ELSE 'e' || (doc_id % 3) END}},
   {{'field': 'quality_source', 'value': coalesce({origin('doc_id')}, '')}}, {{'field': 'total', 'value': 'all'}}]) AS u FROM documents) SELECT u.field AS field, u.value AS value, count(*) AS n FROM n WHERE u.value <> '' GROUP BY ALL""",
+    "remove_node": f"WITH {FRAG} SELECT CASE WHEN doc_id % 4 = 3 THEN '' ELSE 'm' || (doc_id % 4) END AS model_id, count(*) AS n, sum(len({PARENTS}))::BIGINT AS links FROM documents WHERE doc_id % 11 <> 0 GROUP BY 1",
+    "nodes_by_model": f"SELECT {frag_id('doc_id')} AS fragment_id, 'v' || (doc_id % 3) AS model_version FROM documents WHERE doc_id % 4 = 1 AND doc_id % 3 = 2",
+    "submit_appeals": f"WITH {APPEALS} SELECT id, true AS found, 'pending_user_approval' AS status FROM app WHERE status <> 'draft' UNION ALL SELECT id || '-unknown', false, NULL FROM app",
+    "update_proposals": f"WITH {APPEALS} SELECT id, CASE WHEN status <> 'draft' THEN explanation WHEN seq % 3 = 0 THEN 'second' ELSE 'first' END AS explanation FROM app",
+    "change_status": f"""WITH {APPEALS} SELECT id, CASE WHEN status <> 'draft' THEN status WHEN seq % 2 = 0 THEN 'approved' ELSE 'pending_user_approval' END AS status,
+ strftime(CASE WHEN status = 'draft' AND seq % 2 = 0 THEN TIMESTAMP '2024-01-31' ELSE resolved_at END, '%Y-%m-%d %H:%M:%S.%f') AS resolved_at FROM app""",
+    "appeals_by_status": f"WITH {APPEALS} SELECT id, strftime(created_at, '%Y-%m-%d %H:%M:%S.%f') AS created_at, strftime(resolved_at, '%Y-%m-%d %H:%M:%S.%f') AS resolved_at FROM app WHERE status = 'approved'",
+    "appeal_json": f"WITH {FRAG}, {APPEALS}, {LINKS}, {MEASURED} SELECT id, status, strftime(created_at, '%Y-%m-%dT%H:%M:%S+00:00') AS created_at, printf('%.4f', coverage)::DOUBLE AS coverage, printf('%.4f', risk)::DOUBLE AS risk FROM measured",
+    "fragment_json": f"WITH {FRAG} SELECT id, md5(content) AS digest, topic, round(quality, 4) AS quality, strftime(created_at, '%Y-%m-%dT%H:%M:%S+00:00') AS created_at, checksum, final_source FROM frag2",
+    "open_records": "SELECT event_id, json_extract_string(props, '$.k') AS k, 'true' AS processed, len(json_keys(props)) + 1 AS n FROM events",
+    "embedding_seeds": f"""WITH {FRAG} SELECT id, list_sum(list_transform(string_split(content, ''), lambda c, i: unicode(c)::BIGINT * i % 2147483647))::BIGINT % 2147483647 AS index_seed,
+ ('0x' || substring(md5(content), 1, 8))::BIGINT AS conflict_seed FROM frag""",
+    "quarantine_notices": f"WITH {QUARANTINE} SELECT resolved, CASE WHEN pending THEN true WHEN notified_at IS NOT NULL THEN false END AS stamped_now, notified_at IS NULL AND NOT pending AS never, count(*) AS n FROM qp GROUP BY ALL",
+    "quarantine_dump": f"WITH {FRAG}, q AS (SELECT {frag_id('event_id')} AS fragment_id, 'scoring failed' AS reason, value > 150 AS resolved FROM events WHERE event_type = 'error') SELECT q.*, f.topic, round(f.quality, 4) AS quality FROM q LEFT JOIN frag f ON f.id = q.fragment_id",
+    "pattern_dump": f"WITH {PHRASES} SELECT seq, pos, 'phrase' AS type, substring(phrase, 1, 100) AS preview, context, substring(hash, 1, 12) AS hash FROM ph",
+    "overlap_excerpt": f"""WITH {FRAG}, {APPEALS}, {LINKS},
+ aw AS (SELECT a.id, c.pos, unnest(list_transform({words('a.proposed_content')}, lambda w, i: {{'w': w, 'i': i}})) AS u, {words('c.content')} AS cw FROM app a JOIN cited c ON c.id = a.id),
+ kept AS (SELECT id, pos, u.w AS w, u.i AS i, sum(length(u.w) + 1) OVER (PARTITION BY id, pos ORDER BY u.i) - 1 - length(u.w) - 1 AS before FROM aw WHERE list_contains(cw, u.w)),
+ joined AS (SELECT id, pos, string_agg(w, ' ' ORDER BY i) AS t FROM kept WHERE before <= 100 GROUP BY id, pos),
+ cutted AS (SELECT id, pos, CASE WHEN length(t) > 100 THEN substring(t, 1, 100) || '...' ELSE t END AS t FROM joined)
+ SELECT c.id, c.pos, CASE WHEN length(x.t) > 10 THEN x.t ELSE '' END AS excerpt FROM cited c LEFT JOIN cutted x ON x.id = c.id AND x.pos = c.pos""",
     "archive_conflicts": conflicts(0.85),
     "archive_conflicts_wide": conflicts(0.3),
     "phrase_patterns": f"WITH {PHRASES} SELECT seq, pos, name, substring(hash, 1, 12) AS hash FROM ph",

@@ -27,10 +27,12 @@ from tessella.operators import (
     keyword as KW,
     patterns as PA,
     quarantine as QU,
+    records as RE,
     vectors as VE,
     voting as VO,
 )
 from tessella.scale import cut
+from tessella.sources import state as ST
 from tessella.sources import testbed as TB
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -137,6 +139,37 @@ def restore_last_wins(spark, d):
     )
 
 
+@query
+def fragment_json(spark, d):
+    out = ST.fragment_json(TB.fragments(spark, d))
+    field = lambda path: F.get_json_object("json", path)
+    return out.select(
+        "id", F.md5(field("$.content")).alias("digest"), field("$.metadata.topic").alias("topic"),
+        r(field("$.metadata.quality").cast("double"), 4).alias("quality"),
+        field("$.created_at").alias("created_at"), field("$.checksum").alias("checksum"),
+        field("$.metadata.provenance.final_source").alias("final_source"),
+    )
+
+
+@query
+def open_records(spark, d):
+    e = TB.table(spark, d, "events").select("event_id", F.from_json("props", "map<string,string>").alias("data"))
+    out = RE.mark_processed(e)
+    return out.select(
+        "event_id", RE.get_metadata(F.col("data"), "k").alias("k"),
+        RE.get_metadata(F.col("data"), "processed").alias("processed"), F.size("data").alias("n"),
+    )
+
+
+@query
+def embedding_seeds(spark, d):
+    f = TB.fragments(spark, d)
+    return f.select(
+        "id", VE.seed_column("index")("content").alias("index_seed"),
+        VE.seed_column("conflict")("content").alias("conflict_seed"),
+    )
+
+
 @query
 def provenance_update(spark, d):
     f = TB.fragments(spark, d).where(F.col("provenance").isNotNull())
@@ -504,6 +537,64 @@ def reject_appeals(spark, d):
     return AP.reject(a, requests, now()).groupBy("status", "explanation").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def submit_appeals(spark, d):
+    a = TB.appeals(spark, d)
+    ids = a.where("status <> 'draft'").select("id").unionByName(
+        a.select(F.concat("id", F.lit("-unknown")).alias("id"))
+    )
+    return AP.submit(a, ids)
+
+
+@query
+def update_proposals(spark, d):
+    a = TB.appeals(spark, d)
+    changes = a.where("status = 'draft'").select(
+        "id", F.lit("first").alias("explanation"), F.lit(1).alias("change_seq")
+    ).unionByName(
+        a.where("status = 'draft' AND seq % 3 = 0").select(
+            "id", F.lit("second").alias("explanation"), F.lit(2).alias("change_seq")
+        )
+    )
+    return AP.overlay(a, changes, ["explanation"]).select("id", "explanation")
+
+
+@query
+def change_status(spark, d):
+    a = TB.appeals(spark, d)
+    steps = a.where("status = 'draft'").select(
+        "id", F.lit("pending_user_approval").alias("status"), F.lit(1).alias("change_seq")
+    ).unionByName(
+        a.where("status = 'draft' AND seq % 2 = 0").select(
+            "id", F.lit("approved").alias("status"), F.lit(2).alias("change_seq")
+        )
+    )
+    return AP.set_status(a, steps, now()).select(
+        "id", "status", stamp("resolved_at").alias("resolved_at")
+    )
+
+
+@query
+def appeals_by_status(spark, d):
+    return AP.by_status(TB.appeals(spark, d), "approved").select(
+        "id", stamp("created_at").alias("created_at"), stamp("resolved_at").alias("resolved_at")
+    )
+
+
+@query
+def appeal_json(spark, d):
+    a = _measured(spark, d).withColumn(
+        "metrics", F.struct(F.col("delta_token").cast("int").alias("delta_token"), "coverage", "risk", "aggregate_score")
+    )
+    out = ST.appeal_json(ST.conform(a, ST.schemas.APPEALS))
+    field = lambda path: F.get_json_object("json", path)
+    return out.select(
+        "id", field("$.status").alias("status"), field("$.created_at").alias("created_at"),
+        field("$.metrics.coverage").cast("double").alias("coverage"),
+        field("$.metrics.risk").cast("double").alias("risk"),
+    )
+
+
 @query
 def governance_stats(spark, d):
     return GO.statistics(TB.appeals(spark, d), TB.quarantine(spark, d), now())
@@ -714,6 +805,23 @@ def node_model_stats(spark, d):
     return GE.model_statistics(TB.nodes(spark, d))
 
 
+@query
+def remove_node(spark, d):
+    n = TB.nodes(spark, d)
+    gone = TB.fragments(spark, d).where("status = 'archived'").select(F.col("id").alias("fragment_id"))
+    left = GE.remove_node(n, gone)
+    return left.groupBy("model_id").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.size("parents")).alias("links")
+    )
+
+
+@query
+def nodes_by_model(spark, d):
+    return TB.nodes(spark, d).where("model_id = 'm1' AND evaluator_model_id = 'e2'").select(
+        "fragment_id", "model_version"
+    )
+
+
 # -- conflicts ---------------------------------------------------------------------
 
 
@@ -758,6 +866,14 @@ def pattern_trackers(spark, d):
     )
 
 
+@query
+def pattern_dump(spark, d):
+    return _occurrences(spark, d).select(
+        "seq", "pos", "type", F.substring("content", 1, 100).alias("preview"), "context",
+        F.substring("hash", 1, 12).alias("hash"),
+    )
+
+
 @query
 def pattern_statistics(spark, d):
     return PA.tracker_statistics(PA.trackers(_occurrences(spark, d)))
@@ -803,6 +919,22 @@ def quarantine_alerts(spark, d):
     return QU.alerts(TB.quarantine(spark, d), now())
 
 
+@query
+def quarantine_notices(spark, d):
+    out = QU.mark_notified(TB.quarantine(spark, d), now())
+    return out.groupBy(
+        "resolved", (F.col("notified_at") == now()).alias("stamped_now"), F.col("notified_at").isNull().alias("never")
+    ).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def quarantine_dump(spark, d):
+    f = TB.fragments(spark, d).select("id", "topic", "quality")
+    q = TB.quarantine(spark, d).withColumn("fragment_id", F.regexp_replace("fragment_id", "^E-([0-9]+)$", "$1"))
+    q = q.withColumn("fragment_id", TB.fragment_id(F.col("fragment_id").cast("long")))
+    return QU.dump(q, f).select("fragment_id", "reason", "resolved", "topic", r("quality", 4).alias("quality"))
+
+
 @query
 def quarantine_fold(spark, d):
     e = TB.table(spark, d, "events")

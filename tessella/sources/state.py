@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella import schemas
-from tessella.operators.archive import checksum, clamp01, restore
+from tessella.operators.archive import checksum, clamp01, iso_utc, restore
+from tessella.scale import small_side
 
 KNOWN_METADATA = ("topic", "source", "date", "quality", "provenance", "author", "tags")
 FRAGMENT_JSON = (
@@ -143,12 +144,6 @@ def read_fragment_lines(spark: SparkSession, path: str) -> DataFrame:
     return restore(parse_fragments(numbered), order="seq")
 
 
-def _iso(ts: Column) -> Column:
-    from tessella.operators.archive import iso_utc
-
-    return iso_utc(ts)
-
-
 def fragment_json(fragments: DataFrame) -> DataFrame:
     """``id, json``: extra metadata keys come last and replace known ones."""
 
@@ -167,7 +162,7 @@ def fragment_json(fragments: DataFrame) -> DataFrame:
         F.struct(
             field("topic", F.col("topic")),
             field("source", F.col("source")),
-            field("date", _iso(F.col("date"))),
+            field("date", iso_utc(F.col("date"))),
             field("quality", F.col("quality")),
             field("provenance", F.when(F.col("provenance").isNotNull(), provenance)),
             field("author", F.col("author")),
@@ -185,7 +180,7 @@ def fragment_json(fragments: DataFrame) -> DataFrame:
     outer = F.to_json(
         F.struct(
             "id", "content", "conditions", "parents", "status",
-            _iso(F.col("created_at")).alias("created_at"), "checksum",
+            iso_utc(F.col("created_at")).alias("created_at"), "checksum",
         )
     )
     return fragments.select(
@@ -206,8 +201,8 @@ def appeal_json(appeals: DataFrame) -> DataFrame:
                 "id", "sources", "ops", "diff",
                 F.when(F.col("metrics").isNotNull(), metrics).alias("metrics"),
                 "status", "proposed_content", "explanation",
-                _iso(F.col("created_at")).alias("created_at"),
-                _iso(F.col("resolved_at")).alias("resolved_at"),
+                iso_utc(F.col("created_at")).alias("created_at"),
+                iso_utc(F.col("resolved_at")).alias("resolved_at"),
             )
         ).alias("json"),
     )
@@ -221,11 +216,14 @@ def write_json_lines(tables: dict[str, DataFrame], path: str) -> None:
 
 
 class TableStore:
-    """Append-only Parquet logs; the current table is the newest row per key.
-
-    Every change is one atomic append under its own ``commit`` number, so a lost
-    executor or driver leaves either the old or the new state. One writer at a
-    time, as many readers as wanted.
+    """Append-only Parquet logs with merge on read.
+
+    A table is a base plus later commits. Reading overlays the commits: rows of
+    the base whose key changed later are left out by an anti join, which is a
+    broadcast while the changes are few, so the base is never shuffled for it.
+    ``compact`` folds everything into a new base. Every change is one append
+    under its own number, so a lost executor or driver leaves either the old or
+    the new state. One writer at a time, as many readers as wanted.
     """
 
     LAYOUT = {
@@ -240,29 +238,46 @@ class TableStore:
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _log(self, name: str) -> DataFrame | None:
+    def _log(self, name: str) -> tuple[DataFrame, int, int] | None:
+        """Rows of the newest base and its commits, with both numbers."""
         try:
-            return self.spark.read.parquet(f"{self.root}/{name}")
+            log = self.spark.read.parquet(f"{self.root}/{name}")
         except AnalysisException:
             return None
+        newest = log.agg(F.max(F.struct("base", "commit")).alias("m")).first()["m"]
+        if newest is None:
+            return None
+        return log.where(F.col("base") == newest["base"]), newest["base"], newest["commit"]
 
     def read(self, name: str) -> DataFrame:
         key, ddl = self.LAYOUT[name]
-        log = self._log(name)
-        if log is None:
+        found = self._log(name)
+        if found is None:
             return self.spark.createDataFrame([], ddl)
-        if key is None:
-            return conform(log, ddl)
-        newest = restore(log, key, "commit")
-        return conform(newest.where(~F.col("removed")), ddl)
+        log, _, last = found
+        if key is None or last == 0:
+            return conform(log.where(~F.col("removed")), ddl)
+        later = restore(log.where("commit > 0"), key, "commit")
+        untouched = log.where("commit = 0").join(small_side(later.select(key)), key, "left_anti")
+        return conform(untouched, ddl).unionByName(conform(later.where(~F.col("removed")), ddl))
 
     def append(self, name: str, rows: DataFrame, removed: bool = False) -> None:
         """Add or replace rows, or remove keys when ``removed`` is set."""
+        found = self._log(name)
+        base, commit = (0, 0) if found is None else (found[1], found[2] + 1)
+        self._write(name, rows, base, commit, removed)
+
+    def compact(self, name: str) -> None:
+        """Fold base and commits into a new base; the old files stay for open readers."""
+        found = self._log(name)
+        if found is not None and found[2] > 0:
+            self._write(name, self.read(name), found[1] + 1, 0, False)
+
+    def _write(self, name: str, rows: DataFrame, base: int, commit: int, removed: bool) -> None:
         _, ddl = self.LAYOUT[name]
-        log = self._log(name)
-        last = 0 if log is None else (log.agg(F.max("commit")).first()[0] or 0)
-        target = f"{self.root}/{name}/commit={last + 1}"
-        conform(rows, ddl).withColumn("removed", F.lit(removed)).write.mode("overwrite").parquet(target)
+        target = f"{self.root}/{name}/base={base}/commit={commit}"
+        marked = conform(rows, ddl).withColumn("removed", F.lit(removed))
+        marked.write.mode("overwrite").parquet(target)
 
     def load(self, tables: dict[str, DataFrame]) -> None:
         for name, rows in tables.items():

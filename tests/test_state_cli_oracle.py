@@ -22,7 +22,7 @@ def con():
 @pytest.mark.parametrize(
     "name",
     ["bm25_topk", "hybrid_topk", "dispatch_route", "composition", "appeal_metrics", "appeal_diff", "merge_metadata",
-     "circuit_vote", "archive_insert", "archive_conflicts", "feedback_thresholds", "pattern_trackers", "dag_depth"],
+     "circuit_vote", "archive_insert", "archive_conflicts_wide", "feedback_thresholds", "pattern_trackers", "dag_depth"],
 )
 def test_query_equals_sql(spark, con, name):
     verdict, _, n, detail = CMP.compare(spark, con, name, FOLDER)
