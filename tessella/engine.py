@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tessella.config import DEFAULT, EngineConfig
 from tessella.operators import appeals as AP
 from tessella.operators import archive as AR
+from tessella.operators import conflicts as CF
 from tessella.operators import gate as GA
 from tessella.operators import genealogy as GE
 from tessella.operators import governance as GO
@@ -41,6 +42,7 @@ class Engine:
         self.spark, self.config = spark, config
         self.store = TableStore(spark, root)
         self.embed = embed or VE.fallback_embedder("index")
+        self.conflict_embed = embed or VE.fallback_embedder("conflict")
 
     # -- tables ------------------------------------------------------------------
 
@@ -203,10 +205,14 @@ class Engine:
         return gone.count()
 
     def reports(self, ids: DataFrame | None = None) -> DataFrame:
-        chosen = self.appeals()
+        """Report rows of all or the given appeals, with conflicts against the archive."""
+        chosen, stored = self.appeals(), self.store.read("fragments")
         if ids is not None:
             chosen = chosen.join(ids.select("id"), "id", "left_semi")
-        return GO.reports(chosen, self.store.read("fragments"), self.config)
+        conflicts = CF.proposal_conflicts(
+            chosen, stored, self.conflict_embed, config=self.config.metrics
+        )
+        return GO.reports(chosen, stored, self.config, conflicts)
 
     # -- history -----------------------------------------------------------------
 

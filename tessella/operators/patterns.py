@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from tessella import schemas
 from tessella.config import DEFAULT, EngineConfig, PatternConfig
 from tessella.functions import words as W
-from tessella.operators.gate import guard, is_certified
+from tessella.operators.gate import admitted, guard, is_certified
 from tessella.scale import (
     cut,
     exploded,
@@ -328,7 +328,7 @@ def certify(
     rows = to_fragments(emitted)
     if vote is not None:
         rows = vote(rows)
-    passed = guard(rows, config.gate).where(F.col("decision") == "accept")
+    passed = admitted(guard(rows, config.gate))
     one = passed.groupBy("id").agg(
         F.min_by(F.struct(*[F.col(c) for c in passed.columns if c != "id"]), F.struct(*OCCURRENCE)).alias("r")
     ).select("id", "r.*")

@@ -607,6 +607,7 @@ ORACLES: dict[str, str] = {
     "rollback": f"WITH {FRAG}, {BEST} SELECT s.start AS id, bp.best_parent AS previous, CASE WHEN bp.best_parent IS NULL THEN f.status ELSE 'archived' END AS status FROM {NEWEST} s LEFT JOIN bp ON bp.fragment_id = s.start JOIN frag f ON f.id = s.start",
     "node_model_stats": f"""WITH n AS (SELECT unnest([{{'field': 'model', 'value': CASE WHEN doc_id % 4 = 3 THEN '' ELSE 'm' || (doc_id % 4) END}}, {{'field': 'evaluator', 'value': CASE WHEN doc_id % 3 = 0 THEN '' ELSE 'e' || (doc_id % 3) END}},
   {{'field': 'quality_source', 'value': coalesce({origin('doc_id')}, '')}}, {{'field': 'total', 'value': 'all'}}]) AS u FROM documents) SELECT u.field AS field, u.value AS value, count(*) AS n FROM n WHERE u.value <> '' GROUP BY ALL""",
+    "appeal_answers": f"""WITH {APPEALS} SELECT id, md5(CASE WHEN status = 'approved' AND proposed_content <> '' THEN 'An approved appeal (' || id || ') was applied to synthesise the following response for: ' || explanation || chr(10) || chr(10) || {strip('proposed_content')} ELSE 'composed' END) AS digest FROM app""",
     "remove_node": f"WITH {FRAG} SELECT CASE WHEN doc_id % 4 = 3 THEN '' ELSE 'm' || (doc_id % 4) END AS model_id, count(*) AS n, sum(len({PARENTS}))::BIGINT AS links FROM documents WHERE doc_id % 11 <> 0 GROUP BY 1",
     "nodes_by_model": f"SELECT {frag_id('doc_id')} AS fragment_id, 'v' || (doc_id % 3) AS model_version FROM documents WHERE doc_id % 4 = 1 AND doc_id % 3 = 2",
     "submit_appeals": f"WITH {APPEALS} SELECT id, true AS found, 'pending_user_approval' AS status FROM app WHERE status <> 'draft' UNION ALL SELECT id || '-unknown', false, NULL FROM app",

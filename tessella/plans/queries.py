@@ -611,12 +611,18 @@ def governance_report(spark, d):
 @query
 def report_conflicts(spark, d):
     """Proposals against the archive with the built-in fallback embedding."""
-    a, f = TB.appeals(spark, d), TB.fragments(spark, d)
-    embed = VE.fallback_embedder("conflict")
-    stored = CF.conflict_features(f, VE.with_vectors(f.select("id", "content"), embed))
-    proposals = a.select(F.concat(F.lit("__proposed_"), "id").alias("id"), F.col("proposed_content").alias("content"))
-    probes = CF.conflict_features(proposals, VE.with_vectors(proposals, embed))
-    return CF.scan_probes(probes, stored)
+    return CF.proposal_conflicts(
+        TB.appeals(spark, d), TB.fragments(spark, d), VE.fallback_embedder("conflict"), 0.15
+    )
+
+
+@query
+def appeal_answers(spark, d):
+    a = TB.appeals(spark, d)
+    answer = HY.appeal_answer(
+        F.lit("composed"), F.col("id"), F.col("status"), F.col("proposed_content"), F.col("explanation")
+    )
+    return a.select("id", F.md5(answer).alias("digest"))
 
 
 @query

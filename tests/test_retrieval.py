@@ -210,3 +210,28 @@ def test_hot_copies_do_not_multiply(spark):
     df = spark.createDataFrame(rows, "id string, vec array<double>, content string")
     got = collected(CF.scan_archive(CF.conflict_features(df, df)))
     assert len(got) == 60 and set(got.values()) == {(59, 1.0, 0.0, 0)}
+
+
+def test_probes_skip_excluded_rows(spark, monkeypatch):
+    rows, features = conflict_rows(spark, 30)
+    probes = features.where("id < 'r06'").withColumn("exclude", F.array(F.lit("r03"), F.lit("r12")))
+    stored = [r for r in rows if r[0] not in ("r03", "r12")]
+    want = brute_conflicts(stored, rows[:6], 0.85)
+    assert collected(CF.scan_probes(probes, features)) == want
+    monkeypatch.setattr(CF, "PROBE_ROWS", 2)
+    assert collected(CF.scan_probes(probes, features)) == want
+
+
+def test_proposals_do_not_conflict_with_their_sources(spark):
+    f = spark.createDataFrame([("s", "same text"), ("t", "same text")], "id string, content string")
+    a = spark.createDataFrame([("p", ["s"], "same text"), ("q", ["s", "t"], "same text")], "id string, sources array<string>, proposed_content string")
+    got = collected(CF.proposal_conflicts(a, f, VE.fallback_embedder("conflict")))
+    assert set(got) == {"p"} and got["p"][0] == 1
+
+
+def test_answer_with_warnings(spark):
+    df = spark.createDataFrame([("ans", 0.874, ["w"]), ("ans", 0.5, [])], "a string, s double, w array<string>")
+    line = HY.conflict_warning(F.lit("x"), F.lit("y"), F.col("s"), F.lit("embedding_similarity"))
+    got = df.select(line.alias("l"), HY.with_warnings(F.col("a"), F.col("w")).alias("t")).collect()
+    assert got[0]["l"] == "⚠ Conflict detected: x vs y (similarity: 87%, method: embedding_similarity)"
+    assert [r["t"] for r in got] == ["ans\n\n--- Conflict Warnings ---\nw", "ans"]

@@ -236,3 +236,21 @@ def test_gated_stream(spark):
     live.gated_ingest(spark.readStream.schema(data.schema).parquet(folder), out, bad, ck).awaitTermination(60)
     assert {r["id"] for r in spark.read.parquet(out).collect()} == {"a", "c_improved"}
     assert {r["id"] for r in spark.read.parquet(bad).collect()} == {"b"}
+
+
+def test_certify_with_vote(spark):
+    text = "alpha beta gamma delta epsilon zeta eta theta iota kappa."
+    texts = spark.createDataFrame([(i, "ctx", text) for i in range(4)], "seq long, context string, content string")
+    stored = conform(spark.createDataFrame([("n", 0, "other words", 0.9)], "id string, seq long, content string, quality double"), schemas.FRAGMENTS)
+    config = EngineConfig(patterns=PatternConfig(base_thresholds={"phrase": 3}))
+    due = PA.candidates(PA.extract_phrases(texts), stored, config)
+    at = F.to_timestamp(F.lit("2024-01-01"))
+
+    def vote(*scores):
+        return lambda rows_: VO.accepted_fragments(VO.evaluate(rows_, constant(*scores)), at)
+
+    yes = PA.certify(due, stored, config, vote(0.9, 0.8, 0.8)).collect()
+    assert [r["id"].endswith("_vetted") for r in yes] == [True]
+    improved = PA.certify(due, stored, config, vote(0.8, 0.8, 0.4)).collect()
+    assert [(r["id"].endswith("_vetted_improved"), round(r["quality"], 4)) for r in improved] == [(True, 0.8167)]
+    assert PA.certify(due, stored, config, vote(0.1, 0.2, 0.9)).count() == 0
