@@ -321,5 +321,6 @@ def percent(share: Column) -> Column:
 
 
 def fixed(value: Column, digits: int) -> Column:
-    """Number with a fixed count of decimals, halves to even."""
-    return F.format_string(f"%.{digits}f", F.bround(value, digits))
+    """Number with a fixed count of decimals, halves to even; keeps the sign of -0.00."""
+    sign = F.when(value < 0, F.lit("-")).otherwise(F.lit(""))
+    return F.concat(sign, F.format_string(f"%.{digits}f", F.bround(F.abs(value), digits)))

@@ -127,3 +127,9 @@ def test_phrases_and_names(spark):
 
 def test_word_lists_are_whole():
     assert (len(lx.ASPECT_STOPWORDS), len(lx.HEDGES), len(lx.NEGATIONS), len(lx.ANTONYMS), len(lx.PHRASE_STOPWORDS)) == (85, 40, 28, 25, 33)
+
+
+@pytest.mark.parametrize("value, want", [(-0.001, "-0.00"), (0.125, "0.12"), (2.0, "2.00"), (-1.5, "-1.50")])
+def test_fixed_decimals(spark, value, want):
+    df = spark.createDataFrame([(value,)], "v double")
+    assert df.select(W.fixed(F.col("v"), 2)).first()[0] == want == f"{value:.2f}"
