@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tessella.llm.html_text import extract_pages
 from tessella.llm.language_id import identify_languages
+from tessella.llm.near_duplicates import near_duplicates
+from tessella.llm.piece_sampling import decode, encode_samples
 from tessella.llm.token_count import count_tokens
 from tessella.llm.toxicity import score_toxicity
 
@@ -28,10 +32,45 @@ def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return count_tokens(_read(spark, folder, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op3_piece_sampling(spark: SparkSession, folder: str) -> DataFrame:
+    """Two sampled segmentations of each text, decoded again: digests of pieces and text."""
+    path = tokenizer_file("piece_bpe_32k.model")
+    documents = _read(spark, folder, "documents")
+    plain = F.replace(F.coalesce("text", F.lit("")), F.lit("\u2581"), F.lit(" "))
+    sampled = encode_samples(documents.withColumn("text_hash", F.xxhash64(plain)), path, keep=("text_hash",))
+    return decode(sampled, path).select(
+        "doc_id",
+        "sample",
+        F.size("ids").cast("long").alias("n_pieces"),
+        F.hex(F.xxhash64("ids")).alias("pieces_hash"),
+        "log_prob",
+        "log_inclusion",
+        (F.xxhash64("decoded") == F.col("text_hash")).alias("round_trip"),
+    )
+
+
 def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return score_toxicity(_read(spark, folder, "documents"), _read(spark, folder, "labels"))
 
 
-REGISTRY = {f.__name__: f for f in (op1_language_id, op2_token_counts, op4_toxicity)}
+def op5_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(_read(spark, folder, "documents"))
+
+
+def op8_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return extract_pages(_read(spark, folder, "pages"))
+
+
+REGISTRY = {
+    f.__name__: f
+    for f in (
+        op1_language_id,
+        op2_token_counts,
+        op3_piece_sampling,
+        op4_toxicity,
+        op5_near_duplicates,
+        op8_html_text,
+    )
+}
 
 ORACLES: dict[str, str] = {}
