@@ -9,6 +9,7 @@ from tessella.llm.html_text import extract_pages
 from tessella.llm.language_id import identify_languages
 from tessella.llm.near_duplicates import near_duplicates
 from tessella.llm.piece_sampling import decode, encode_samples
+from tessella.llm.quality import assess_quality
 from tessella.llm.token_count import count_tokens
 from tessella.llm.toxicity import score_toxicity
 
@@ -61,6 +62,10 @@ def op8_html_text(spark: SparkSession, folder: str) -> DataFrame:
     return extract_pages(_read(spark, folder, "pages"))
 
 
+def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return assess_quality(_read(spark, folder, "documents"))
+
+
 REGISTRY = {
     f.__name__: f
     for f in (
@@ -70,6 +75,7 @@ REGISTRY = {
         op4_toxicity,
         op5_near_duplicates,
         op8_html_text,
+        op10_quality,
     )
 }
 
