@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.llm.chat import rotate_perspectives
+from tessella.llm.fingerprints import fingerprint_pairs
 from tessella.llm.html_text import extract_pages
 from tessella.llm.language_id import identify_languages
+from tessella.llm.mixing import mix_documents
 from tessella.llm.near_duplicates import near_duplicates
 from tessella.llm.piece_sampling import decode, encode_samples
 from tessella.llm.quality import assess_quality
@@ -58,10 +61,24 @@ def op5_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(_read(spark, folder, "documents"))
 
 
+def op6_chat_perspectives(spark: SparkSession, folder: str) -> DataFrame:
+    """All renderings; masks as text, start-end pairs with commas between."""
+    span = F.transform("masks", lambda m: F.concat_ws("-", m["start"].cast("string"), m["end"].cast("string")))
+    return rotate_perspectives(_read(spark, folder, "conversations")).withColumn("masks", F.array_join(span, ","))
+
+
+def op7_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprint_pairs(_read(spark, folder, "documents"))
+
+
 def op8_html_text(spark: SparkSession, folder: str) -> DataFrame:
     return extract_pages(_read(spark, folder, "pages"))
 
 
+def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mix_documents(_read(spark, folder, "documents"), _read(spark, folder, "labels"))
+
+
 def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     return assess_quality(_read(spark, folder, "documents"))
 
@@ -74,7 +91,10 @@ REGISTRY = {
         op3_piece_sampling,
         op4_toxicity,
         op5_near_duplicates,
+        op6_chat_perspectives,
+        op7_fingerprints,
         op8_html_text,
+        op9_mixing,
         op10_quality,
     )
 }
