@@ -8,8 +8,9 @@ shingle of later ranks can change it.
 
 Copies (equal shingle sets) are grouped first, so a class of any size is one row from
 there on. Texts that share a band meet in stars, not in pairs: each is verified against
-one centre of its bucket. Buckets that still hold several components are compared block
-by block, which leaves no candidate out.
+one centre of its bucket, then, where several components are left, against other centres.
+What still lies apart from a bucket's largest component is compared with all its members
+block by block, which leaves no candidate out.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from tessella.scale import cut
 
 BANDS, ROWS = 24, 4
 REGISTERS = BANDS * ROWS
+# Centres that a bucket with several components tries before its blocks are compared.
+STAR_TURNS = 4
 # Members of one block of a bucket that is compared pair by pair.
 BLOCK = 128
 
@@ -168,14 +171,13 @@ def _verified(batches: Iterator[pd.DataFrame], words: int, percent: int) -> Iter
         yield batch.loc[keep, ["a", "b"]]
 
 
-def _block_links(members: pd.DataFrame, words: int, percent: int) -> pd.DataFrame:
-    """Links between different components among the members of one pair of blocks.
+def _block_links(block: pd.DataFrame, words: int, percent: int) -> pd.DataFrame:
+    """Links of the strays of one block with its members of other components.
 
     Pairs whose components an earlier link has joined need no comparison, so the result has
-    fewer rows than members.
+    fewer rows than the block.
     """
-    members = members.drop_duplicates("row")
-    root = {c: c for c in members["component"]}
+    root = {c: c for c in block["component"]}
 
     def find(c: int) -> int:
         while root[c] != c:
@@ -183,17 +185,14 @@ def _block_links(members: pd.DataFrame, words: int, percent: int) -> pd.DataFram
             c = root[c]
         return c
 
-    sets = [exact_shingles(t, words) for t in members["text"]]
-    rows, component = members["row"].tolist(), members["component"].tolist()
-    side = members["side"].tolist()
-    whole = members["pair"].iloc[0] < 0  # one block with itself
+    strays, members = block[block["stray"]], block[~block["stray"]]
+    sets = {r: exact_shingles(t, words) for r, t in zip(block["row"], block["text"], strict=True)}
     found = []
-    for i in range(len(rows)):
-        for j in range(i):
-            if (whole or side[i] != side[j]) and find(component[i]) != find(component[j]):
-                if linked(sets[i], sets[j], percent):
-                    root[find(component[i])] = find(component[j])
-                    found.append((rows[i], rows[j]))
+    for a, own in zip(strays["row"], strays["component"], strict=True):
+        for b, other in zip(members["row"], members["component"], strict=True):
+            if find(own) != find(other) and linked(sets[a], sets[b], percent):
+                root[find(own)] = find(other)
+                found.append((a, b))
     return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
 
@@ -262,26 +261,24 @@ def near_duplicates(
         known.join(wanted.withColumnRenamed("class", "row"), "row").groupBy("row").agg(F.min("text").alias("text"))
     )
     links = cut(_verify(stars, body, words, percent))
-    found = components(links)
-    named = sizes.select("bucket", F.col("class").alias("row"), "n_shingles").join(found, "row", "left")
-    named = named.withColumn("component", F.coalesce("component", "row"))
-    open_ = named.groupBy("bucket").agg(
-        F.min("component").alias("low"),
-        F.max("component").alias("high"),
-        F.count("*").alias("members"),
-        # equal groups of members in several buckets need one comparison
-        F.sum(F.xxhash64("row").cast("decimal(38,0)")).alias("group"),
-    ).where("low < high")
-    one = open_.groupBy("group", "members").agg(F.min("bucket").alias("bucket"))
-    rest = named.join(one, "bucket")
-    more = cut(_compare_rest(rest, body, words, percent))
-    if not more.isEmpty():
-        found = components(links.union(more))
+    linked_rows = components(links).withColumnRenamed("row", "class")
+    state = cut(
+        wanted.join(linked_rows, "class", "left").select(
+            F.col("class").alias("row"), F.coalesce("component", "class").alias("component")
+        )
+    )
+    members = sizes.select("bucket", F.col("class").alias("row"))
+    for turn in range(STAR_TURNS):
+        state, more = _star_turn(members, state, body, turn, words, percent)
+        if not more:
+            break
+    state = _joined(state, cut(_compare_rest(members.join(state, "row"), body, words, percent)))
+    found = state.withColumnRenamed("row", "class")
     rows = signed.join(
         classes.select("set_a", "set_b", "n_shingles", "class"), ["set_a", "set_b", "n_shingles"], "left"
     )
     placed = (
-        rows.join(found.withColumnRenamed("row", "class"), "class", "left")
+        rows.join(found, "class", "left")
         .select("row", "n_shingles", F.coalesce("component", "class", "row").alias("component_id"))
     )
     unknown = texts.where(F.col("row").isNull() | F.col("text").isNull()).select(
@@ -305,29 +302,88 @@ def _verify(pairs: DataFrame, body: DataFrame, words: int, percent: int) -> Data
     )
 
 
-def _compare_rest(rest: DataFrame, body: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links between components that meet in a bucket, block against block.
+def _joined(state: DataFrame, links: DataFrame) -> DataFrame:
+    """``state`` (row, component) after links (a, b) between rows; components keep the name
+    of their smallest row."""
+    if links.isEmpty():
+        return state
+    named = links.join(state.select(F.col("row").alias("a"), F.col("component").alias("ca")), "a").join(
+        state.select(F.col("row").alias("b"), F.col("component").alias("cb")), "b"
+    )
+    moved = components(named.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select(
+        F.col("row").alias("component"), F.col("component").alias("now")
+    )
+    return cut(
+        state.join(moved, "component", "left").select("row", F.coalesce("now", "component").alias("component"))
+    )
+
+
+def _star_turn(
+    members: DataFrame, state: DataFrame, body: DataFrame, turn: int, words: int, percent: int
+) -> tuple[DataFrame, bool]:
+    """One more centre, drawn by hash, for each bucket (bucket, row) that still holds several
+    components: the new state, and whether there was any such bucket."""
+    named = members.join(state, "row")
+    drawn = named.groupBy("bucket").agg(
+        F.min("component").alias("low"),
+        F.max("component").alias("high"),
+        F.min_by(F.struct("row", "component"), F.xxhash64("row", F.lit(turn))).alias("centre"),
+    )
+    drawn = drawn.where("low < high").select(
+        "bucket", F.col("centre.row").alias("b"), F.col("centre.component").alias("other")
+    )
+    pairs = named.join(drawn, "bucket").where("component <> other").select(F.col("row").alias("a"), "b")
+    pairs = cut(pairs.distinct())
+    if pairs.isEmpty():
+        return state, False
+    return _joined(state, cut(_verify(pairs, body, words, percent))), True
+
 
-    ``rest`` has (bucket, row, component, members). Blocks hold about BLOCK members; every
-    two blocks of a bucket meet in one task, so no candidate of any bucket is left out.
+def _compare_rest(named: DataFrame, body: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links between the components that still meet in a bucket, block against block.
+
+    ``named`` has (bucket, row, component). All members outside a bucket's largest component
+    are compared with all members of other components: blocks of about BLOCK of the former
+    each meet every block of the bucket in one task. No candidate is left out, and a large
+    component next to a few strays costs its size, not its square.
     """
-    count = F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")
-    block = F.pmod(F.xxhash64("row", F.lit("block")), count).cast("int")
-    placed = rest.select("bucket", "row", "component", count.alias("blocks"), block.alias("block"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    met = placed.select("bucket", "row", "component", "block", other).select(
+    per = named.groupBy("bucket", "component").agg(
+        F.count("*").alias("n"), F.sum(F.xxhash64("row").cast("decimal(38,0)")).alias("sum")
+    )
+    open_ = per.groupBy("bucket").agg(
+        F.max_by("component", F.struct("n", "component")).alias("main"),
+        F.sum("n").alias("members"),
+        F.max("n").alias("most"),
+        F.count("*").alias("kinds"),
+        F.sum("sum").alias("group"),  # equal members in several buckets need one comparison
+    )
+    open_ = open_.where("kinds > 1").groupBy("group", "members").agg(F.min_by(F.struct("*"), "bucket").alias("o"))
+    counts = open_.select(
+        "o.bucket",
+        "o.main",
+        F.ceil(F.col("members") / F.lit(BLOCK)).cast("int").alias("blocks"),
+        F.ceil((F.col("members") - F.col("o.most")) / F.lit(BLOCK)).cast("int").alias("strays"),
+    )
+    placed = named.join(counts, "bucket").select(
         "bucket",
         "row",
         "component",
-        F.least("block", "other").alias("low"),
-        F.greatest("block", "other").alias("high"),
-        F.col("block").alias("side"),
+        "blocks",
+        "strays",
+        F.pmod(F.xxhash64("row", F.lit("block")), "blocks").cast("int").alias("block"),
+        F.when(
+            F.col("component") != F.col("main"), F.pmod(F.xxhash64("row", F.lit("stray")), "strays").cast("int")
+        ).alias("stray"),
+    )
+    each = ("bucket", "row", "component")
+    right = placed.select(*each, F.explode(F.sequence(F.lit(0), F.col("strays") - 1)).alias("i"), F.col("block").alias("j"), F.lit(False).alias("stray"))
+    left = placed.where("stray is not null").select(
+        *each, F.col("stray").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.lit(True).alias("stray")
     )
-    pair = F.when(F.col("low") == F.col("high"), -1).otherwise(1).alias("pair")
     return (
-        met.join(body, "row")
-        .select("bucket", "low", "high", "row", "component", "side", "text", pair)
-        .groupBy("bucket", "low", "high")
-        .applyInPandas(lambda members: _block_links(members, words, percent), "a long, b long")
+        left.unionByName(right)
+        .join(body, "row")
+        .groupBy("bucket", "i", "j")
+        .applyInPandas(lambda block: _block_links(block, words, percent), "a long, b long")
         .distinct()
     )
