@@ -107,29 +107,32 @@ def memberships(df: DataFrame, text: str, prior: np.ndarray, terms: np.ndarray)
 def fit_rates(grid: DataFrame, targets: np.ndarray) -> DataFrame:
     """Cells (_q0.., _tokens) with their rate.
 
-    Minimises the residual of the expected domain tokens, weighted by the inverse of the
-    domains' overlap, in which a step of length one is a full one unless rates meet zero.
+    Projected gradient on the residual of the expected domain tokens. The residual is
+    weighted by the inverse of the domains' overlap among the cells with a rate above zero,
+    so that a step of length one meets the targets unless further rates reach zero.
     """
     k = len(targets)
     share = [F.col(f"_q{i}") / F.lit(float(GRID)) for i in range(k)]
-    sums = grid.agg(
-        F.sum("_tokens").alias("n"),
-        *[F.sum(F.col("_tokens") * share[i] * share[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(k)],
-    ).first()
-    total = float(sums["n"] or 0)
+    total = float(grid.agg(F.sum("_tokens")).first()[0] or 0)
     if total <= 0:
         return grid.withColumn("rate", F.lit(1.0))
-    overlap = np.array([[sums[f"g{i}_{j}"] for j in range(k)] for i in range(k)], float) / total
-    inverse = np.linalg.pinv(overlap, rcond=1e-9)
     state = grid.withColumn("_x", F.lit(1.0))
     pending: list[np.ndarray] = []
     for _ in range(STEPS):
-        current = state.withColumn("_now", moved(pending, k))
-        got = current.agg(*[F.sum(F.col("_now") * F.col("_tokens") * share[i]).alias(f"t{i}") for i in range(k)]).first()
+        above = F.when(F.col("_now") > 0, F.col("_tokens")).otherwise(0)
+        got = (
+            state.withColumn("_now", moved(pending, k))
+            .agg(
+                *[F.sum(F.col("_now") * F.col("_tokens") * share[i]).alias(f"t{i}") for i in range(k)],
+                *[F.sum(above * share[i] * share[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(k)],
+            )
+            .first()
+        )
         residual = np.array([got[f"t{i}"] for i in range(k)], float) / total - targets
         if np.abs(residual).max() < TOLERANCE:
             break
-        pending.append(inverse @ residual)
+        overlap = np.array([[got[f"g{i}_{j}"] for j in range(k)] for i in range(k)], float) / total
+        pending.append(np.linalg.pinv(overlap, rcond=1e-9) @ residual)
         if len(pending) == 12:  # keeps expressions short; the cells are few
             state = cut(state.withColumn("_x", moved(pending, k)))
             pending = []
