@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from tessella.config import DEFAULT, GateConfig, IntakeConfig
 from tessella.functions import words as W
 from tessella.operators.gate import is_certified
+from tessella.operators.inrow import bounded_weights, top_rows
 from tessella.operators.vectors import nearest
 from tessella.scale import BROADCAST_ROWS, exploded, is_small, skew_join, small_side, top_per_group
 
@@ -33,6 +35,31 @@ def word_similarities(fragments: DataFrame, queries: DataFrame) -> DataFrame:
     )
 
 
+def _similar(fragments: DataFrame, queries: DataFrame, k: int, least: float) -> DataFrame:
+    """``qid, id, seq, sim``, at least every row of the top ``k`` per query.
+
+    Rows are compared with all queries inside their task; only a batch with too many words
+    to hold there shuffles pairs.
+    """
+    asked = queries.select("qid", W.word_set(F.col("text")).alias("ws"))
+    words = asked.select(
+        F.lit("").alias("shelf"), F.explode("ws").alias("term"), "qid", F.lit(1.0).alias("w"), F.lit(1.0).alias("mean_size")
+    )
+    held = bounded_weights(words, asked.select("qid", F.size("ws").alias("n")))
+    if held is None:
+        return word_similarities(fragments, queries).where(F.col("sim") >= least)
+    stored = fragments.select(F.lit("").alias("shelf"), "id", "seq", W.word_set(F.col("content")).alias("toks"))
+
+    def once(times, size, own):
+        return np.ones(len(times))
+
+    def share(shared, size, own):
+        return shared / np.minimum(own.query_sizes[None, :], np.maximum(size, 1)[:, None])
+
+    found = top_rows(stored.withColumn("size", F.size("toks")), held, k, once, share, least)
+    return found.select("qid", "id", "seq", F.col("score").alias("sim"))
+
+
 def candidates(
     fragments: DataFrame,
     queries: DataFrame,
@@ -48,12 +75,7 @@ def candidates(
     ``k`` of the leg that gives its larger value.
     """
     order = [F.round("sim", 9).desc(), F.col("seq").asc()]
-    by_words = top_per_group(
-        word_similarities(fragments, queries).where(F.col("sim") >= config.candidate_threshold),
-        ["qid"],
-        order,
-        k,
-    )
+    by_words = top_per_group(_similar(fragments, queries, k, config.candidate_threshold), ["qid"], order, k)
     if vectors is None:
         return by_words
     by_cosine = (

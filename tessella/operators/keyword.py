@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.config import DEFAULT, RetrievalConfig
 from tessella.functions import words as W
+from tessella.operators.inrow import bounded_weights, top_rows
 from tessella.scale import exploded, small_side, top_per_group
 
 EVERYTHING = "_all"
@@ -65,21 +66,56 @@ def bm25(
 ) -> DataFrame:
     """Top ``k`` rows per query (and shelf): ``qid, shelf, id, seq, score, rank``.
 
-    Only tokens that occur in some query leave the scan; their counts combine
-    before the shuffle.
+    Two passes over the texts: the first counts the rows of each query word, the second
+    scores whole rows inside their task and shuffles k rows per query and task. A batch
+    with too many query words to hold in a task joins postings instead.
     """
     terms = query_terms(queries)
-    wanted, n_terms = _wanted(terms)
-    matched = _count_terms(_tokenised(fragments, by_shelf).join(wanted, "term", "left_semi"))
-    # without shelves every query term has one weight, so the count bounds the side
-    return _rank(_score(terms, None if by_shelf else n_terms, matched, config), k)
+    rows = _rows(fragments, by_shelf)
+    weights = bounded_weights(_weights(terms, _row_counts(rows, terms)))
+    if weights is None:
+        matched = build_postings(fragments, by_shelf).join(
+            terms.select("term").distinct().unionByName(_mark(terms)), "term", "left_semi"
+        )
+        return _rank(_score(terms, None, matched, config), k)
+    k1, b = config.k1, config.b
+
+    def saturation(times, size, own):
+        return times * (k1 + 1) / (times + k1 * (1 - b + b * size / own.mean_size))
+
+    return _rank(top_rows(rows, weights, k, saturation), k)
+
+
+def _rows(fragments: DataFrame, by_shelf: bool) -> DataFrame:
+    shelf = F.col("shelf") if by_shelf else F.lit(EVERYTHING)
+    rows = fragments.select(shelf.alias("shelf"), "id", "seq", W.tokens(F.col("content")).alias("toks"))
+    return rows.withColumn("size", F.size("toks")).where("size > 0")
+
+
+def _row_counts(rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """``shelf, term, df, docs, avgdl`` of the query words."""
+    wanted = small_side(terms.select("term").distinct())
+    found = rows.select("shelf", F.explode(F.array_distinct("toks")).alias("term")).join(wanted, "term")
+    counts = found.groupBy("shelf", "term").agg(F.count("*").alias("df"))
+    shelves = rows.groupBy("shelf").agg(F.count("*").alias("docs"), F.avg("size").alias("avgdl"))
+    return counts.join(shelves, "shelf")
+
+
+def _weights(terms: DataFrame, counts: DataFrame) -> DataFrame:
+    idf = F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    return terms.join(counts, "term").select(
+        "shelf", "term", "qid", (F.col("qtf") * idf).alias("w"), F.col("avgdl").alias("mean_size")
+    )
+
+
+def _mark(terms: DataFrame) -> DataFrame:
+    return terms.sparkSession.createDataFrame([(ROW_MARK,)], "term string")
 
 
 def _wanted(terms: DataFrame) -> tuple[DataFrame, int]:
     """Terms to keep (query terms and the row mark) and the (qid, term) row count."""
     n = terms.count()
-    mark = terms.sparkSession.createDataFrame([(ROW_MARK,)], "term string")
-    return small_side(terms.select("term").distinct().unionByName(mark), n + 1), n
+    return small_side(terms.select("term").distinct().unionByName(_mark(terms)), n + 1), n
 
 
 def _tokenised(fragments: DataFrame, by_shelf: bool) -> DataFrame:

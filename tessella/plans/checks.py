@@ -81,9 +81,7 @@ frag2 AS (SELECT *, {THRESHOLD} AS threshold, quality >= {THRESHOLD} AS sure,
   substring(sha256(id || '::' || content || '::' || strftime(created_at, '%Y-%m-%dT%H:%M:%S+00:00')), 1, 16) AS checksum
   FROM frag)"""
 
-QUERIES = f"""q0 AS (SELECT item_id AS qid, {words('text')} AS ws FROM benchmark),
-q AS (SELECT qid, array_to_string(ws[1:(CASE WHEN qid % 2 = 0 THEN 3 ELSE 9 END)], ' ')
-      || CASE WHEN qid % 4 = 0 THEN ' ' || ws[1] ELSE '' END AS text FROM q0)"""
+QUERIES = f"""q AS (SELECT item_id AS qid, text || CASE WHEN item_id % 4 = 0 THEN ' ' || {words('text')}[1] ELSE '' END AS text FROM benchmark)"""
 
 VECTORS = f"""nv AS (SELECT count(*) AS n FROM embeddings),
 vec AS (SELECT {frag_id('d.doc_id')} AS id, d.doc_id AS seq, e.embedding::DOUBLE[] AS vec
@@ -94,15 +92,15 @@ qvec AS (SELECT b.item_id AS qid, e.embedding::DOUBLE[] AS vec
 _ops = listed(schemas.OPERATION_TYPES)
 _statuses = listed(schemas.APPEAL_STATUSES)
 APPEALS = f"""nd AS (SELECT count(*) AS n FROM documents),
-app0 AS (SELECT c.*, (conv_id * 7 + turn) % n AS s1, (conv_id * 13) % n AS s2 FROM conversations c, nd WHERE turn >= 1),
+app0 AS (SELECT c.*, (conv_id * 7 + turn) % n AS s1, (conv_id * 13) % n AS s2 FROM conversations c, nd),
 app AS (SELECT 'A-' || conv_id || '-' || turn AS id, conv_id * 1000 + turn AS seq, conv_id, turn,
   list_concat([{frag_id('s1')}, {frag_id('s2')}], CASE WHEN conv_id % 17 = 0 THEN ['D-missing'] ELSE []::VARCHAR[] END) AS sources,
   list_transform(range(1, 1 + CASE WHEN conv_id % 23 = 0 THEN 11 ELSE turn % 3 END), lambda i: {_ops}[(conv_id + i) % 7 + 1]) AS ops,
   {_statuses}[(conv_id + turn) % 5 + 1] AS status,
-  array_to_string({words('d.text')}[1:(20 + conv_id % 30)], ' ')
+  d.text
     || CASE WHEN turn % 3 = 0 THEN ' perhaps maybe' ELSE '' END
     || CASE WHEN turn % 4 = 0 THEN ' not never' ELSE '' END
-    || CASE WHEN role = 'assistant' THEN ' ' || a.text ELSE '' END AS proposed_content,
+    || ' ' || a.text AS proposed_content,
   'explanation ' || conv_id AS explanation,
   TIMESTAMP '2024-01-01' + to_hours(conv_id) AS created_at,
   CASE WHEN (conv_id + turn) % 5 IN (2, 3) THEN TIMESTAMP '2024-01-01' + to_hours(conv_id) + to_seconds(turn * 977) END AS resolved_at

@@ -47,6 +47,7 @@ QUARANTINE = (
 # Names that appear in stored data.
 FRAGMENT_STATUSES = ("active", "archived", "deprecated", "pending_review")
 OPERATION_TYPES = ("merge", "reorder", "prune", "annotate", "split", "rewrite", "condense")
+# Must match (statuses, sources, paths, types).
 APPEAL_STATUSES = ("draft", "pending_user_approval", "approved", "rejected", "expired")
 CLOSED_APPEAL_STATUSES = ("approved", "rejected", "expired")
 DECIDED_APPEAL_STATUSES = ("approved", "rejected")
@@ -62,4 +63,5 @@ QUALITY_SOURCES = (
 )
 DISPATCH_PATHS = ("compose", "partial", "generate")
 PATTERN_TYPES = ("function", "constant", "library", "phrase")
+# Must match.
 CALIBRATION_LABELS = ("good", "borderline", "bad", "junk")

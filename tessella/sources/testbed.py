@@ -124,13 +124,11 @@ def edges(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries(spark: SparkSession, folder: str) -> DataFrame:
-    q = F.col("item_id")
-    ws = W.words(F.col("text"))
-    head = F.slice(ws, 1, F.when(q % 2 == 0, 3).otherwise(9))
-    text = F.array_join(head, " ")
+    """Whole benchmark texts; every fourth has its first word once more."""
+    q, text = F.col("item_id"), F.col("text")
+    again = F.concat_ws(" ", text, F.get(W.words(text), F.lit(0)))
     return table(spark, folder, "benchmark").select(
-        q.alias("qid"),
-        F.when(q % 4 == 0, F.concat_ws(" ", text, F.get(ws, F.lit(0)))).otherwise(text).alias("text"),
+        q.alias("qid"), F.when(q % 4 == 0, again).otherwise(text).alias("text")
     )
 
 
@@ -160,17 +158,17 @@ def query_vectors(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def appeals(spark: SparkSession, folder: str) -> DataFrame:
+    """One proposal per conversation turn: its whole source text and the whole turn."""
     docs = table(spark, folder, "documents")
     count = docs.count()
     c, t = F.col("conv_id"), F.col("turn")
     turns = (
         table(spark, folder, "conversations")
-        .where(t >= 1)
         .withColumn("first_source", (c * 7 + t) % count)
         .withColumn("second_source", (c * 13) % count)
     )
     opening = docs.select(
-        F.col("doc_id").alias("first_source"), W.words(F.col("text")).alias("source_words")
+        F.col("doc_id").alias("first_source"), F.col("text").alias("source_text")
     )
     status = F.get(W.strings(schemas.APPEAL_STATUSES), ((c + t) % 5).cast("int"))
     created = F.timestamp_seconds(F.unix_timestamp(F.lit(EPOCH)) + c * 3600)
@@ -188,10 +186,11 @@ def appeals(spark: SparkSession, folder: str) -> DataFrame:
         ),
     )
     proposal = F.concat(
-        F.array_join(F.slice("source_words", F.lit(1), (20 + c % 30).cast("int")), " "),
+        F.col("source_text"),
         F.when(t % 3 == 0, F.lit(" perhaps maybe")).otherwise(F.lit("")),
         F.when(t % 4 == 0, F.lit(" not never")).otherwise(F.lit("")),
-        F.when(F.col("role") == "assistant", F.concat(F.lit(" "), "text")).otherwise(F.lit("")),
+        F.lit(" "),
+        F.col("text"),
     )
     return turns.join(opening, "first_source").select(
         F.concat(F.lit("A-"), c, F.lit("-"), t).alias("id"),
