@@ -320,7 +320,30 @@ def percent(share: Column) -> Column:
     return F.bround(share * 100, 0).cast("long").cast("string")
 
 
+def rounded(value: Column, digits: int) -> Column:
+    """Rounded as the exact binary value demands, exact halves to even; keeps the sign of 0.
+
+    0.075 lies just below its decimal text, so it becomes 0.07. The product with the power
+    of ten is taken together with its rounding error (split into halves of 26 bits).
+    """
+    power = F.lit(10.0**digits)
+    x = F.abs(value.cast("double"))
+
+    def halves(v: Column) -> tuple[Column, Column]:
+        high = v * F.lit(134217729.0) - (v * F.lit(134217729.0) - v)
+        return high, v - high
+
+    product = x * power
+    (xh, xl), (ph, pl) = halves(x), halves(power)
+    error = ((xh * ph - product) + xh * pl + xl * ph) + xl * pl
+    whole = F.floor(product).cast("double")
+    past_half = (product - whole - F.lit(0.5)) + error
+    up = (past_half > 0) | ((past_half == 0) & (whole % 2 == 1))
+    out = (whole + up.cast("double")) / power
+    return F.when(value < 0, -out).otherwise(out)
+
+
 def fixed(value: Column, digits: int) -> Column:
     """Number with a fixed count of decimals, halves to even; keeps the sign of -0.00."""
     sign = F.when(value < 0, F.lit("-")).otherwise(F.lit(""))
-    return F.concat(sign, F.format_string(f"%.{digits}f", F.bround(F.abs(value), digits)))
+    return F.concat(sign, F.format_string(f"%.{digits}f", rounded(F.abs(value), digits)))

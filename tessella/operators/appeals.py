@@ -342,7 +342,7 @@ def explanation_text(row_ops: Column, n_sources: Column) -> Column:
         F.lit("% content coverage and "),
         W.percent(F.col("risk")),
         F.lit("% estimated risk. The aggregate quality score is "),
-        F.round("aggregate_score", 3).cast("string"),
+        W.rounded(F.col("aggregate_score"), 3).cast("string"),
         F.lit("."),
     )
 

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella import schemas
+from tessella.functions import words as W
 from tessella.operators.archive import checksum, clamp01, iso_utc, restore
 from tessella.scale import small_side
 
@@ -193,7 +194,7 @@ def appeal_json(appeals: DataFrame) -> DataFrame:
     """``id, json``; metric values are rounded here and nowhere else."""
     metrics = F.col("metrics")
     for name in ("coverage", "risk", "aggregate_score"):
-        metrics = metrics.withField(name, F.round(F.col(f"metrics.{name}"), 4))
+        metrics = metrics.withField(name, W.rounded(F.col(f"metrics.{name}"), 4))
     return appeals.select(
         "id",
         F.to_json(
