@@ -622,10 +622,9 @@ ORACLES: dict[str, str] = {
     "quarantine_dump": f"WITH {FRAG}, q AS (SELECT {frag_id('event_id')} AS fragment_id, 'scoring failed' AS reason, value > 150 AS resolved FROM events WHERE event_type = 'error') SELECT q.*, f.topic, round(f.quality, 4) AS quality FROM q LEFT JOIN frag f ON f.id = q.fragment_id",
     "pattern_dump": f"WITH {PHRASES} SELECT seq, pos, 'phrase' AS type, substring(phrase, 1, 100) AS preview, context, substring(hash, 1, 12) AS hash FROM ph",
     "overlap_excerpt": f"""WITH {FRAG}, {APPEALS}, {LINKS},
- aw AS (SELECT a.id, c.pos, unnest(list_transform({words('a.proposed_content')}, lambda w, i: {{'w': w, 'i': i}})) AS u, {words('c.content')} AS cw FROM app a JOIN cited c ON c.id = a.id),
- kept AS (SELECT id, pos, u.w AS w, u.i AS i, sum(length(u.w) + 1) OVER (PARTITION BY id, pos ORDER BY u.i) - 1 - length(u.w) - 1 AS before FROM aw WHERE list_contains(cw, u.w)),
- joined AS (SELECT id, pos, string_agg(w, ' ' ORDER BY i) AS t FROM kept WHERE before <= 100 GROUP BY id, pos),
- cutted AS (SELECT id, pos, CASE WHEN length(t) > 100 THEN substring(t, 1, 100) || '...' ELSE t END AS t FROM joined)
+ aw AS (SELECT a.id, c.pos, {words('a.proposed_content')} AS pw, {words('c.content')} AS cw FROM app a JOIN cited c ON c.id = a.id),
+joined AS (SELECT id, pos, array_to_string(list_filter(pw, lambda w: list_contains(cw, w)), ' ') AS t FROM aw),
+cutted AS (SELECT id, pos, CASE WHEN length(t) > 100 THEN substring(t, 1, 100) || '...' ELSE t END AS t FROM joined)
  SELECT c.id, c.pos, CASE WHEN length(x.t) > 10 THEN x.t ELSE '' END AS excerpt FROM cited c LEFT JOIN cutted x ON x.id = c.id AND x.pos = c.pos""",
     "archive_conflicts": conflicts(0.85),
     "archive_conflicts_wide": conflicts(0.3),
