@@ -6,6 +6,8 @@ nothing is held in the driver.
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,12 +21,13 @@ from tessella.operators import governance as GO
 from tessella.operators import hybrid as HY
 from tessella.operators import keyword as KW
 from tessella.operators import vectors as VE
-from tessella.scale import cut
+from tessella.scale import cut, small_side
 from tessella.sources.state import TableStore
 
 
 def _clock(now: Column | None) -> Column:
-    return F.current_timestamp() if now is None else now
+    """One moment for all jobs of a call: a literal, where none is given."""
+    return F.lit(datetime.now(UTC)) if now is None else now
 
 
 class UnknownSources(ValueError):
@@ -79,11 +82,16 @@ class Engine:
 
     # -- ingest ------------------------------------------------------------------
 
+    def _next_seq(self) -> Column:
+        """Numbers after all stored ones, so parents always come before children."""
+        last = [self.store.read(name).agg(F.max("seq")).first()[0] for name in ("fragments", "nodes")]
+        return F.lit(max((n for n in last if n is not None), default=-1) + 1) + F.monotonically_increasing_id()
+
     def prepare(self, rows: DataFrame, now: Column | None = None) -> DataFrame:
         """Fill defaults and checksum of new rows (``id, content`` at least)."""
         texts = F.array().cast("array<string>")
         defaults = {
-            "seq": F.monotonically_increasing_id(), "shelf": F.lit("main"), "topic": F.lit(""),
+            "seq": self._next_seq(), "shelf": F.lit("main"), "topic": F.lit(""),
             "source": F.lit(""), "quality": F.lit(0.0), "author": F.lit(""), "tags": texts,
             "parents": texts, "status": F.lit("active"), "created_at": _clock(now),
         }
@@ -100,12 +108,15 @@ class Engine:
 
     def ingest(self, rows: DataFrame, now: Column | None = None, model_id: str = "") -> DataFrame:
         """Gate, insert and record nodes; returns ``id, accepted, reject_reason``."""
-        shelf = self.store.read("shelves").select(F.col("name").alias("shelf"), F.col("topic").alias("_topic"))
-        prepared = self.prepare(rows, now).join(shelf, "shelf", "left").withColumn(
+        now = _clock(now)
+        shelf = self.store.read("shelves").select(
+            F.col("name").alias("shelf"), F.col("topic").alias("_topic"), F.col("threshold").alias("_shelf_threshold")
+        )
+        prepared = self.prepare(rows, now).join(small_side(shelf), "shelf", "left").withColumn(
             "topic", F.coalesce(F.nullif("topic", F.lit("")), "_topic", F.lit(""))
         ).drop("_topic")
-        guarded = cut(GA.guard(prepared, self.config.gate))
-        passed = self.prepare(GA.admitted(guarded).drop("checksum"), now)
+        guarded = cut(GA.guard(prepared, self.config.gate, floor=F.col("_shelf_threshold")))
+        passed = self.prepare(GA.admitted(guarded).drop("checksum", "_shelf_threshold"), now)
         judged = cut(AR.insert(passed, self.store.read("fragments"), self.config))
         stored = judged.where("accepted")
         self.store.append("fragments", stored)
@@ -188,8 +199,10 @@ class Engine:
         if bad:
             raise NotPending(f"appeals not pending approval: {[r[0] for r in bad]}")
         new_rows = cut(new_rows)
-        self.store.append("fragments", self.prepare(new_rows.drop("appeal_id"), now))
-        self.store.append("nodes", cut(new_nodes.withColumn("timestamp", now).withColumn("seq", F.monotonically_increasing_id() + 1_000_000_000_000)))
+        stored = cut(self.prepare(new_rows.drop("appeal_id"), now))
+        numbers = stored.select(F.col("id").alias("fragment_id"), "seq")
+        self.store.append("fragments", stored)
+        self.store.append("nodes", cut(new_nodes.withColumn("timestamp", now).join(numbers, "fragment_id")))
         done = self.appeals().join(ids.select("id"), "id", "left_semi")
         self.store.append("appeals", cut(done.withColumn("status", F.lit("approved")).withColumn("resolved_at", now)))
         return new_rows

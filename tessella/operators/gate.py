@@ -52,22 +52,31 @@ def guard(
     fragments: DataFrame,
     config: GateConfig = DEFAULT.gate,
     improve: Callable[[DataFrame], DataFrame] | None = heuristic_improve,
+    floor: Column | None = None,
 ) -> DataFrame:
     """Add ``decision``: accept, accept_improved or reject.
 
     A row below its threshold is improved once and tested again; the improved
     row carries no quality source, so the default threshold applies to it. Pass
     ``improve`` to plug in another improver that adds an ``improved`` struct.
+    ``floor`` is the threshold of the row's shelf (NULL: none): rows without a known
+    source, and improved ones, are measured by it instead of the default.
     """
     source = F.col("provenance.final_source")
-    judged = fragments.withColumn("threshold", threshold_for(source, config))
+    default = F.lit(config.default_threshold)
+    if floor is not None:
+        default = F.coalesce(floor, default)
+    known = F.coalesce(source.isin(list(config.source_thresholds)), F.lit(False))
+    judged = fragments.withColumn(
+        "threshold", F.when(known, threshold_for(source, config)).otherwise(default)
+    )
     if improve is None:
         judged = judged.withColumn("improved", F.lit(None))
         second = F.lit(False)
     else:
         judged = improve(judged)
         second = F.coalesce(
-            F.col("improved.quality") >= config.default_threshold, F.lit(False)
+            F.col("improved.quality") >= default, F.lit(False)
         )
     decision = (
         F.when(F.col("quality") >= F.col("threshold"), F.lit("accept"))

@@ -146,7 +146,14 @@ def evaluate(
     routed = fragments.withColumn(
         "route", route(F.col("quality"), F.col("provenance.final_source"), config)
     )
-    return verdict(with_scores(routed, scorers or mock_scorers()), config)
+    asked = scorers or mock_scorers()
+    votes = F.col("route") == "vote"
+    unasked = F.create_map(*[x for n in asked for x in (F.lit(n), F.lit(None).cast("double"))])
+    # scorers may cost money: only the rows that vote reach them
+    scored = with_scores(routed.where(votes), asked).unionByName(
+        routed.where(~votes).withColumn("scores", unasked)
+    )
+    return verdict(scored, config)
 
 
 def accepted_fragments(

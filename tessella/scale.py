@@ -6,6 +6,7 @@ or sampled.
 
 from __future__ import annotations
 
+import re
 import tempfile
 from functools import reduce
 
@@ -19,45 +20,53 @@ SALTS = 32
 
 
 def session(app: str = "tessella", master: str | None = None, **conf: str) -> SparkSession:
-    """Session with the settings the engine relies on; cluster settings win."""
+    """Session with the settings the engine relies on; ``conf`` and what the cluster was
+    started with win over them."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
+    for key, value in conf.items():
+        builder = builder.config(key, value)
+    spark = builder.getOrCreate()
+    given = spark.sparkContext.getConf()
     settings = {
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
-        **conf,
     }
     for key, value in settings.items():
-        builder = builder.config(key, value)
-    return builder.getOrCreate()
+        if not given.contains(key) and key not in conf:
+            spark.conf.set(key, value)
+    return spark
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and forget its lineage.
 
-    The folder comes from ``spark.checkpoint.dir``; a temporary one is used only
-    where the session names none (single-machine tests).
+    The folder comes from ``spark.checkpoint.dir``. Only a session on one machine may go
+    without: it gets a temporary folder. On a cluster a missing setting is an error, since
+    executors do not share their disks.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         configured = spark.conf.get("spark.checkpoint.dir", None)
+        if configured is None and not re.fullmatch(r"local(\[[^]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="tessella-ckpt-"))
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give a table with fewer splits than cores to all cores.
+def spread(df: DataFrame, splits: int = 64) -> DataFrame:
+    """Give a table of few splits to all cores.
 
-    Small files come as one split. A table with enough splits is left as it is,
-    so large tables are never shuffled by this.
+    Small files come as one split. A table with ``splits`` splits or more is left as it
+    is, however many cores there are, so at most so many splits are ever shuffled.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < min(cores, splits) else df
 
 
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:

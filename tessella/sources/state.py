@@ -243,7 +243,9 @@ class TableStore:
         """Rows of the newest base and its commits, with both numbers."""
         try:
             log = self.spark.read.parquet(f"{self.root}/{name}")
-        except AnalysisException:
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise  # unreadable is not the same as absent
             return None
         newest = log.agg(F.max(F.struct("base", "commit")).alias("m")).first()["m"]
         if newest is None:
