@@ -99,4 +99,39 @@ REGISTRY = {
     )
 }
 
-ORACLES: dict[str, str] = {}
+# The others have no SQL: classifiers, tokenisers, samples, parsers and iterated estimates.
+# The tests hold them against brute force.
+ORACLES = {
+    "op5_near_duplicates": r"""WITH RECURSIVE
+w AS (SELECT doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+sh AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN []::VARCHAR[]
+    WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' ')) END) AS s FROM w),
+e AS (SELECT doc_id, unnest(s) AS g FROM sh),
+common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n
+    FROM e x JOIN e y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+linked AS (SELECT a, b FROM common JOIN sh x ON x.doc_id = a JOIN sh y ON y.doc_id = b
+    WHERE 100 * n >= 80 * (len(x.s) + len(y.s) - n)),
+ways AS (SELECT a, b FROM linked UNION SELECT b, a FROM linked),
+reached AS (SELECT doc_id AS root, doc_id AS node FROM sh
+    UNION SELECT r.root, w.b FROM reached r JOIN ways w ON r.node = w.a)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, c.component_id, doc_id = c.component_id AS kept
+FROM sh JOIN (SELECT node, min(root) AS component_id FROM reached GROUP BY node) c ON c.node = doc_id""",
+    "op6_chat_perspectives": """WITH
+t AS (SELECT conv_id, coalesce(role, 'unknown') AS who, coalesce(text, '') AS said,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, 'unknown'), coalesce(text, '')) - 1 AS pos
+    FROM conversations),
+s AS (SELECT DISTINCT conv_id, who AS me FROM t WHERE who <> 'system'),
+p AS (SELECT t.conv_id, me, pos // 256 AS part, pos, who = me AS mine, said || '<|im_end|>' || chr(10) AS body,
+    '<|im_start|>' || CASE WHEN who = 'system' THEN 'system' WHEN who = me THEN 'assistant'
+      ELSE 'user name=' || who END || chr(10) AS head
+    FROM t JOIN s ON s.conv_id IS NOT DISTINCT FROM t.conv_id),
+q AS (SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, me, part ORDER BY pos) AS stop FROM p)
+SELECT conv_id, me AS perspective, part::INTEGER AS part, count(*)::INTEGER AS n_turns,
+  string_agg(head || body, '' ORDER BY pos) AS text,
+  coalesce(string_agg(CASE WHEN mine THEN (stop - length(body)) || '-' || stop END, ',' ORDER BY pos), '') AS masks,
+  sum(CASE WHEN mine THEN length(body) ELSE 0 END)::INTEGER AS n_trained
+FROM q GROUP BY conv_id, me, part""",
+}
