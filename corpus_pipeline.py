@@ -59,11 +59,18 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> D
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Each row as often as its rate says, so that domains meet TARGETS in tokens."""
-    mixed = mix_documents(docs, _labels(spark, folder), targets=TARGETS, keep=tuple(docs.columns))
-    times = fresh(docs, "times")
-    return mixed.withColumn(times, F.explode(F.sequence(F.lit(0), copies("rate", "doc_id")))).where(
-        F.col(times) > 0
-    ).select(docs.columns)
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}  # no name meets a computed one
+    mixed = mix_documents(
+        docs.toDF(*names.values()),
+        _labels(spark, folder),
+        targets=TARGETS,
+        id_column=names["doc_id"],
+        text_column=names["text"],
+        keep=tuple(names.values()),
+    )
+    times = F.explode(F.sequence(F.lit(0), copies("rate", names["doc_id"]))).alias("times")
+    repeated = mixed.select(*names.values(), times).where("times > 0").drop("times")
+    return repeated.select(*names.values()).toDF(*names)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

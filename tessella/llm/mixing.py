@@ -156,9 +156,11 @@ def mix_documents(
     id_column: str = "doc_id",
     text_column: str = "text",
     keep: tuple[str, ...] = (),
+    label_id_column: str = "doc_id",
 ) -> DataFrame:
-    """One row per document: id, the columns of ``keep``, n_tokens (words), p_<domain> for
-    each target domain (multiples of 1 / GRID that sum to 1), rate (>= 0).
+    """One row per document: id, the columns of ``keep`` (named unlike the following),
+    n_tokens (words), p_<domain> for each target domain (multiples of 1 / GRID that sum to
+    1), rate (>= 0).
 
     ``domain`` maps a row of labels to a domain; rows that map to none of the targets, and
     documents without text, teach nothing. Of several labels of one id the alphabetically
@@ -168,7 +170,7 @@ def mix_documents(
     rows of their own; an empty table gives an empty result. No rows are dropped.
     """
     targets = TARGETS if targets is None else targets
-    marks = labels.select(quoted(id_column).alias("_id"), (domain_of_labels() if domain is None else domain).alias("domain"))
+    marks = labels.select(quoted(label_id_column).alias("_id"), (domain_of_labels() if domain is None else domain).alias("domain"))
     marks = marks.where(F.col("domain").isin(*targets) & F.col("_id").isNotNull())
     marks = marks.groupBy("_id").agg(F.max("domain").alias("domain"))
     texts = documents.where(quoted(text_column).isNotNull()).select(
