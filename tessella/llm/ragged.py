@@ -76,13 +76,23 @@ class _Powers:
 _UP, _DOWN = _Powers(_BASE), _Powers(_BASE_INVERSE)
 
 
+class SpanHasher:
+    """64-bit hashes of spans of one array, after one pass over it."""
+
+    def __init__(self, codes: np.ndarray):
+        n = len(codes)
+        self.prefix = np.zeros(n + 1, np.uint64)
+        np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * _UP.upto(n)[:n], out=self.prefix[1:])
+        self.down = _DOWN.upto(n + 1)
+
+    def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Equal spans have equal hashes wherever they stand."""
+        raw = (self.prefix[ends] - self.prefix[starts]) * self.down[starts]
+        return mix(raw + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
 def span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each span; equal spans have equal hashes wherever they stand."""
-    n = len(codes)
-    prefix = np.zeros(n + 1, np.uint64)
-    np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * _UP.upto(n)[:n], out=prefix[1:])
-    raw = (prefix[ends] - prefix[starts]) * _DOWN.upto(n + 1)[starts]
-    return mix(raw + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    return SpanHasher(codes).hashes(starts, ends)
 
 
 def runs(inside: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
