@@ -69,7 +69,7 @@ class IntakeConfig:
     min_aspects: int = 2
     proceed_share: float = 0.4
     top_k: int = 10
-    count_cap: int = 100
+    count_cap: int | None = None  # no limit
 
 
 @dataclass(frozen=True)

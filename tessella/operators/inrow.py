@@ -125,3 +125,22 @@ def top_rows(rows: DataFrame, weights: dict[str, Weights], k: int, value, finish
     return rows.select("shelf", "id", "seq", "toks", "size").mapInPandas(
         task, "qid long, shelf string, id string, seq long, score double"
     )
+
+
+def counted_rows(rows: DataFrame, weights: dict[str, Weights], value, finish, least: float) -> DataFrame:
+    """``qid, n``: rows that reach ``least`` with each query, counted inside the tasks; one
+    row per query and task, to be summed."""
+
+    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for shelf, part in batch.groupby("shelf", dropna=False, sort=False):
+                own = weights.get(shelf)
+                if own is None:
+                    continue
+                total = np.zeros(len(own.queries), np.int64)
+                for first, table in _scores(part, own, value):
+                    table = finish(table, part["size"].to_numpy()[first : first + len(table)], own)
+                    total += ((table > 0) & (table >= least)).sum(axis=0)
+                yield pd.DataFrame({"qid": own.queries, "n": total})
+
+    return rows.select("shelf", "id", "seq", "toks", "size").mapInPandas(task, "qid long, n long")

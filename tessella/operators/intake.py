@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessella.config import DEFAULT, GateConfig, IntakeConfig
 from tessella.functions import words as W
 from tessella.operators.gate import is_certified
-from tessella.operators.inrow import bounded_weights, top_rows
+from tessella.operators.inrow import bounded_weights, counted_rows, top_rows
 from tessella.operators.vectors import nearest
 from tessella.scale import BROADCAST_ROWS, exploded, is_small, skew_join, small_side, top_per_group
 
@@ -35,28 +35,38 @@ def word_similarities(fragments: DataFrame, queries: DataFrame) -> DataFrame:
     )
 
 
-def _similar(fragments: DataFrame, queries: DataFrame, k: int, least: float) -> DataFrame:
-    """``qid, id, seq, sim``, at least every row of the top ``k`` per query.
-
-    Rows are compared with all queries inside their task; only a batch with too many words
-    to hold there shuffles pairs.
-    """
+def _held(queries: DataFrame) -> dict | None:
+    """Words of the queries as they are held in a task; None if there are too many."""
     asked = queries.select("qid", W.word_set(F.col("text")).alias("ws"))
     words = asked.select(
         F.lit("").alias("shelf"), F.explode("ws").alias("term"), "qid", F.lit(1.0).alias("w"), F.lit(1.0).alias("mean_size")
     )
-    held = bounded_weights(words, asked.select("qid", F.size("ws").alias("n")))
-    if held is None:
-        return word_similarities(fragments, queries).where(F.col("sim") >= least)
+    return bounded_weights(words, asked.select("qid", F.size("ws").alias("n")))
+
+
+def _word_rows(fragments: DataFrame) -> DataFrame:
     stored = fragments.select(F.lit("").alias("shelf"), "id", "seq", W.word_set(F.col("content")).alias("toks"))
+    return stored.withColumn("size", F.size("toks"))
+
+
+def _once(times, size, own):
+    return np.ones(len(times))
+
 
-    def once(times, size, own):
-        return np.ones(len(times))
+def _share(shared, size, own):
+    return shared / np.minimum(own.query_sizes[None, :], np.maximum(size, 1)[:, None])
 
-    def share(shared, size, own):
-        return shared / np.minimum(own.query_sizes[None, :], np.maximum(size, 1)[:, None])
 
-    found = top_rows(stored.withColumn("size", F.size("toks")), held, k, once, share, least)
+def _similar(fragments: DataFrame, queries: DataFrame, k: int, least: float) -> DataFrame:
+    """``qid, id, seq, sim``, at least every row of the top ``k`` per query.
+
+    Rows are compared with all queries inside their task; only a batch with too many words
+    to hold there shuffles pairs.
+    """
+    held = _held(queries)
+    if held is None:
+        return word_similarities(fragments, queries).where(F.col("sim") >= least)
+    found = top_rows(_word_rows(fragments), held, k, _once, _share, least)
     return found.select("qid", "id", "seq", F.col("score").alias("sim"))
 
 
@@ -181,19 +191,22 @@ def scan(
 def certified_count(
     fragments: DataFrame, queries: DataFrame, config: IntakeConfig = DEFAULT.intake
 ) -> DataFrame:
-    """Certified rows among the first ``count_cap`` candidates of each query."""
-    picked = candidates(fragments, queries, config.count_cap, config)
-    sure = fragments.where(
-        is_certified(F.col("quality"), F.col("provenance.final_source"))
-    ).select("id")
-    counted = (
-        attach_details(sure, picked, queries.count() * config.count_cap)
-        .groupBy("qid")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    return queries.join(counted, "qid", "left").select(
-        "qid", F.coalesce("n", F.lit(0)).alias("n")
-    )
+    """Certified rows among the candidates of each query: all of them, or the first
+    ``count_cap`` where the configuration sets one."""
+    sure = fragments.where(is_certified(F.col("quality"), F.col("provenance.final_source")))
+    held = None if config.count_cap is not None else _held(queries)
+    if config.count_cap is not None:
+        picked = candidates(fragments, queries, config.count_cap, config)
+        found = attach_details(sure.select("id"), picked, queries.count() * config.count_cap).select(
+            "qid", F.lit(1).cast("long").alias("n")
+        )
+    elif held is None:
+        similar = word_similarities(sure, queries).where(F.col("sim") >= config.candidate_threshold)
+        found = similar.select("qid", F.lit(1).cast("long").alias("n"))
+    else:
+        found = counted_rows(_word_rows(sure), held, _once, _share, config.candidate_threshold)
+    counts = found.groupBy("qid").agg(F.sum("n").alias("n"))
+    return queries.join(counts, "qid", "left").select("qid", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def has_certified_for(

@@ -477,7 +477,7 @@ ORACLES: dict[str, str] = {
  hay AS (SELECT lower(content) AS c, lower(topic) AS t, list_transform(tags, lambda t: lower(t)) AS g FROM frag2 WHERE sure),
  fa AS (SELECT a FROM ua WHERE EXISTS (SELECT 1 FROM hay WHERE contains(c, ua.a) OR contains(t, ua.a) OR len(list_filter(g, lambda x: contains(x, ua.a))) > 0))
  SELECT p.qid, bool_or(fa.a IS NOT NULL) AS found FROM (SELECT qid, lower(unnest(aspects)) AS a FROM asp) p LEFT JOIN fa ON fa.a = p.a GROUP BY p.qid""",
-    "certified_count": f"WITH {intake_ctes(100)} SELECT qid, n_cert AS n FROM scanned",
+    "certified_count": f"WITH {intake_ctes(1_000_000_000)} SELECT qid, n_cert AS n FROM scanned",
     "dispatch_route": f"""WITH {intake_ctes(20)}, {ROUTED}
  SELECT qid, path, CASE path WHEN 'generate' THEN 0.0 ELSE round(ratio, 6) END AS coverage, CASE path WHEN 'generate' THEN 0.0 ELSE round(cc, 4) END AS compose_cost,
    CASE path WHEN 'generate' THEN 0.0 ELSE round(gc, 4) END AS generate_cost, CASE path WHEN 'partial' THEN {gaps_text('missing')} ELSE '' END AS gap_description,

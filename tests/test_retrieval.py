@@ -235,3 +235,31 @@ def test_answer_with_warnings(spark):
     got = df.select(line.alias("l"), HY.with_warnings(F.col("a"), F.col("w")).alias("t")).collect()
     assert got[0]["l"] == "⚠ Conflict detected: x vs y (similarity: 87%, method: embedding_similarity)"
     assert [r["t"] for r in got] == ["ans\n\n--- Conflict Warnings ---\nw", "ans"]
+
+
+def test_large_batches_give_the_same_rows(spark, monkeypatch):
+    """The joined form for batches too large to hold agrees with scores inside the row."""
+    from tessella.operators import inrow, intake, keyword
+
+    texts = ["tide and moon", "moon moon sun", "the sea the tide", "", "sun"]
+    rows = spark.createDataFrame(
+        [(f"r{i}", i, "ab"[i % 2], t, 0.99) for i, t in enumerate(texts * 4)],
+        "id string, seq long, shelf string, content string, quality double",
+    ).withColumn("provenance", F.struct(F.lit("inherited").alias("final_source")))
+    asked = spark.createDataFrame([(1, "moon tide"), (2, "the sun the"), (3, "nothing")], "qid long, text string")
+
+    def results():
+        found = [keyword.bm25(rows, asked, 3), keyword.bm25(rows, asked, 2, by_shelf=True), intake.candidates(rows, asked, 4)]
+        lists = [
+            sorted((r["qid"], r["rank"], r["id"], round(r[value], 9)) for r in df.collect())
+            for df, value in zip(found, ("score", "score", "sim"), strict=True)
+        ]
+        return lists, sorted(map(tuple, intake.certified_count(rows, asked).collect()))
+
+    inside = results()
+    assert len(inside[0][0]) == 6 and dict(inside[1])[3] == 0
+    monkeypatch.setattr(inrow, "BROADCAST_ROWS", 2)
+    assert results() == inside
+    monkeypatch.undo()
+    monkeypatch.setattr(inrow, "CELLS", 8)  # many blocks of rows
+    assert results() == inside
