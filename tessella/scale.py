@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 # Rows of narrow columns that a broadcast side may hold (checked by counting).
 BROADCAST_ROWS = 200_000
-HOT_SHARE = 0.01
-SALTS = 32
+# Rows of one key that a task of a join is meant to take at most.
+ROWS_PER_TASK = 1_000_000
 
 
 def session(app: str = "tessella", master: str | None = None, **conf: str) -> SparkSession:
@@ -85,13 +85,22 @@ def small_side(df: DataFrame, bound: int | None = None, rows: int = BROADCAST_RO
     return F.broadcast(df) if small else df
 
 
-def hot_keys(df: DataFrame, keys: list[str], share: float = HOT_SHARE) -> DataFrame:
-    """Key values that hold more than ``share`` of the rows (at most 1/share)."""
+def hot_keys(df: DataFrame, keys: list[str], target: int | None = None) -> DataFrame:
+    """Key values with more than ``target`` rows, and in how many salts (``_salts``) their
+    rows have to be split to keep to it. At most rows / target keys are hot."""
+    target = ROWS_PER_TASK if target is None else target
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = df.agg(F.count(F.lit(1)).alias("_total"))
+    salts = F.ceil(F.col("_n") / F.lit(target)).cast("int").alias("_salts")
+    return counts.where(F.col("_n") > target).select(*keys, salts)
+
+
+def salted(many: DataFrame, keys: list[str], spread_by: list[str], hot: DataFrame) -> DataFrame:
+    """``many`` with ``_salt``: rows of hot keys spread evenly, all others 0."""
+    spread = F.pmod(F.xxhash64(*spread_by), F.col("_salts")).cast("int")
     return (
-        counts.join(F.broadcast(total), F.col("_n") > F.col("_total") * F.lit(share), "inner")
-        .select(*keys)
+        many.join(hot, keys, "left")
+        .withColumn("_salt", F.when(F.col("_salts").isNotNull(), spread).otherwise(F.lit(0)))
+        .drop("_salts")
     )
 
 
@@ -101,35 +110,19 @@ def skew_join(
     keys: list[str],
     how: str = "inner",
     spread_by: list[str] | None = None,
-    salts: int = SALTS,
-    share: float = HOT_SHARE,
+    target: int | None = None,
 ) -> DataFrame:
     """Equi-join where keys of ``many`` may be hot and ``one`` is large.
 
-    Rows of hot keys in ``many`` are spread over ``salts`` tasks and only the
-    matching rows of ``one`` are copied, so cold keys cost nothing extra. ``how``
-    may be ``inner``, ``left``, ``left_semi`` or ``left_anti`` seen from ``many``.
+    Rows of a hot key in ``many`` are spread over as many tasks as keep each near
+    ``target`` rows, and only the matching rows of ``one`` are copied, so cold keys cost
+    nothing extra. ``how`` may be ``inner``, ``left``, ``left_semi`` or ``left_anti`` seen
+    from ``many``.
     """
-    hot = F.broadcast(hot_keys(many, keys, share).withColumn("_hot", F.lit(True)))
-    spread = F.pmod(F.xxhash64(*(spread_by or many.columns)), F.lit(salts)).cast("int")
-    salted_many = (
-        many.join(hot, keys, "left")
-        .withColumn("_salt", F.when(F.col("_hot"), spread).otherwise(F.lit(0)))
-        .drop("_hot")
-    )
-    salted_one = (
-        one.join(hot, keys, "left")
-        .withColumn(
-            "_salt",
-            F.explode(
-                F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(
-                    F.array(F.lit(0))
-                )
-            ),
-        )
-        .drop("_hot")
-    )
-    return salted_many.join(salted_one, [*keys, "_salt"], how).drop("_salt")
+    hot = F.broadcast(hot_keys(many, keys, target))
+    copies = F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)
+    copied = one.join(hot, keys, "left").withColumn("_salt", F.explode(copies)).drop("_salts")
+    return salted(many, keys, spread_by or many.columns, hot).join(copied, [*keys, "_salt"], how).drop("_salt")
 
 
 def with_order_bucket(

@@ -1,3 +1,4 @@
+import itertools
 import random
 
 from pyspark.sql import Window
@@ -28,15 +29,23 @@ def test_order_buckets_split_a_hot_key(spark):
 def test_skew_join_matches_plain_join(spark):
     many = skewed(spark)
     one = spark.range(1, 150).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
-    for how in ("inner", "left", "left_semi", "left_anti"):
-        got = scale.skew_join(many, one, ["k"], how, ["i"])
+    for how, target in itertools.product(("inner", "left", "left_semi", "left_anti"), (None, 100)):
+        got = scale.skew_join(many, one, ["k"], how, ["i"], target)
         want = many.join(one, ["k"], how)
         assert got.select(want.columns).exceptAll(want).count() == 0
         assert got.count() == want.count()
 
 
 def test_hot_keys(spark):
-    assert [r["k"] for r in scale.hot_keys(skewed(spark), ["k"], 0.1).collect()] == [1]
+    assert [tuple(r) for r in scale.hot_keys(skewed(spark), ["k"], 300).collect()] == [(1, 5)]
+
+
+def test_no_task_gets_much_more_than_its_target(spark):
+    """One key owns 90 % of the rows."""
+    many = spark.range(20_000).select(F.when(F.col("id") % 10 == 0, F.col("id")).otherwise(-1).alias("k"), "id")
+    hot = scale.hot_keys(many, ["k"], 500)
+    groups = scale.salted(many, ["k"], ["id"], hot).groupBy("k", "_salt").count()
+    assert groups.agg(F.max("count")).first()[0] < 1.3 * 500 and groups.agg(F.sum("count")).first()[0] == 20_000
 
 
 def test_filter_once_and_exploded(spark):
