@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import ragged
@@ -252,10 +252,15 @@ def near_duplicates(
     buckets = cut(
         classes.select("class", "n_shingles", F.explode("bands").alias("bucket"))
     )
-    crowded = buckets.groupBy("bucket").agg(F.min("class").alias("centre"), F.count("*").alias("members")).where("members > 1")
-    crowded = cut(crowded)
+    crowded = buckets.groupBy("bucket").agg(
+        F.min("class").alias("centre"),
+        F.min_by("n_shingles", "class").alias("centre_size"),
+        F.count("*").alias("members"),
+    )
+    crowded = cut(crowded.where("members > 1"))
     sizes = buckets.join(crowded, "bucket")
-    stars = sizes.where("class <> centre").select(F.col("class").alias("a"), F.col("centre").alias("b")).distinct()
+    stars = sizes.where((F.col("class") != F.col("centre")) & _comparable("n_shingles", "centre_size", percent))
+    stars = stars.select(F.col("class").alias("a"), F.col("centre").alias("b")).distinct()
     wanted = sizes.select("class").distinct()
     body = cut(
         known.join(wanted.withColumnRenamed("class", "row"), "row").groupBy("row").agg(F.min("text").alias("text"))
@@ -267,7 +272,7 @@ def near_duplicates(
             F.col("class").alias("row"), F.coalesce("component", "class").alias("component")
         )
     )
-    members = sizes.select("bucket", F.col("class").alias("row"))
+    members = cut(sizes.select("bucket", F.col("class").alias("row"), F.col("n_shingles").alias("size")))
     for turn in range(STAR_TURNS):
         state, more = _star_turn(members, state, body, turn, words, percent)
         if not more:
@@ -318,22 +323,31 @@ def _joined(state: DataFrame, links: DataFrame) -> DataFrame:
     )
 
 
+def _comparable(a: str, b: str, percent: int) -> Column:
+    """Sets of these sizes can be similar enough."""
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+
+
 def _star_turn(
     members: DataFrame, state: DataFrame, body: DataFrame, turn: int, words: int, percent: int
 ) -> tuple[DataFrame, bool]:
-    """One more centre, drawn by hash, for each bucket (bucket, row) that still holds several
-    components: the new state, and whether there was any such bucket."""
+    """One more centre, drawn by hash, for each bucket (bucket, row, size) that still holds
+    several components; each row outside the centre's component meets one of the centres of
+    its buckets. The new state, and whether there was any such bucket."""
     named = members.join(state, "row")
+    draw = F.xxhash64("row", F.lit(turn))
     drawn = named.groupBy("bucket").agg(
         F.min("component").alias("low"),
         F.max("component").alias("high"),
-        F.min_by(F.struct("row", "component"), F.xxhash64("row", F.lit(turn))).alias("centre"),
+        F.min_by("row", draw).alias("b"),
+        F.min_by("component", draw).alias("other"),
+        F.min_by("size", draw).alias("other_size"),
     )
-    drawn = drawn.where("low < high").select(
-        "bucket", F.col("centre.row").alias("b"), F.col("centre.component").alias("other")
+    met = named.join(drawn.where("low < high"), "bucket").where(
+        (F.col("component") != F.col("other")) & _comparable("size", "other_size", percent)
     )
-    pairs = named.join(drawn, "bucket").where("component <> other").select(F.col("row").alias("a"), "b")
-    pairs = cut(pairs.distinct())
+    pairs = met.groupBy(F.col("row").alias("a")).agg(F.min_by("b", F.xxhash64("b", F.lit(turn))).alias("b"))
+    pairs = cut(pairs)
     if pairs.isEmpty():
         return state, False
     return _joined(state, cut(_verify(pairs, body, words, percent))), True
