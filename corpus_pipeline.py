@@ -15,7 +15,7 @@ from tessella.llm.mixing import copies, mix_documents
 from tessella.llm.near_duplicates import near_duplicates
 from tessella.llm.piece_sampling import encode_samples
 from tessella.llm.queries import tokenizer_file
-from tessella.llm.toxicity import fit_toxicity, labelled_texts, scored
+from tessella.llm.toxicity import labelled_texts, with_scores
 from tessella.scale import cut, small_side
 
 TOXIC_SCORE = 0.7
@@ -30,9 +30,9 @@ def _labels(spark: SparkSession, folder: str) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Rows scored below TOXIC_SCORE; learned from every labelled row of ``docs``."""
-    model = fit_toxicity(labelled_texts(docs, _labels(spark, folder), F.lit(True)))
+    labelled = labelled_texts(docs, _labels(spark, folder), F.lit(True))
     name = fresh(docs, "score")
-    return docs.withColumn(name, scored(docs, model, F.col("text"))).where(F.col(name) < TOXIC_SCORE).drop(name)
+    return with_scores(docs, labelled, name).where(F.col(name) < TOXIC_SCORE).drop(name)
 
 
 def drop_undetermined(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

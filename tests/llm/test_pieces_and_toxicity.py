@@ -206,3 +206,19 @@ def test_toxicity_edges(spark):
     assert score_toxicity(docs.where("false"), labels).count() == 0
     blank = score_toxicity(docs, labels.where("false")).toPandas()
     assert (blank["score"] == 0.5).all()
+
+
+def test_every_sequence_counts_beyond_the_broadcast(spark, monkeypatch):
+    """Scores do not depend on how many sequences the driver may hold."""
+    docs, labels = (spark.read.parquet(f"{FOLDER}/{t}.parquet") for t in ("documents", "labels"))
+    odd = odd_documents(spark).select("doc_id", "text")
+    docs = docs.select("doc_id", "text").where("doc_id % 3 = 0").unionByName(odd)
+    want = score_toxicity(docs, labels).toPandas()
+    for name in ("MAX_SEQUENCES", "BROADCAST_SEQUENCES"):
+        monkeypatch.setattr(toxicity, name, 50, raising=False)
+    got = score_toxicity(docs, labels).toPandas()
+    order = ["doc_id", "score"]
+    want, got = (d.sort_values(order).reset_index(drop=True) for d in (want, got))
+    assert len(got) == len(want) and want["score"].nunique() > 100
+    assert np.allclose(got["score"], want["score"], atol=1e-6)
+    assert (got["held_out"] == want["held_out"]).all()
