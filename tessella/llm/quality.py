@@ -26,9 +26,8 @@ H_SHARE = 0.75
 STEPS = 5
 # Groups with fewer judged rows share one estimate.
 MIN_GROUP = 50
-# Spread that counts as usual in each dimension however alike the rows are; added to the
-# covariance, so that it is never singular and one odd sign rejects no text.
-FLOORS = (0.5, 0.12, 0.06, 0.25, 0.12)
+# Keeps covariances from being singular; far below the spread of any group that has one.
+FLOORS = (1e-3, 1e-3, 1e-3, 1e-3, 1e-3)
 DIMENSIONS = len(FLOORS)
 # Normal quantile of the share of regular rows that may be rejected (1 in 100,000).
 CUTOFF_Z = 4.265
@@ -99,25 +98,46 @@ def vector() -> list[Column]:
     ]
 
 
+def resolution() -> list[Column]:
+    """Variance that each statistic of a row has from its own counts, as of Poisson counts
+    (word lengths: half the mean as deviation; a window that comes twice has 2 * WINDOW words)."""
+    n, chars = F.greatest("n_words", F.lit(1)), F.greatest("word_chars", F.lit(1))
+    return [1.0 / (n + 1), 0.25 / n, 0.25 / chars, 0.25 / F.greatest("n_lines", F.lit(1)), 0.5 * WINDOW / n]
+
+
 X = [f"_x{i}" for i in range(DIMENSIONS)]
 PAIRS = [(i, j) for i in range(DIMENSIONS) for j in range(i + 1)]
 
 
-def distance(params: str = "") -> Column:
+def distance(root: str = "_l") -> Column:
     """Squared distance of a row from its group's centre ``_m*`` under the lower triangular
-    root ``_l*`` of the covariance, by forward substitution."""
+    root (``_l*``) of the covariance, by forward substitution."""
     z: list[Column] = []
     for i in range(DIMENSIONS):
         value = F.col(X[i]) - F.col(f"_m{i}")
         for j in range(i):
-            value = value - F.col(f"_l{i}{j}") * z[j]
-        z.append(value / F.col(f"_l{i}{i}"))
+            value = value - F.col(f"{root}{i}{j}") * z[j]
+        z.append(value / F.col(f"{root}{i}{i}"))
     total = z[0] * z[0]
     for part in z[1:]:
         total = total + part * part
     return total
 
 
+def resolved(rows: DataFrame) -> DataFrame:
+    """``rows`` with their groups' estimates, plus the root ``_r*`` of the covariance and the
+    row's own resolution: a sign that a short text shows by one count is no outlier."""
+    out, own = rows, resolution()
+    for i, j in PAIRS:
+        cov = own[i] if i == j else F.lit(0.0)
+        for k in range(j + 1):
+            cov = cov + F.col(f"_l{i}{k}") * F.col(f"_l{j}{k}")
+        for k in range(j):
+            cov = cov - F.col(f"_r{i}{k}") * F.col(f"_r{j}{k}")
+        out = out.withColumn(f"_r{i}{j}", F.sqrt(cov) if i == j else cov / F.col(f"_r{j}{j}"))
+    return out
+
+
 def rooted(sums: DataFrame) -> DataFrame:
     """Centre and triangular root of the covariance plus floors, from sums about ``_c*``."""
     out = sums
@@ -171,9 +191,9 @@ def estimates(rows: DataFrame) -> DataFrame:
         )
         now = cut(rooted(sums))
     scale = (
-        rows.join(small_side(now), "_group")
+        resolved(rows.join(small_side(now), "_group"))
         .groupBy("_group")
-        .agg(F.greatest(F.percentile_approx(distance(), 0.5, 10_000) / chi_square(0.0), F.lit(1.0)).alias("_scale"))
+        .agg(F.greatest(F.percentile_approx(distance("_r"), 0.5, 10_000) / chi_square(0.0), F.lit(1.0)).alias("_scale"))
     )
     return cut(now.join(scale, "_group"))
 
@@ -212,8 +232,8 @@ def assess_quality(
         "_group", F.when(F.col("_rows") < MIN_GROUP, F.lit("")).otherwise(F.col("_group"))
     )
     found = estimates(stats.where(~F.col("base_failed")))
-    judged = stats.join(small_side(found), "_group", "left").withColumn(
-        "distance", F.when(~F.col("base_failed"), distance() / F.col("_scale"))
+    judged = resolved(stats.join(small_side(found), "_group", "left")).withColumn(
+        "distance", F.when(~F.col("base_failed"), distance("_r") / F.col("_scale"))
     )
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= chi_square(CUTOFF_Z), F.lit(True))
     return judged.select(

@@ -173,6 +173,29 @@ def test_outliers_are_rejected_and_the_rest_kept(spark):
     assert kept == {i for i in range(400) if i % 20}
 
 
+def test_an_outlier_in_each_single_dimension_is_rejected(spark):
+    random.seed(3)
+    fresh = (f"word{i}" for i in range(10**6, 10**7))
+
+    def lines(n):
+        return [" ".join(next(fresh) for _ in range(3)) for _ in range(n)]
+
+    rows = ["\n".join(lines(random.randint(150, 300))) for _ in range(300)]
+    usual = lines(225)
+    odd = [
+        "\n".join(lines(10000)),
+        "\n".join(line.replace("word", "longerword") for line in lines(225)),
+        "\n".join([*usual[:-1], usual[-1] + "#" * 50]),
+        "\n".join(line for line in lines(112) for _ in range(2)),  # no window of words comes twice
+        "\n".join([*usual, " ".join(usual[:20])]),  # 120 of 735 words in windows that come twice
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "a") for i, t in enumerate(rows + odd)], "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r for r in assess_quality(docs).collect()}
+    assert not any(got[i]["base_failed"] for i in got)
+    assert [got[300 + i]["kept"] for i in range(len(odd))] == [False] * len(odd)
+    assert np.mean([got[i]["kept"] for i in range(300)]) > 0.98
+
+
 def test_quality_edges(spark):
     docs = odd_documents(spark)
     got = assess_quality(docs).collect()
