@@ -3,10 +3,9 @@
 A naive Bayes classifier over hashed words, counted on the labelled rows, gives each
 document a posterior over the domains. Document rates, never negative, are then fitted so
 that the expected tokens of each domain (rate x tokens x posterior) match its target:
-projected gradient on least squares. A rate depends on the posterior alone, and posteriors
-are rounded to a grid, so one pass over the documents sums the tokens per grid cell and
-each gradient step is an aggregation over the bounded number of cells. Column functions
-and aggregates only.
+projected gradient on least squares. Posteriors are not rounded and each document has its
+own rate; each gradient step is one aggregation over a narrow table of all documents.
+Column functions and aggregates only.
 """
 
 from __future__ import annotations
@@ -22,9 +21,14 @@ from tessella.scale import cut, small_side
 
 WHITE = r"[\x20\x09-\x0D]+"
 TERMS = 8192
+# Unit of the columns _q*: they sum to GRID, and need not be whole numbers.
 GRID = 32
+# Weighted steps; then plain ones, which always converge, up to LIMIT steps in all.
 STEPS = 60
+LIMIT = 1000
 TOLERANCE = 1e-9
+# Mean move of the rates, by tokens, in a plain step at which the fit has settled.
+SETTLED = 1e-7
 # Shares of all tokens that each domain of the labels should end up with.
 TARGETS = {"plain": 0.80, "low": 0.15, "toxic": 0.05}
 
@@ -61,7 +65,7 @@ def fit_domains(labelled: DataFrame, domains: list[str]) -> tuple[np.ndarray, np
 
 
 def cells(words: Column, prior: np.ndarray, terms: np.ndarray) -> list[Column]:
-    """Posterior of each domain in units of 1 / GRID, summing to GRID.
+    """Log-odds of each domain but the first against the first.
 
     The evidence of n words counts as sqrt(n) of them, which keeps memberships soft.
     """
@@ -79,12 +83,12 @@ def cells(words: Column, prior: np.ndarray, terms: np.ndarray) -> list[Column]:
 
 
 def memberships(df: DataFrame, text: str, prior: np.ndarray, terms: np.ndarray) -> DataFrame:
-    """``df`` with _tokens and the grid posteriors _q0, _q1, ... (long)."""
+    """``df`` with _tokens and the posteriors _q0, _q1, ..., which sum to GRID."""
     k = len(prior)
     with_words = df.withColumn("_words", words_of(F.col(text)))
     if k == 1:
         return with_words.withColumn("_tokens", F.size("_words").cast("long")).withColumn(
-            "_q0", F.lit(GRID).cast("long")
+            "_q0", F.lit(float(GRID))
         ).drop("_words", text)
     odds = with_words.withColumn("_odds", F.array(*cells(F.col("_words"), prior, terms)))
     weight = [F.lit(1.0)] + [
@@ -93,32 +97,29 @@ def memberships(df: DataFrame, text: str, prior: np.ndarray, terms: np.ndarray)
     weighted = odds.withColumn("_weights", F.array(*weight)).withColumn("_tokens", F.size("_words").cast("long"))
     weighted = weighted.drop("_words", "_odds", text)
     total = reduce(lambda a, b: a + b, [F.get("_weights", F.lit(i)) for i in range(k)])
-    # running sums are rounded, so the parts always make up the whole grid
-    edges, running = [F.lit(0).cast("long")], F.lit(0.0)
-    for i in range(k):
-        running = running + F.get("_weights", F.lit(i))
-        edges.append(F.round(F.lit(float(GRID)) * running / total).cast("long"))
     return weighted.select(
         *[quoted(c) for c in weighted.columns if c != "_weights"],
-        *[(edges[i + 1] - edges[i]).alias(f"_q{i}") for i in range(k)],
+        *[(F.lit(float(GRID)) * F.get("_weights", F.lit(i)) / total).alias(f"_q{i}") for i in range(k)],
     )
 
 
-def fit_rates(grid: DataFrame, targets: np.ndarray) -> DataFrame:
-    """Cells (_q0.., _tokens) with their rate.
+def fit_rates(rows: DataFrame, targets: np.ndarray) -> DataFrame:
+    """``rows`` (_q0.., _tokens) with their rate.
 
     Projected gradient on the residual of the expected domain tokens. The residual is
-    weighted by the inverse of the domains' overlap among the cells with a rate above zero,
-    so that a step of length one meets the targets unless further rates reach zero.
+    weighted by the inverse of the domains' overlap among the rows with a rate above zero,
+    so that a step of length one meets the targets unless further rates reach zero. The fit
+    ends when the targets are met or, out of reach, when a plain step moves no rate; a fit
+    that does neither within LIMIT steps is an error.
     """
     k = len(targets)
     share = [F.col(f"_q{i}") / F.lit(float(GRID)) for i in range(k)]
-    total = float(grid.agg(F.sum("_tokens")).first()[0] or 0)
+    total = float(rows.agg(F.sum("_tokens")).first()[0] or 0)
     if total <= 0:
-        return grid.withColumn("rate", F.lit(1.0))
-    state = grid.withColumn("_x", F.lit(1.0))
+        return rows.withColumn("rate", F.lit(1.0))
+    state = rows.withColumn("_x", F.lit(1.0))
     pending: list[np.ndarray] = []
-    for _ in range(STEPS):
+    for n in range(LIMIT):
         above = F.when(F.col("_now") > 0, F.col("_tokens")).otherwise(0)
         got = (
             state.withColumn("_now", moved(pending, k))
@@ -132,16 +133,25 @@ def fit_rates(grid: DataFrame, targets: np.ndarray) -> DataFrame:
         if np.abs(residual).max() < TOLERANCE:
             break
         overlap = np.array([[got[f"g{i}_{j}"] for j in range(k)] for i in range(k)], float) / total
-        pending.append(np.linalg.pinv(overlap, rcond=1e-9) @ residual)
-        if len(pending) == 12:  # keeps expressions short; the cells are few
+        step = np.linalg.pinv(overlap, rcond=1e-9) @ residual if n < STEPS else residual
+        if np.abs(step).max() < TOLERANCE or n >= STEPS and n % 12 == 0:
+            now = state.withColumn("_now", moved(pending, k))
+            gap = F.abs(F.col("_now") - moved([residual], k, "_now")) * F.col("_tokens")
+            if now.agg(F.sum(gap)).first()[0] / total < SETTLED:
+                break
+            step = residual
+        pending.append(step)
+        if len(pending) == 12:  # keeps expressions short
             state = cut(state.withColumn("_x", moved(pending, k)))
             pending = []
+    else:
+        raise RuntimeError(f"rates have not settled in {LIMIT} steps; residual {residual.tolist()}")
     return state.withColumn("rate", moved(pending, k)).drop("_x")
 
 
-def moved(steps: list[np.ndarray], k: int) -> Column:
-    """``_x`` after the given gradient steps, each projected on numbers >= 0."""
-    x = F.col("_x")
+def moved(steps: list[np.ndarray], k: int, start: str = "_x") -> Column:
+    """``start`` after the given gradient steps, each projected on numbers >= 0."""
+    x = F.col(start)
     for step in steps:
         move = [F.col(f"_q{i}") / F.lit(float(GRID)) * F.lit(float(step[i])) for i in range(k)]
         x = F.greatest(x - reduce(lambda a, b: a + b, move), F.lit(0.0))
@@ -159,8 +169,8 @@ def mix_documents(
     label_id_column: str = "doc_id",
 ) -> DataFrame:
     """One row per document: id, the columns of ``keep`` (named unlike the following),
-    n_tokens (words), p_<domain> for each target domain (multiples of 1 / GRID that sum to
-    1), rate (>= 0).
+    n_tokens (words), p_<domain> for each target domain (summing to 1), rate
+    (>= 0).
 
     ``domain`` maps a row of labels to a domain; rows that map to none of the targets, and
     documents without text, teach nothing. Of several labels of one id the alphabetically
@@ -185,11 +195,8 @@ def mix_documents(
     names = [f"k{i}" for i in range(len(kept))]
     if present:
         scored = cut(memberships(rows, "_text", *fit_domains(labelled, present)))
-        q = [f"_q{i}" for i in range(len(present))]
-        grid = cut(scored.groupBy(*q).agg(F.sum("_tokens").alias("_tokens")))
         wanted = np.array([targets[d] for d in present], float)
-        rates = fit_rates(grid, wanted / wanted.sum())
-        scored = scored.join(F.broadcast(rates.select(*q, "rate")), q)  # at most all cells of the grid
+        scored = fit_rates(scored, wanted / wanted.sum())
     else:
         scored = rows.select(*names, F.size(words_of(F.col("_text"))).cast("long").alias("_tokens"), F.lit(1.0).alias("rate"))
     share = {d: F.col(f"_q{i}") / F.lit(float(GRID)) for i, d in enumerate(present)}

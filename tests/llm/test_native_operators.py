@@ -91,6 +91,34 @@ def test_mixing_meets_its_targets(spark):
     assert low > 0.6 > marked[marked["quality"] == 1]["p_low"].mean() + 0.4
 
 
+def test_small_posteriors_count(spark):
+    """Totals under the unrounded posteriors meet the targets, however small each one is."""
+    rng = np.random.default_rng(6)
+    names = [f"w{i}" for i in range(40)]
+    texts = [" ".join(rng.choice(names, 2)) for _ in range(120)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(i % 12 == 0)) for i in range(120)], "doc_id long, quality int, toxic int")
+    got = mix_documents(docs, labels, targets={"plain": 0.99, "toxic": 0.01}).orderBy("doc_id").toPandas()
+    marked = docs.withColumn("domain", F.when(F.col("doc_id") % 12 == 0, "toxic").otherwise("plain"))
+    prior, terms = mixing.fit_domains(marked, ["plain", "toxic"])
+    at = docs.select(F.transform(mixing.words_of(F.col("text")), mixing.term_of).alias("t"))
+    odds = [prior[1] - prior[0] + (terms[1] - terms[0])[r["t"]].sum() / np.sqrt(2) for r in at.collect()]
+    want = 1 / (1 + np.exp(-np.array(odds)))
+    assert 0 < np.median(want) < 1 / 64
+    assert np.allclose(got["p_toxic"], want, atol=1e-12)
+    assert abs((got["rate"] * want).mean() - 0.01) < 1e-6
+
+
+def test_rates_out_of_reach_settle_or_fail(spark, monkeypatch):
+    rows = spark.createDataFrame([(31.68, 0.32, 10)] * 5, "_q0 double, _q1 double, _tokens long")
+    got = [r["rate"] for r in mixing.fit_rates(rows, np.array([0.95, 0.05])).collect()]
+    best = (0.95 * 0.99 + 0.05 * 0.01) / (0.99**2 + 0.01**2)
+    assert np.allclose(got, best, atol=1e-6)
+    monkeypatch.setattr(mixing, "LIMIT", 1, raising=False)
+    with pytest.raises(RuntimeError):
+        mixing.fit_rates(rows, np.array([0.5, 0.5]))
+
+
 def brute_rates(q, tokens, targets, steps=20000):
     """Plain projected gradient over all documents."""
     p, total = q, tokens.sum()
