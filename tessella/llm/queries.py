@@ -15,6 +15,7 @@ from tessella.llm.piece_sampling import decode, encode_samples
 from tessella.llm.quality import assess_quality
 from tessella.llm.token_count import count_tokens
 from tessella.llm.toxicity import score_toxicity
+from tessella.llm.word_runs import find_runs, run_digests, with_planted_periods
 
 
 def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -83,6 +84,11 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     return assess_quality(_read(spark, folder, "documents"))
 
 
+def op13_word_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Digests of the runs of words, after a tenth of the documents got a periodic tail."""
+    return run_digests(find_runs(with_planted_periods(_read(spark, folder, "documents"))))
+
+
 REGISTRY = {
     f.__name__: f
     for f in (
@@ -96,6 +102,7 @@ REGISTRY = {
         op8_html_text,
         op9_mixing,
         op10_quality,
+        op13_word_runs,
     )
 }
 
