@@ -12,6 +12,7 @@ from tessella.llm.language_id import identify_languages
 from tessella.llm.mixing import mix_documents
 from tessella.llm.near_duplicates import near_duplicates
 from tessella.llm.piece_sampling import decode, encode_samples
+from tessella.llm.prefix_trie import prefix_trie, with_shared_heads
 from tessella.llm.quality import assess_quality
 from tessella.llm.token_count import count_tokens
 from tessella.llm.toxicity import score_toxicity
@@ -84,6 +85,10 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     return assess_quality(_read(spark, folder, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie(_read(spark, folder, "conversations"), rebuild=with_shared_heads)
+
+
 def op13_word_runs(spark: SparkSession, folder: str) -> DataFrame:
     """Digests of the runs of words, after a tenth of the documents got a periodic tail."""
     return run_digests(find_runs(with_planted_periods(_read(spark, folder, "documents"))))
@@ -102,6 +107,7 @@ REGISTRY = {
         op8_html_text,
         op9_mixing,
         op10_quality,
+        op11_prefix_trie,
         op13_word_runs,
     )
 }
@@ -141,4 +147,28 @@ SELECT conv_id, me AS perspective, part::INTEGER AS part, count(*)::INTEGER AS n
   coalesce(string_agg(CASE WHEN mine THEN (stop - length(body)) || '-' || stop END, ',' ORDER BY pos), '') AS masks,
   sum(CASE WHEN mine THEN length(body) ELSE 0 END)::INTEGER AS n_trained
 FROM q GROUP BY conv_id, me, part""",
+    "op11_prefix_trie": """WITH
+t AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS said, row_number() OVER (
+    PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) AS pos
+    FROM conversations WHERE conv_id IS NOT NULL),
+v AS (SELECT c, max(pos) AS n, c - c % 5 AS base, xor(list_reduce(list_prepend(4294967295::BIGINT,
+      list_transform(string_split(c::VARCHAR, ''), lambda d: ascii(d)::BIGINT)), lambda r, b: list_reduce(
+      list_prepend(xor(r, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+      lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)), 4294967295::BIGINT) % 9 AS h
+    FROM t GROUP BY c),
+k AS (SELECT v.c, v.n, v.h, v.base, least(v.h, coalesce(b.n, 0)) AS k FROM v LEFT JOIN v b ON b.c = v.base),
+r AS (SELECT k.c, t.pos AS i, t.role, t.said FROM k JOIN t ON t.c = k.base AND t.pos <= k.k
+    UNION ALL SELECT k.c, k.k + t.pos - k.h, t.role, t.said FROM k JOIN t ON t.c = k.c AND t.pos > k.h),
+p AS (SELECT c, i, strlen(said) AS bytes, string_agg(md5(role) || md5(said), '') OVER (PARTITION BY c ORDER BY i) AS name FROM r
+    UNION ALL SELECT c, 0, 0, '' FROM k),
+q AS (SELECT *, i = max(i) OVER (PARTITION BY c) AS last FROM p),
+nodes AS (SELECT i, name, min(c) AS conv_id, count(*) AS n_convs, min(bytes) AS bytes,
+    sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE last), '')) AS ends_sha256 FROM q GROUP BY i, name),
+kids AS (SELECT i - 1 AS i, left(name, -64) AS name, count(*) AS n FROM nodes WHERE i > 0 GROUP BY ALL),
+own AS (SELECT nodes.*, coalesce(kids.n, 0) AS n_children FROM nodes LEFT JOIN kids USING (i, name)),
+sums AS (SELECT p.i, p.name, count(*) FILTER (WHERE own.n_children = 0) AS n_leaves, sum((own.n_convs - 1) * own.bytes) AS saved
+    FROM own JOIN p ON p.c = own.conv_id AND p.i <= own.i GROUP BY p.i, p.name)
+SELECT own.conv_id, own.i::BIGINT AS depth, up.conv_id AS parent_conv_id, own.n_convs, own.n_children, sums.n_leaves,
+  sums.saved::BIGINT AS saved_tokens, own.ends_sha256
+FROM own JOIN sums USING (i, name) LEFT JOIN nodes up ON up.i = own.i - 1 AND up.name = left(own.name, -64)""",
 }
