@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm.chat import rotate_perspectives
 from tessella.llm.fingerprints import fingerprint_pairs
+from tessella.llm.graph_search import nearest_neighbours
 from tessella.llm.html_text import extract_pages
 from tessella.llm.language_id import identify_languages
 from tessella.llm.mixing import mix_documents
@@ -89,6 +90,10 @@ def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
     return prefix_trie(_read(spark, folder, "conversations"), rebuild=with_shared_heads)
 
 
+def op12_graph_search(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest_neighbours(_read(spark, folder, "embeddings"), F.col("id") % 20 == 0)
+
+
 def op13_word_runs(spark: SparkSession, folder: str) -> DataFrame:
     """Digests of the runs of words, after a tenth of the documents got a periodic tail."""
     return run_digests(find_runs(with_planted_periods(_read(spark, folder, "documents"))))
@@ -108,6 +113,7 @@ REGISTRY = {
         op9_mixing,
         op10_quality,
         op11_prefix_trie,
+        op12_graph_search,
         op13_word_runs,
     )
 }
