@@ -21,6 +21,8 @@ from tessella.operators import governance as GO
 from tessella.operators import hybrid as HY
 from tessella.operators import keyword as KW
 from tessella.operators import vectors as VE
+from tessella.operators.stored_index import KeywordIndex
+from tessella.operators.stored_vectors import VectorTable
 from tessella.scale import cut, small_side
 from tessella.sources.state import TableStore
 
@@ -46,6 +48,8 @@ class Engine:
         self.store = TableStore(spark, root)
         self.embed = embed or VE.fallback_embedder("index")
         self.conflict_embed = embed or VE.fallback_embedder("conflict")
+        self.index = KeywordIndex(spark, f"{root}/keyword_index", config.retrieval)
+        self.vectors = VectorTable(spark, f"{root}/vector_table")
 
     # -- tables ------------------------------------------------------------------
 
@@ -59,6 +63,25 @@ class Engine:
     def nodes(self) -> DataFrame:
         return self.store.read("nodes")
 
+    # -- stored index and vectors -------------------------------------------------------
+
+    def _index(self, rows: DataFrame) -> None:
+        """Take new or changed rows into both tables; archived ones leave them."""
+        shown = rows.where("status <> 'archived'") if self.config.exclude_archived else rows
+        held = cut(shown.select("id", "seq", "content"))
+        self.index.add(held)
+        self.vectors.add(VE.with_vectors(held, self.embed))
+
+    def _unindex(self, ids: DataFrame) -> None:
+        self.index.remove(ids)
+        self.vectors.remove(ids)
+
+    def reindex(self) -> None:
+        """Write both tables anew from the stored fragments."""
+        held = self.fragments().select("id", "seq", "content")
+        self.index.rebuild(held)
+        self.vectors.rebuild(VE.with_vectors(held, self.embed))
+
     # -- shelves -----------------------------------------------------------------
 
     def create_shelf(self, name: str, topic: str = "", threshold: float = 0.80) -> None:
@@ -120,6 +143,7 @@ class Engine:
         judged = cut(AR.insert(passed, self.store.read("fragments"), self.config))
         stored = judged.where("accepted")
         self.store.append("fragments", stored)
+        self._index(stored)
         self.store.append("rejected", GA.rejections(guarded))
         self.store.append(
             "nodes",
@@ -136,21 +160,27 @@ class Engine:
     def delete(self, ids: DataFrame) -> None:
         """Soft delete."""
         hit = self.store.read("fragments").join(ids.select("id"), "id", "left_semi")
-        self.store.append("fragments", cut(hit.withColumn("status", F.lit("archived"))))
+        hit = cut(hit.withColumn("status", F.lit("archived")))
+        self.store.append("fragments", hit)
+        if self.config.exclude_archived:
+            self._unindex(hit.select("id"))
 
     # -- search ------------------------------------------------------------------
 
     def search(self, queries: DataFrame, k: int | None = None, shelves: list[str] | None = None) -> DataFrame:
-        """Hybrid hits of ``qid, text`` rows."""
-        rows = self.fragments()
-        if shelves:
-            rows = rows.where(F.col("shelf").isin(*shelves))
-        rows = rows.select("id", "seq", "content")
-        return HY.retrieve(
-            rows, VE.with_vectors(rows, self.embed), queries,
-            queries.select("qid", self.embed(F.col("text")).alias("vec")),
-            k, self.config.retrieval,
-        )
+        """Hybrid hits of ``qid, text`` rows.
+
+        The whole archive is searched in its stored index and vectors. A choice of shelves has
+        word statistics of its own, so its rows are scanned; their vectors are the stored ones.
+        """
+        asked = queries.select("qid", self.embed(F.col("text")).alias("vec"))
+        if not self.index.exists():
+            self.reindex()
+        if not shelves:
+            return HY.retrieve_stored(self.index, self.vectors, queries, asked, k)
+        rows = self.fragments().where(F.col("shelf").isin(*shelves)).select("id", "seq", "content")
+        vectors = self.vectors.living().join(small_side(rows.select("id")), "id", "left_semi")
+        return HY.retrieve(rows, vectors, queries, asked, k, self.config.retrieval)
 
     def search_shelves(self, queries: DataFrame, k: int = 3) -> DataFrame:
         """Keyword hits per shelf, each with its own statistics."""
@@ -202,6 +232,7 @@ class Engine:
         stored = cut(self.prepare(new_rows.drop("appeal_id"), now))
         numbers = stored.select(F.col("id").alias("fragment_id"), "seq")
         self.store.append("fragments", stored)
+        self._index(stored)
         self.store.append("nodes", cut(new_nodes.withColumn("timestamp", now).join(numbers, "fragment_id")))
         done = self.appeals().join(ids.select("id"), "id", "left_semi")
         self.store.append("appeals", cut(done.withColumn("status", F.lit("approved")).withColumn("resolved_at", now)))
@@ -237,7 +268,10 @@ class Engine:
         archive, answer = GO.rollback(self.store.read("fragments"), self.nodes(), ids)
         hit = archive.join(ids.select("id"), "id", "left_semi")
         answer = cut(answer)
-        self.store.append("fragments", cut(hit))
+        hit = cut(hit)
+        self.store.append("fragments", hit)
+        self._unindex(hit.select("id"))
+        self._index(hit)
         return answer
 
     def statistics(self, now: Column | None = None) -> DataFrame:

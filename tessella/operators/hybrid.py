@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tessella.config import DEFAULT, RetrievalConfig
 from tessella.functions import words as W
 from tessella.operators.keyword import bm25
+from tessella.operators.stored_index import KeywordIndex
+from tessella.operators.stored_vectors import VectorTable
 from tessella.operators.vectors import nearest
 from tessella.scale import BROADCAST_ROWS, skew_join, top_per_group
 
@@ -50,12 +52,26 @@ def retrieve(
     config: RetrievalConfig = DEFAULT.retrieval,
 ) -> DataFrame:
     k = top_k or config.top_k
-    depth = max(2 * k, config.min_leg_depth)
+    depth = leg_depth(k, config)
     keyword_hits = bm25(fragments, queries, depth, config=config)
     vector_hits = nearest(vectors, query_vectors, depth)
     return fuse(keyword_hits, vector_hits, k, config)
 
 
+def leg_depth(k: int, config: RetrievalConfig = DEFAULT.retrieval) -> int:
+    """Rows that each leg hands to the fusion."""
+    return max(2 * k, config.min_leg_depth)
+
+
+def retrieve_stored(
+    index: KeywordIndex, vectors: VectorTable, queries: DataFrame, query_vectors: DataFrame, top_k: int | None = None
+) -> DataFrame:
+    """As ``retrieve``, from stored tables."""
+    k = top_k or index.config.top_k
+    depth = leg_depth(k, index.config)
+    return fuse(index.search(queries, depth), vectors.search(query_vectors, depth), k, index.config)
+
+
 def attach(hits: DataFrame, fragments: DataFrame, columns: list[str], bound: int) -> DataFrame:
     """Fetch fragment columns for a hit list of at most ``bound`` rows."""
     if bound <= BROADCAST_ROWS:

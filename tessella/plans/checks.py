@@ -453,8 +453,13 @@ ORACLES: dict[str, str] = {
     "shelf_statistics": f"""WITH {FRAG}, g AS (SELECT shelf, NOT (sure OR least(quality + 0.15, 0.95) >= 0.8) AS rejected FROM frag2)
  SELECT coalesce(shelf, 'total') AS shelf, count(*) FILTER (NOT rejected) AS fragments, count(*) FILTER (rejected) AS rejected FROM g GROUP BY ROLLUP (shelf)""",
     "bm25_topk": f"""WITH {FRAG}, {QUERIES}, {bm25_ctes("'x'")} SELECT qid, id, rank, round(score, 6) AS score FROM {top('bm', 'qid', 5)}""",
+    "stored_index_topk": f"""WITH {FRAG}, kept AS (SELECT * FROM frag WHERE NOT quality < 0.2), {QUERIES},
+ {bm25_ctes("'x'").replace("FROM frag", "FROM kept")} SELECT qid, id, rank, round(score, 6) AS score FROM {top('bm', 'qid', 5)}""",
     "shelf_bm25_topk": f"""WITH {FRAG}, {QUERIES}, {bm25_ctes('shelf')} SELECT qid, shelf, id, rank, round(score, 6) AS score FROM {top('bm', 'qid, shelf', 3)}""",
     "vector_topk": f"""WITH {VECTORS}, vs AS (SELECT v.id, v.seq, qv.qid, list_dot_product(v.vec, qv.vec) AS score FROM vec v, qvec qv)
+ SELECT qid, id, rank, round(score, 6) AS score FROM {top('vs', 'qid', 5)}""",
+    "stored_vector_topk": f"""WITH {FRAG}, {VECTORS}, vs AS (SELECT v.id, v.seq, qv.qid, list_dot_product(v.vec, qv.vec) AS score
+  FROM vec v JOIN frag f ON f.id = v.id AND NOT f.quality < 0.2, qvec qv)
  SELECT qid, id, rank, round(score, 6) AS score FROM {top('vs', 'qid', 5)}""",
     "minmax_norm": f"""WITH {FRAG}, {QUERIES}, {bm25_ctes("'x'")} SELECT qid, id, round({NORM}, 6) AS norm FROM {top('bm', 'qid', 10)} WINDOW w AS (PARTITION BY qid)""",
     "hybrid_topk": f"WITH {hybrid_ctes()} SELECT qid, id, rank, round(score, 6) AS score FROM hy",

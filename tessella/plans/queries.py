@@ -31,7 +31,9 @@ from tessella.operators import (
     vectors as VE,
     voting as VO,
 )
-from tessella.scale import cut
+from tessella.operators.stored_index import KeywordIndex
+from tessella.operators.stored_vectors import VectorTable
+from tessella.scale import cut, shared_folder
 from tessella.sources import state as ST
 from tessella.sources import testbed as TB
 
@@ -216,6 +218,19 @@ def bm25_topk(spark, d):
     return flagship(spark, d)
 
 
+@query
+def stored_index_topk(spark, d):
+    """Search of an index that grew by batches, had texts replaced and rows removed."""
+    f = TB.fragments(spark, d)
+    stale = f.withColumn("content", F.concat_ws(" ", F.lit("stale words"), "topic", "content", "shelf"))
+    index = KeywordIndex(spark, shared_folder(spark, "keyword-index"))
+    index.rebuild(f.where("seq % 3 = 0").unionByName(stale.where("seq % 3 = 1")))
+    index.add(f.where("seq % 3 = 2"))
+    index.add(f.where("seq % 3 = 1"))
+    index.remove(f.where("quality < 0.2"))
+    return index.search(TB.queries(spark, d), 5).select("qid", "id", "rank", r("score").alias("score"))
+
+
 @query
 def shelf_bm25_topk(spark, d):
     hits = KW.bm25(TB.fragments(spark, d), TB.queries(spark, d), 3, by_shelf=True)
@@ -228,6 +243,20 @@ def vector_topk(spark, d):
     return hits.select("qid", "id", "rank", r("score").alias("score"))
 
 
+@query
+def stored_vector_topk(spark, d):
+    """Search of a vector table that grew by batches, had vectors replaced and rows removed."""
+    f, v = TB.fragments(spark, d), TB.fragment_vectors(spark, d)
+    stale = v.withColumn("vec", F.reverse("vec"))
+    table = VectorTable(spark, shared_folder(spark, "vector-table"))
+    table.rebuild(v.where("seq % 3 = 0").unionByName(stale.where("seq % 3 = 1")))
+    table.add(v.where("seq % 3 = 2"))
+    table.add(v.where("seq % 3 = 1"))
+    table.remove(f.where("quality < 0.2").select("id"))
+    hits = table.search(TB.query_vectors(spark, d), 5)
+    return hits.select("qid", "id", "rank", r("score").alias("score"))
+
+
 @query
 def minmax_norm(spark, d):
     hits = KW.bm25(TB.fragments(spark, d), TB.queries(spark, d), 10)

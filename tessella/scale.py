@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -49,14 +50,23 @@ def cut(df: DataFrame) -> DataFrame:
     without: it gets a temporary folder. On a cluster a missing setting is an error, since
     executors do not share their disks.
     """
-    spark = df.sparkSession
+    _checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def _checkpoint_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         configured = spark.conf.get("spark.checkpoint.dir", None)
         if configured is None and not re.fullmatch(r"local(\[[^]]*\])?", context.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="tessella-ckpt-"))
-    return df.checkpoint(eager=True)
+    return context.getCheckpointDir()
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path for tables that a query writes, next to the checkpoints."""
+    return f"{_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def spread(df: DataFrame, splits: int = 64) -> DataFrame:
