@@ -6,6 +6,7 @@ or sampled.
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -69,6 +70,16 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def free_files(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files, and checkpoints where it is set to, of finished tables.
+
+    It does so once the driver's garbage is collected, which a loop over tables otherwise only
+    sees when the driver's memory fills.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def spread(df: DataFrame, splits: int = 64) -> DataFrame:
     """Give a table of few splits to all cores.
 
