@@ -105,3 +105,9 @@ def test_long_dialogues_come_in_parts(spark):
     whole = {me: "".join(r["text"] for r in parts if r["perspective"] == me) for me in "ab"}
     want = brute_chat(rows)
     assert all(whole[me] == want[1, me][0] for me in "ab")
+
+
+def test_tags_with_an_open_quote_take_no_longer():
+    page = "<p>Before it all.</p><div" + " " * 10_000 + '"><p>After it all, too.</p>'
+    assert "Before it all." in main_text(page)
+    assert main_text("<p>one</p>" + "<div x='" * 3000) is not None
