@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm import ragged
 from tessella.llm.common import quoted
-from tessella.scale import cut
+from tessella.scale import cut, free_files
 
 BANDS, ROWS = 24, 4
 REGISTERS = BANDS * ROWS
@@ -140,6 +140,8 @@ def _signed(batches: Iterator[pd.DataFrame], words: int) -> Iterator[pd.DataFram
                     "bands": [b.view(np.int64) if n else np.zeros(0, np.int64) for b, n in zip(bands, sizes, strict=True)],
                 }
             )
+            del sets, bands
+    ragged.give_back()
 
 
 def exact_shingles(text: str, words: int) -> frozenset[str]:
@@ -169,6 +171,7 @@ def _verified(batches: Iterator[pd.DataFrame], words: int, percent: int) -> Iter
                 held, centre = b, exact_shingles(text_b, words)
             keep.append(linked(exact_shingles(text_a, words), centre, percent))
         yield batch.loc[keep, ["a", "b"]]
+    ragged.give_back()
 
 
 def _block_links(block: pd.DataFrame, words: int, percent: int) -> pd.DataFrame:
@@ -274,9 +277,11 @@ def near_duplicates(
     )
     members = cut(sizes.select("bucket", F.col("class").alias("row"), F.col("n_shingles").alias("size")))
     for turn in range(STAR_TURNS):
+        free_files(df.sparkSession)  # the texts that the last turn moved
         state, more = _star_turn(members, state, body, turn, words, percent)
         if not more:
             break
+    free_files(df.sparkSession)
     state = _joined(state, cut(_compare_rest(members.join(state, "row"), body, words, percent)))
     found = state.withColumnRenamed("row", "class")
     rows = signed.join(
