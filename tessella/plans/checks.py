@@ -163,6 +163,23 @@ fused AS (SELECT qid, id, seq, 0.4 * coalesce(kw, 0) + 0.6 * coalesce(emb, 0) AS
 hy AS {top('(SELECT * FROM fused WHERE emb >= 0.72 OR score > 0)', 'qid', k)}"""
 
 
+def entry_ctes(probes: str, exclude: str = "") -> str:
+    """Listed conflicts ``ent`` of ``probes`` (id, content, vec) with the stored rows."""
+    return f"""pw AS (SELECT id, {words('content')} AS w, {word_set('content')} AS ws FROM {probes}),
+ps AS (SELECT id, w, {sides('ws', 0)} AS l, {sides('ws', 1)} AS r FROM pw),
+ow AS (SELECT id, seq, {words('content')} AS w, {word_set('content')} AS ws FROM frag),
+os AS (SELECT id, seq, w, {sides('ws', 0)} AS l, {sides('ws', 1)} AS r FROM ow),
+pr AS (SELECT p.id, v.id AS other_id, list_dot_product(p.vec, v.vec) AS s FROM {probes} p JOIN vec v ON p.id <> v.id),
+hit AS (SELECT pr.*, x.w AS pw, y.w AS ow, y.seq AS other_seq, {opposed('x', 'y')} AS contra
+  FROM pr JOIN ps x ON x.id = pr.id JOIN os y ON y.id = pr.other_id WHERE pr.s >= 0.85{exclude}),
+ent AS (SELECT id, other_id, other_seq, s, contra, CASE WHEN contra > 0.5 THEN 'nli_contradiction' ELSE 'embedding_similarity' END AS method,
+  array_to_string(list_filter(pw, lambda w: list_contains(ow, w)), ' ') AS t FROM hit),
+entries AS (SELECT id, other_id, method, CASE WHEN length(t) > 10 THEN t ELSE '' END AS excerpt,
+  round(s, 4) AS similarity, round(contra, 4) AS contradiction FROM ent)"""
+
+
+HIT_PROBES = "hp AS (SELECT DISTINCT f.id, f.content, v.vec FROM hy JOIN frag f ON f.id = hy.id JOIN vec v ON v.id = hy.id)"
+
 _toks = "toks"
 _bigrams = "list_transform(range(1, len(toks)), lambda i: toks[i] || ' ' || toks[i + 1])"
 _singles = "list_filter(toks, lambda t: length(t) > 2)"
@@ -475,6 +492,15 @@ ORACLES: dict[str, str] = {
  p AS (SELECT a.id AS a, b.id AS b, list_dot_product(a.vec, b.vec) AS s FROM hv a JOIN vec b ON a.id <> b.id),
  c AS (SELECT p.a, count(*) AS n, max(p.s) AS s, max({opposed('x', 'y')}) AS k FROM p JOIN sd x ON x.id = p.a JOIN sd y ON y.id = p.b WHERE p.s >= 0.85 GROUP BY p.a)
  SELECT hy.qid, hy.id, hy.rank, c.n AS n_conflicts, round(c.s, 6) AS max_similarity, round(c.k, 6) AS max_contradiction FROM hy JOIN c ON c.a = hy.id""",
+    "hit_conflict_entries": f"WITH {hybrid_ctes()}, {HIT_PROBES}, {entry_ctes('hp')} SELECT * FROM entries",
+    "proposal_conflict_entries": f"""WITH {FRAG}, {VECTORS}, {APPEALS}, pp AS (SELECT a.id, a.proposed_content AS content, a.sources, e.embedding::DOUBLE[] AS vec
+  FROM app a, nv, embeddings e WHERE e.vec_id = a.seq % nv.n), {entry_ctes('pp', " AND NOT list_contains((SELECT any_value(sources) FROM pp z WHERE z.id = pr.id), pr.other_id)")}
+ SELECT * FROM entries""",
+    "answers_with_warnings": f"""WITH {hybrid_ctes()}, {HIT_PROBES}, {entry_ctes('hp')},
+ ln AS (SELECT hy.qid, hy.rank, ent.other_seq, '⚠ Conflict detected: ' || ent.id || ' vs ' || ent.other_id || ' (similarity: ' || round_even(ent.s * 100, 0)::INT || '%, method: ' || ent.method || ')' AS line
+   FROM hy JOIN ent ON ent.id = hy.id),
+ w AS (SELECT qid, count(*) AS n, string_agg(line, chr(10) ORDER BY rank, other_seq) AS t FROM ln GROUP BY qid)
+ SELECT q.qid, coalesce(n, 0)::INT AS n_warnings, md5(coalesce(t, '')) AS warnings_digest, coalesce(length(t) + length(chr(10) || chr(10) || '--- Conflict Warnings ---' || chr(10)), 0)::INT AS added FROM q LEFT JOIN w ON w.qid = q.qid""",
     "aspects": f"WITH {QUERIES}, {ASPECTS} SELECT qid, array_to_string(aspects, '|') AS aspects, array_to_string(caspects, '|') AS composition_aspects FROM asp",
     "intake_candidates": f"WITH {intake_ctes(10)} SELECT qid, id, rank, round(sim, 6) AS sim FROM cand",
     "intake_scan": f"WITH {intake_ctes(10)} SELECT qid, array_to_string(ids, '|') AS certified, array_to_string(matched, '|') AS matched, array_to_string(missing, '|') AS missing, round(max_sim, 6) AS max_similarity, proceed AS should_proceed FROM scanned",

@@ -290,6 +290,59 @@ def retrieve_with_conflicts(spark, d):
     )
 
 
+def _vector_table(spark, d):
+    table = VectorTable(spark, shared_folder(spark, "vector-table"))
+    table.rebuild(TB.fragment_vectors(spark, d))
+    return table
+
+
+def _hit_entries(spark, d, hits):
+    """Listed conflicts of the fragments among the hits."""
+    f, v = TB.fragments(spark, d), TB.fragment_vectors(spark, d)
+    features = CF.conflict_features(f, v)
+    probes = features.join(hits.select("id").distinct(), "id", "left_semi").join(f.select("id", "content"), "id")
+    return CF.listed_conflicts(probes, _vector_table(spark, d), features.select("id", "left", "right"), f, excerpt_chars=None)
+
+
+ENTRY = ("id", "other_id", "method", "excerpt")
+
+
+def _entry_columns():
+    return [*ENTRY, r("similarity", 4).alias("similarity"), r("contradiction", 4).alias("contradiction")]
+
+
+@query
+def hit_conflict_entries(spark, d):
+    """Every conflict of every retrieved fragment with the archive."""
+    return _hit_entries(spark, d, cut(_hybrid(spark, d))).select(*_entry_columns())
+
+
+@query
+def proposal_conflict_entries(spark, d):
+    """Every conflict of every proposal with the archive, its own sources apart."""
+    a, f = TB.appeals(spark, d), TB.fragments(spark, d)
+    texts = a.select("id", F.col("proposed_content").alias("content"))
+    probes = CF.conflict_features(texts, TB.appeal_vectors(spark, d)).join(texts, "id").join(
+        a.select("id", F.col("sources").alias("exclude")), "id"
+    )
+    stored = CF.conflict_features(f, TB.fragment_vectors(spark, d)).select("id", "left", "right")
+    return CF.listed_conflicts(probes, _vector_table(spark, d), stored, f, excerpt_chars=None).select(*_entry_columns())
+
+
+@query
+def answers_with_warnings(spark, d):
+    """Composed answers with a line for each conflict of their fragments."""
+    hits = cut(_hybrid(spark, d))
+    answers = HY.compose_answers(hits, TB.fragments(spark, d), TB.queries(spark, d))
+    lines = CF.warning_lines(hits, _hit_entries(spark, d, hits))
+    full = answers.join(lines, "qid", "left").withColumn("full", HY.with_warnings(F.col("answer"), F.col("warnings")))
+    return full.select(
+        "qid", F.coalesce(F.size("warnings"), F.lit(0)).alias("n_warnings"),
+        F.md5(F.array_join(F.coalesce("warnings", F.array().cast("array<string>")), "\n")).alias("warnings_digest"),
+        (F.length("full") - F.length("answer")).alias("added"),
+    )
+
+
 # -- intake, dispatch, composition -----------------------------------------------
 
 

@@ -157,6 +157,17 @@ def query_vectors(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def appeal_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """Each proposal takes the stored vector number ``seq`` modulo the vector count."""
+    vectors = table(spark, folder, "embeddings")
+    count = vectors.count()
+    turns = table(spark, folder, "conversations").select(
+        F.concat(F.lit("A-"), "conv_id", F.lit("-"), "turn").alias("id"),
+        ((F.col("conv_id") * 1000 + F.col("turn")) % count).alias("vec_id"),
+    )
+    return turns.join(vectors, "vec_id").select("id", F.col("embedding").cast("array<double>").alias("vec"))
+
+
 def appeals(spark: SparkSession, folder: str) -> DataFrame:
     """One proposal per conversation turn: its whole source text and the whole turn."""
     docs = table(spark, folder, "documents")
