@@ -198,6 +198,24 @@ def dossier(appeals: DataFrame, fragments: DataFrame) -> DataFrame:
 # -- metrics and diff ------------------------------------------------------------
 
 
+def best_cosine(appeals: DataFrame, proposal_vectors: DataFrame, source_vectors: DataFrame) -> DataFrame:
+    """``id, best_cosine``: the largest cosine of a proposal to one of its cited sources.
+
+    Each cited vector moves once to its citations, split where one source is cited by very
+    many, and the maximum is taken by partial aggregates. Proposals without words, without
+    sources of known vectors, or with a zero vector have 0.
+    """
+    blank = F.size(W.words(F.col("proposed_content"))) == 0
+    cited = appeals.where(~blank).select("id", F.explode(F.array_distinct("sources")).alias("source"))
+    sources = source_vectors.select(F.col("id").alias("source"), F.col("vec").alias("source_vec"))
+    pairs = skew_join(cited, sources, ["source"], "inner", ["id"]).join(proposal_vectors.select("id", "vec"), "id")
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    size = F.sqrt(dot("vec", "vec") * dot("source_vec", "source_vec"))
+    cosine = F.when(size > 0, dot("vec", "source_vec") / size).otherwise(F.lit(0.0))
+    best = pairs.groupBy("id").agg(F.max(cosine).alias("best_cosine"))
+    return appeals.select("id").join(best, "id", "left").na.fill(0.0, ["best_cosine"])
+
+
 def tanh_share(value: Column, scale: Column) -> Column:
     return F.when(scale <= 0, F.lit(0.0)).otherwise(F.tanh(value / scale))
 

@@ -1,16 +1,16 @@
 """Version ancestry as an edge table; graph walks are bounded join loops.
 
-Each round is written to the checkpoint folder, so a lost executor repeats one
-round only. Rounds equal the walk length, and every round touches the frontier
-and the edges that are still open, never the whole history.
+Unary chains, which long histories are made of, are found by pointer doubling and passed in
+one step, so rounds grow with the branching between chains, not with the length of a history.
+Each round is written to the checkpoint folder; a lost executor repeats one round only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.scale import cut, skew_join, small_side
+from tessella.scale import cut, running_position, skew_join, small_side
 
 
 def known_edges(nodes: DataFrame) -> DataFrame:
@@ -37,33 +37,75 @@ def leaves(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     ).select("fragment_id")
 
 
-def peel(ids: DataFrame, edges: DataFrame, max_rounds: int | None = None):
-    """Longest-path depth by peeling layers: (``fragment_id, depth``, left-over edges).
+def chains(ids: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Unary chains: (``fragment_id, chain, place``) and the edges between chains.
 
-    Nodes without open incoming edges form the next layer; their outgoing edges
-    close. Every edge is closed once. Left-over edges exist only on, or behind, a
-    cycle.
+    A link goes from a parent with one child to a child with one parent. Pointers double
+    along links until they reach the head of the chain, so a chain of n nodes takes about
+    log2(n) rounds, and a round touches only nodes that are not there yet; no two of them
+    point to one node. Links on a cycle never get there: their nodes count as chains of their
+    own, and the links as edges between them.
     """
-    open_edges = cut(edges.select("parent", "child").distinct())
-    blocked = open_edges.select(F.col("child").alias("fragment_id")).distinct()
-    layer = cut(ids.select("fragment_id").join(blocked, "fragment_id", "left_anti"))
-    done, depth = layer.withColumn("depth", F.lit(0)), 0
-    while max_rounds is None or depth < max_rounds:
-        size = layer.count()
-        if size == 0:
+    plain = cut(edges.select("parent", "child").distinct())
+    one_child = plain.groupBy("parent").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("parent")
+    one_parent = plain.groupBy("child").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("child")
+    links = plain.join(one_child, "parent", "left_semi").join(one_parent, "child", "left_semi")
+    links = cut(links.select(F.col("child").alias("v"), F.col("parent").alias("to")))
+    inner = links.select(F.col("v").alias("to"), F.lit(True).alias("inner"))
+    state = cut(links.join(inner, "to", "left").select("v", "to", F.lit(1).cast("long").alias("far"), F.col("inner").isNull().alias("there")))
+    n, step = links.count(), 1
+    while step <= 2 * n:
+        waiting = state.where(~F.col("there"))
+        if waiting.isEmpty():
             break
-        marks = small_side(layer.select(F.col("fragment_id").alias("parent")), size)
-        freed = open_edges.join(marks, "parent", "left_semi").select("child").distinct()
-        rest = cut(open_edges.join(marks, "parent", "left_anti"))
-        layer = cut(
-            freed.join(rest.select("child").distinct(), "child", "left_anti").select(
-                F.col("child").alias("fragment_id")
+        on = state.select(F.col("v").alias("to"), F.col("to").alias("next"), F.col("far").alias("more"), F.col("there").alias("now"))
+        moved = waiting.join(on, "to").select("v", F.col("next").alias("to"), (F.col("far") + F.col("more")).alias("far"), F.col("now").alias("there"))
+        state = cut(state.where("there").unionByName(moved))
+        step *= 2
+    placed = state.where("there").select(F.col("v").alias("fragment_id"), F.col("to").alias("chain"), F.col("far").alias("place"))
+    members = cut(
+        ids.select("fragment_id").distinct().join(placed, "fragment_id", "left")
+        .select("fragment_id", F.coalesce("chain", "fragment_id").alias("chain"), F.coalesce("place", F.lit(0).cast("long")).alias("place"))
+    )
+    between = cut(plain.join(placed.select(F.col("fragment_id").alias("child")), "child", "left_anti"))
+    return members, between
+
+
+def peel(ids: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Longest-path depth by peeling layers of chains: (``fragment_id, depth``, left-over edges).
+
+    Chains without open incoming edges form the next layer; their outgoing edges close and
+    count down what the chains behind them still wait for. Every edge is closed once.
+    Left-over edges exist only on, or behind, a cycle.
+    """
+    members, between = chains(ids, edges)
+    tails = members.select(F.col("fragment_id").alias("parent"), F.col("chain").alias("src"), (F.col("place") + 1).alias("len"))
+    open_edges = cut(between.join(tails, "parent").select("src", F.col("child").alias("dst"), "len"))
+    needs = between.groupBy(F.col("child").alias("chain")).agg(F.count(F.lit(1)).alias("need"))
+    heads = members.where("place = 0").select("chain").join(needs, "chain", "left")
+    state = cut(heads.select("chain", F.coalesce("need", F.lit(0)).alias("need"), F.lit(0).cast("long").alias("depth")))
+    done = layer = state.where("need = 0").select("chain", "depth")
+    blocked = state.where("need > 0")
+    while (size := layer.count()) > 0:
+        marks = small_side(layer.select(F.col("chain").alias("src"), F.col("depth").alias("from")), size)
+        sent = open_edges.join(marks, "src").groupBy(F.col("dst").alias("chain")).agg(
+            F.count(F.lit(1)).alias("closed"), F.max(F.col("from") + F.col("len")).alias("reached")
+        )
+        waiting = cut(
+            blocked.join(sent, "chain", "left").select(
+                "chain", (F.col("need") - F.coalesce("closed", F.lit(0))).alias("need"),
+                F.greatest("depth", F.coalesce("reached", F.lit(0).cast("long"))).alias("depth"),
             )
         )
-        open_edges = rest
-        depth += 1
-        done = done.unionByName(layer.withColumn("depth", F.lit(depth)))
-    return done, open_edges
+        open_edges = cut(open_edges.join(marks.select("src"), "src", "left_anti"))
+        layer, blocked = waiting.where("need = 0").select("chain", "depth"), waiting.where("need > 0")
+        done = done.unionByName(layer)
+    found = cut(
+        skew_join(members, cut(done), ["chain"], "inner", ["fragment_id"])
+        .select("fragment_id", (F.col("depth") + F.col("place")).cast("int").alias("depth"))
+    )
+    closed = found.select(F.col("fragment_id").alias("parent"))
+    return found, edges.select("parent", "child").distinct().join(closed, "parent", "left_anti")
 
 
 def depths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -83,37 +125,66 @@ def cycle_members(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return core.select(F.explode(F.array("parent", "child")).alias("fragment_id")).distinct()
 
 
-def _walk(starts: DataFrame, steps: DataFrame, max_depth: int | None) -> DataFrame:
-    """Nodes reachable over ``src → dst`` with their least distance, start included."""
+def _walk(starts: DataFrame, ids: DataFrame, edges: DataFrame, up: bool, max_depth: int | None) -> DataFrame:
+    """Nodes reachable from each start: ``start, fragment_id, distance, path, step``.
+
+    Chains are passed in one step: a round goes from chains to the chains next to them, with
+    the least distance and the least path (positions of the edges between chains) of each, and
+    repeats only where one of them got smaller. The nodes of all chains follow at the end.
+    Depth-first order visits a node by its least path, and the nodes of one chain by ``step``.
+    """
+    members, between = chains(ids, edges)
+    first = edges.groupBy("parent", "child").agg(F.min("pos").alias("pos"))
+    place = lambda name: members.select(F.col("fragment_id").alias(name), F.col("chain").alias(f"{name}_chain"), F.col("place").alias(f"{name}_at"))
+    joined = between.join(first, ["parent", "child"]).join(place("parent"), "parent").join(place("child"), "child")
+    near, far = ("child", "parent") if up else ("parent", "child")
+    steps = cut(joined.select(
+        F.col(f"{near}_chain").alias("chain"), F.col(f"{near}_at").alias("leave"),
+        F.col(f"{far}_chain").alias("to_chain"), F.col(f"{far}_at").alias("to_at"), "pos",
+    ))
+    key = ["start", "chain", "at"]
+    empty = F.array().cast("array<int>")
     frontier = cut(
-        starts.select("start", F.col("start").alias("fragment_id")).distinct()
+        starts.select("start").distinct().join(members.withColumnRenamed("fragment_id", "start"), "start")
+        .select("start", "chain", F.col("place").alias("at"), F.lit(0).cast("long").alias("distance"), empty.alias("path"))
     )
-    reached = frontier.withColumn("distance", F.lit(0))
-    distance = 0
-    while max_depth is None or distance < max_depth:
-        size = frontier.count()
-        if size == 0:
-            break
+    reached = frontier
+    while (size := frontier.count()) > 0:
         moved = (
-            steps.join(small_side(frontier, size), steps["src"] == frontier["fragment_id"])
-            .select("start", F.col("dst").alias("fragment_id"))
-            .distinct()
+            steps.join(small_side(frontier, size), "chain")
+            .withColumn("distance", F.col("distance") + F.abs(F.col("at") - F.col("leave")) + 1)
+            .select("start", F.col("to_chain").alias("chain"), F.col("to_at").alias("at"), "distance", F.concat("path", F.array(F.col("pos").cast("int"))).alias("path"))
         )
-        frontier = cut(moved.join(reached, ["start", "fragment_id"], "left_anti"))
-        distance += 1
-        reached = reached.unionByName(frontier.withColumn("distance", F.lit(distance)))
-    return reached
+        if max_depth is not None:
+            moved = moved.where(F.col("distance") <= max_depth)
+        best = moved.groupBy(*key).agg(F.min("distance").alias("distance"), F.min("path").alias("path"))
+        known = reached.select(*key, F.col("distance").alias("d0"), F.col("path").alias("p0"))
+        better = F.col("d0").isNull() | (F.col("distance") < F.col("d0")) | (F.col("path") < F.col("p0"))
+        frontier = cut(
+            best.join(known, key, "left").where(better)
+            .select(*key, F.least("distance", F.coalesce("d0", "distance")).alias("distance"), F.least("path", F.coalesce("p0", "path")).alias("path"))
+        )
+        reached = cut(reached.join(frontier.select(*key), key, "left_anti").unionByName(frontier))
+    inside = F.col("place") <= F.col("at") if up else F.col("place") >= F.col("at")
+    step = F.abs(F.col("at") - F.col("place"))
+    out = skew_join(members, reached, ["chain"], "inner", ["fragment_id"]).where(inside).select(
+        "start", "fragment_id", (F.col("distance") + step).cast("int").alias("distance"), "path", step.alias("step")
+    )
+    if max_depth is not None:
+        out = out.where(F.col("distance") <= max_depth)
+    order = F.struct("path", "step")
+    return out.groupBy("start", "fragment_id").agg(F.min("distance").alias("distance"), F.min(order).alias("o")).select(
+        "start", "fragment_id", "distance", F.col("o.path").alias("path"), F.col("o.step").alias("step")
+    )
 
 
 def ancestors(starts: DataFrame, nodes: DataFrame, edges: DataFrame, max_depth: int | None = None) -> DataFrame:
     """``start, fragment_id, distance`` for every start (column ``start``), itself included."""
-    steps = edges.select(F.col("child").alias("src"), F.col("parent").alias("dst"))
-    return _walk(_known(starts, nodes), steps, max_depth)
+    return _walk(_known(starts, nodes), nodes, edges, True, max_depth).select("start", "fragment_id", "distance")
 
 
 def descendants(starts: DataFrame, nodes: DataFrame, edges: DataFrame, max_depth: int | None = None) -> DataFrame:
-    steps = edges.select(F.col("parent").alias("src"), F.col("child").alias("dst"))
-    return _walk(_known(starts, nodes), steps, max_depth)
+    return _walk(_known(starts, nodes), nodes, edges, False, max_depth).select("start", "fragment_id", "distance")
 
 
 def _known(starts: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -123,10 +194,17 @@ def _known(starts: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def lineage(starts: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Ancestors of each start from far to near; an unknown start is its own lineage."""
-    known = ancestors(starts, nodes, edges)
-    unknown = starts.join(known.select("start"), "start", "left_anti").select(
-        "start", F.col("start").alias("fragment_id"), F.lit(0).alias("distance")
+    """Ancestors of each start from far to near: ``start, fragment_id, distance, number``.
+
+    The order is that of a depth-first walk over the parents, turned round, so the start comes
+    last. An unknown start is its own lineage. A start's ancestors are numbered in one task, so
+    ``number`` is meant for lineages that fit one, whatever the size of the graph.
+    """
+    found = _walk(_known(starts, nodes), nodes, edges, True, None)
+    back = Window.partitionBy("start").orderBy(F.col("path").desc(), F.col("step").desc())
+    known = found.select("start", "fragment_id", "distance", F.row_number().over(back).alias("number"))
+    unknown = starts.join(nodes.select(F.col("fragment_id").alias("start")), "start", "left_anti").select(
+        "start", F.col("start").alias("fragment_id"), F.lit(0).alias("distance"), F.lit(1).alias("number")
     )
     return known.unionByName(unknown)
 
@@ -155,21 +233,36 @@ def model_statistics(nodes: DataFrame) -> DataFrame:
 
 def version_history(starts: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Per start: depth and the sizes of its ancestor and descendant sets."""
-    up = ancestors(starts, nodes, edges).groupBy("start").agg(F.count(F.lit(1)).alias("ancestors"))
-    down = descendants(starts, nodes, edges).groupBy("start").agg(
-        F.count(F.lit(1)).alias("descendants")
-    )
-    children = edges.groupBy(F.col("parent").alias("start")).agg(
-        F.countDistinct("child").alias("children")
+    full = version_records(starts, nodes, edges)
+    size = lambda name: F.size(name).cast("long").alias(name)
+    return full.select("start", size("ancestors"), size("descendants"), "depth", size("children"), F.size("parents").alias("parents"))
+
+
+def version_records(starts: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Per known start its whole history: ``depth``, ``ancestors`` and ``descendants`` in
+    depth-first order, both with the start first, ``parents`` as recorded and ``children``
+    by their numbers."""
+    known = cut(_known(starts, nodes).distinct())
+    numbers = nodes.select(F.col("fragment_id").alias("child"), F.col("seq").alias("child_seq"))
+    born = edges.select("parent", "child").distinct().join(numbers, "child").select("parent", "child", F.col("child_seq").alias("pos"))
+
+    def listed(walk: DataFrame, name: str) -> DataFrame:
+        rows = F.array_sort(F.collect_list(F.struct("path", "step", "fragment_id")))
+        return walk.groupBy("start").agg(F.transform(rows, lambda x: x["fragment_id"]).alias(name))
+
+    up = listed(_walk(known, nodes, edges, True, None), "ancestors")
+    down = listed(_walk(known, nodes, _by_rank(born), False, None), "descendants")
+    own = born.join(small_side(known.withColumnRenamed("start", "parent")), "parent").groupBy(F.col("parent").alias("start")).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("pos", "child"))), lambda x: x["child"]).alias("children")
     )
     depth = depths(nodes, edges).withColumnRenamed("fragment_id", "start")
     return (
-        up.join(down, "start")
-        .join(depth, "start")
-        .join(children, "start", "left")
-        .join(
-            nodes.select(F.col("fragment_id").alias("start"), F.size("parents").alias("parents")),
-            "start",
-        )
-        .na.fill(0, ["children"])
+        known.join(up, "start").join(down, "start").join(depth, "start").join(own, "start", "left")
+        .join(nodes.select(F.col("fragment_id").alias("start"), "parents"), "start")
+        .select("start", "depth", "ancestors", "descendants", "parents", F.coalesce("children", F.array().cast("array<string>")).alias("children"))
     )
+
+
+def _by_rank(born: DataFrame) -> DataFrame:
+    """Children in the order of their numbers, as edge positions that fit an int."""
+    return running_position(born.withColumnRenamed("pos", "order"), ["parent"], ["order", "child"], "pos").select("parent", "child", "pos")

@@ -381,6 +381,8 @@ j AS (SELECT *, yes > 1.5 AS majority, (yes > 1.5) = should AS correct,
   (yes * (yes - 1) + (3 - yes) * (2 - yes))::DOUBLE / 6 AS agreement FROM j0)"""
 
 EDGES = f"""edges AS (SELECT {frag_id('doc_id')} AS child, {frag_id('p')} AS parent FROM (SELECT doc_id, unnest({PARENTS}) AS p FROM documents))"""
+PEDGES = f"""pedges AS (SELECT doc_id AS child_seq, {frag_id('doc_id')} AS child, {frag_id('u.p')} AS parent, u.i AS pos
+ FROM (SELECT doc_id, unnest(list_transform({PARENTS}, lambda p, i: {{'p': p, 'i': i}})) AS u FROM documents))"""
 NEWEST = f"(SELECT arg_max({frag_id('doc_id')}, doc_id) AS start FROM documents GROUP BY source)"
 OLDEST = f"(SELECT arg_min({frag_id('doc_id')}, doc_id) AS start FROM documents GROUP BY source)"
 
@@ -552,6 +554,19 @@ ORACLES: dict[str, str] = {
     "missing_sources": f"WITH {FRAG}, {APPEALS}, {LINKS} SELECT id, pos, source_id FROM links WHERE source_id NOT IN (SELECT id FROM frag)",
     "appeals_citing": f"WITH {APPEALS} SELECT id, status FROM app WHERE list_contains(sources, 'D-000007')",
     "appeal_metrics": f"WITH {FRAG}, {APPEALS}, {LINKS}, {MEASURED} SELECT id, delta_token, round(coverage, 6) AS coverage, round(risk, 6) AS risk, round(agg, 6) AS aggregate_score FROM measured",
+    "blended_metrics": f"""WITH {FRAG}, {VECTORS}, {APPEALS}, {LINKS}, {MEASURED},
+ av AS (SELECT a.id, e.embedding::DOUBLE[] AS vec FROM app a, nv, embeddings e WHERE e.vec_id = a.seq % nv.n),
+ bc AS (SELECT l.id, max(list_cosine_similarity(av.vec, vec.vec)) AS c FROM links l JOIN vec ON vec.id = l.source_id JOIN av ON av.id = l.id GROUP BY l.id),
+ neg AS (SELECT *, {words('lower(proposed_content)')} AS lw FROM m3),
+ x AS (SELECT neg.id, neg.delta_token, neg.ns, CASE WHEN len(pw) = 0 THEN 0.0 ELSE coalesce(bc.c, 0.0) END AS c, neg.coverage, vague,
+  CASE WHEN n_cited > 0 AND len(lw) > 0 THEN least(len(list_filter(lw, lambda w: list_contains({listed(lx.NEGATIONS)}, w)))::DOUBLE / len(lw) * 3.0, 1.0) ELSE 0.0 END AS nega,
+  least(CASE WHEN ns = 0 THEN (CASE WHEN np > 0 THEN 0.5 ELSE 0.0 END) ELSE
+     (CASE WHEN ratio > 2.0 THEN least((ratio - 2.0) / 2.0 * 0.5, 0.5) ELSE 0.0 END)
+   + (CASE WHEN len(pset) > 0 AND len(sset) > 0 THEN (len(pset) - shared)::DOUBLE / len(pset) * 0.3 ELSE 0.0 END)
+   + (CASE WHEN ratio < 0.5 AND ns > 5 THEN 0.2 ELSE 0.0 END) END, 1.0) AS base FROM neg LEFT JOIN bc ON bc.id = neg.id),
+ y AS (SELECT *, 0.5 * coverage + 0.5 * c AS cov, least(least(base + 0.25 * nega, 1.0) + vague * 0.15, 1.0)::DOUBLE AS risk FROM x)
+ SELECT id, round(c, 6) AS best_cosine, round(cov, 6) AS coverage, round(risk, 6) AS risk,
+  round(0.3 * tanh(delta_token::DOUBLE / greatest(ns, 1)) + 0.4 * cov - 0.3 * risk, 6) AS aggregate_score FROM y""",
     "appeal_diff": f"""WITH {FRAG}, {APPEALS}, {LINKS}, {MEASURED}, {DIFF},
  ix AS (SELECT id, source_id, content, row_number() OVER (PARTITION BY id ORDER BY pos) - 1 AS i FROM cited),
  seen AS (SELECT x.id, i, max(i) OVER (PARTITION BY x.id, x.source_id) AS place, instr(lower(a.proposed_content), lower({strip('x.content')})) AS loc, {strip('x.content')} <> '' AS real FROM ix x JOIN app a ON a.id = x.id),
@@ -629,6 +644,19 @@ ORACLES: dict[str, str] = {
  fw(n) AS (SELECT n FROM seed UNION SELECT e.child FROM fw JOIN alle e ON e.parent = fw.n), bw(n) AS (SELECT n FROM seed UNION SELECT e.parent FROM bw JOIN alle e ON e.child = bw.n)
  SELECT false AS clean_has_cycle, n AS fragment_id FROM fw INTERSECT SELECT false, n FROM bw""",
     "best_parent": f"WITH {FRAG}, {BEST} SELECT * FROM bp",
+    "lineage": f"""WITH RECURSIVE {PEDGES}, st AS (SELECT start FROM {NEWEST} UNION SELECT {frag_id('doc_id')} FROM documents WHERE {frag_id('doc_id')} LIKE 'F-%'),
+ up(start, node, path) AS (SELECT start, start, []::BIGINT[] FROM st UNION ALL SELECT u.start, e.parent, list_append(u.path, e.pos) FROM up u JOIN pedges e ON e.child = u.node),
+ one AS (SELECT start, node, min(path) AS path, min(len(path)) AS distance FROM up GROUP BY ALL)
+ SELECT start, (row_number() OVER (PARTITION BY start ORDER BY path DESC))::INT AS number, node AS fragment_id, distance::INT AS distance FROM one""",
+    "version_records": f"""WITH RECURSIVE {EDGES}, {PEDGES}, {DEPTH},
+ up(start, node, path) AS (SELECT start, start, []::BIGINT[] FROM {NEWEST} UNION ALL SELECT u.start, e.parent, list_append(u.path, e.pos) FROM up u JOIN pedges e ON e.child = u.node),
+ dn(start, node, path) AS (SELECT start, start, []::BIGINT[] FROM {NEWEST} UNION ALL SELECT u.start, e.child, list_append(u.path, e.child_seq) FROM dn u JOIN pedges e ON e.parent = u.node),
+ a AS (SELECT start, string_agg(node, '|' ORDER BY path) AS t FROM (SELECT start, node, min(path) AS path FROM up GROUP BY ALL) GROUP BY start),
+ d AS (SELECT start, string_agg(node, '|' ORDER BY path) AS t FROM (SELECT start, node, min(path) AS path FROM dn GROUP BY ALL) GROUP BY start),
+ pa AS (SELECT child, string_agg(parent, '|' ORDER BY pos) AS t FROM pedges GROUP BY child),
+ ch AS (SELECT parent, string_agg(child, '|' ORDER BY child_seq) AS t FROM pedges GROUP BY parent)
+ SELECT a.start, dep.depth::INT AS depth, a.t AS ancestors, d.t AS descendants, coalesce(pa.t, '') AS parents, coalesce(ch.t, '') AS children
+ FROM a JOIN d ON d.start = a.start JOIN dep ON dep.fragment_id = a.start LEFT JOIN pa ON pa.child = a.start LEFT JOIN ch ON ch.parent = a.start""",
     "version_history": f"""WITH RECURSIVE {EDGES}, {DEPTH}, {walk('anc', NEWEST, 'child', 'parent')}, {walk('des', NEWEST, 'parent', 'child')},
  ch AS (SELECT parent AS start, count(DISTINCT child) AS children FROM edges GROUP BY parent), pa AS (SELECT child AS start, count(*) AS parents FROM edges GROUP BY child)
  SELECT s.start, (SELECT count(*) FROM anc WHERE anc.start = s.start) AS ancestors, (SELECT count(*) FROM des WHERE des.start = s.start) AS descendants, dep.depth, coalesce(ch.children, 0) AS children, coalesce(pa.parents, 0) AS parents

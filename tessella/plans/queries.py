@@ -510,6 +510,18 @@ def appeal_metrics(spark, d):
     )
 
 
+@query
+def blended_metrics(spark, d):
+    """Metrics with the best cosine to a source in their coverage, and negations as risk."""
+    a, f = TB.appeals(spark, d), TB.fragments(spark, d)
+    best = AP.best_cosine(a, TB.appeal_vectors(spark, d), TB.fragment_vectors(spark, d))
+    full = AP.with_metrics(AP.dossier(a, f).join(best, "id"), vector_coverage="best_cosine")
+    return full.select(
+        "id", r("best_cosine").alias("best_cosine"), r("coverage").alias("coverage"), r("risk").alias("risk"),
+        r("aggregate_score").alias("aggregate_score"),
+    )
+
+
 @query
 def appeal_diff(spark, d):
     return AP.with_diff(_measured(spark, d)).select(
@@ -874,6 +886,22 @@ def best_parent(spark, d):
     return GO.best_parent(TB.nodes(spark, d), TB.fragments(spark, d))
 
 
+@query
+def lineage(spark, d):
+    """Ordered ancestry of every fragment that closes a shelf, and of the F- fragments."""
+    n = TB.nodes(spark, d)
+    starts = _newest(spark, d).unionByName(n.where("fragment_id like 'F-%'").select(F.col("fragment_id").alias("start"))).distinct()
+    return GE.lineage(starts, n, GE.known_edges(n)).select("start", "number", "fragment_id", "distance")
+
+
+@query
+def version_records(spark, d):
+    """Whole histories with their nodes, of every fragment that closes a shelf."""
+    n = TB.nodes(spark, d)
+    full = GE.version_records(_newest(spark, d), n, GE.known_edges(n))
+    return full.select("start", "depth", *[bar(c).alias(c) for c in ("ancestors", "descendants", "parents", "children")])
+
+
 @query
 def version_history(spark, d):
     n = TB.nodes(spark, d)

@@ -86,6 +86,64 @@ def graph(spark, parents):
     return n, GE.known_edges(n)
 
 
+def brute_walk(parents, start):
+    """Depth-first order over the parents, with least distances."""
+    order, far = [], {start: 0}
+
+    def visit(v):
+        if v not in order:
+            order.append(v)
+            for p in parents[v]:
+                visit(p)
+
+    visit(start)
+    queue = [start]
+    for v in queue:
+        for p in parents[v]:
+            if p not in far:
+                far[p] = far[v] + 1
+                queue.append(p)
+    return order, far
+
+
+def test_walks_of_random_histories(spark):
+    rng = random.Random(9)
+    parents = {0: []}
+    for i in range(1, 60):
+        near = [i - 1] if rng.random() < 0.7 else rng.sample(range(i), min(i, rng.randint(0, 3)))
+        parents[i] = near
+    rows = [(f"n{i}", i, [f"n{p}" for p in ps]) for i, ps in parents.items()]
+    nodes = spark.createDataFrame(rows, "fragment_id string, seq long, parents array<string>")
+    edges = GE.known_edges(nodes)
+    depth = {}
+    for i, ps in parents.items():
+        depth[i] = max((depth[p] + 1 for p in ps), default=0)
+    assert {r[0]: r[1] for r in GE.depths(nodes, edges).collect()} == {f"n{i}": d for i, d in depth.items()}
+    starts = [59, 40, 0]
+    asked = spark.createDataFrame([(f"n{i}",) for i in starts], "start string")
+    got = GE.lineage(asked, nodes, edges).orderBy("start", "number").collect()
+    full = {r["start"]: r for r in GE.version_records(asked, nodes, edges).collect()}
+    for s in starts:
+        order, far = brute_walk(parents, s)
+        own = [r for r in got if r["start"] == f"n{s}"]
+        assert [r["fragment_id"] for r in own] == [f"n{v}" for v in order[::-1]]
+        assert {r["fragment_id"]: r["distance"] for r in own} == {f"n{v}": d for v, d in far.items()}
+        children = {v: [c for c, ps in parents.items() if v in ps] for v in parents}
+        assert full[f"n{s}"]["ancestors"] == [f"n{v}" for v in order]
+        assert full[f"n{s}"]["descendants"] == [f"n{v}" for v in brute_walk(children, s)[0]]
+
+
+def test_a_long_history_takes_few_rounds(spark, monkeypatch):
+    rounds, plain = [], GE.cut
+    monkeypatch.setattr(GE, "cut", lambda df: rounds.append(1) or plain(df))
+    n = 100_000
+    ids = spark.range(n).select(F.col("id").cast("string").alias("fragment_id"))
+    edges = spark.range(1, n).select((F.col("id") - 1).cast("string").alias("parent"), F.col("id").cast("string").alias("child"), F.lit(0).alias("pos"))
+    got = GE.depths(ids, edges)
+    assert got.where("depth <> cast(fragment_id as int)").count() == 0 and got.count() == n
+    assert len(rounds) < 30
+
+
 def test_depth_ancestors_and_cycles(spark):
     n, e = graph(spark, {"a": [], "b": ["a"], "c": ["a", "b"], "d": ["c", "gone"], "x": ["y"], "y": []})
     assert {r[0]: r[1] for r in GE.depths(n, e).collect()} == {"a": 0, "b": 1, "c": 2, "d": 3, "x": 0, "y": 0}
