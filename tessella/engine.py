@@ -50,6 +50,7 @@ class Engine:
         self.conflict_embed = embed or VE.fallback_embedder("conflict")
         self.index = KeywordIndex(spark, f"{root}/keyword_index", config.retrieval)
         self.vectors = VectorTable(spark, f"{root}/vector_table")
+        self.last_counts: dict[str, int] = {}
 
     # -- tables ------------------------------------------------------------------
 
@@ -142,7 +143,9 @@ class Engine:
         passed = self.prepare(GA.admitted(guarded).drop("checksum", "_shelf_threshold"), now)
         judged = cut(AR.insert(passed, self.store.read("fragments"), self.config))
         stored = judged.where("accepted")
-        self.store.append("fragments", stored)
+        whole, watch = AR.counted(judged)
+        self.store.append("fragments", whole.where("accepted"))
+        self.last_counts = watch.get
         self._index(stored)
         self.store.append("rejected", GA.rejections(guarded))
         self.store.append(
@@ -183,8 +186,13 @@ class Engine:
         return HY.retrieve(rows, vectors, queries, asked, k, self.config.retrieval)
 
     def search_shelves(self, queries: DataFrame, k: int = 3) -> DataFrame:
-        """Keyword hits per shelf, each with its own statistics."""
-        return KW.bm25(self.fragments(), queries, k, by_shelf=True, config=self.config.retrieval)
+        """Hybrid hits per shelf, each with its own statistics."""
+        if not self.index.exists():
+            self.reindex()
+        rows = self.fragments().select("shelf", "id", "seq", "content")
+        vectors = self.vectors.living().join(rows.select("id", "shelf"), "id")
+        asked = queries.select("qid", self.embed(F.col("text")).alias("vec"))
+        return HY.retrieve_per_shelf(rows, vectors, queries, asked, k, self.config.retrieval)
 
     def compose(self, queries: DataFrame, k: int | None = None) -> DataFrame:
         k = k or self.config.retrieval.top_k

@@ -5,12 +5,12 @@ Tables are immutable; an operator returns the new table or the rows to append.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tessella.config import DEFAULT, EngineConfig
 from tessella.functions import words as W
-from tessella.scale import skew_join, small_side
+from tessella.scale import observed, skew_join, small_side
 
 
 def iso_utc(ts: Column) -> Column:
@@ -166,3 +166,17 @@ def shelf_statistics(fragments: DataFrame, rejected: DataFrame) -> DataFrame:
     return per_shelf.rollup("shelf").agg(
         F.sum("fragments").alias("fragments"), F.sum("rejected").alias("rejected")
     )
+
+
+def counted(judged: DataFrame) -> tuple[DataFrame, Observation]:
+    """Rows that ``insert`` has judged, and an observation of what a write of them holds:
+    judged, accepted, each refusal, and the characters accepted."""
+    accepted, size = F.col("accepted"), F.length("content")
+    return observed(
+        judged,
+        judged=F.count(F.lit(1)),
+        accepted=F.count_if(accepted),
+        refused=F.count_if(~accepted),
+        characters=F.coalesce(F.sum(F.when(accepted, size)), F.lit(0)),
+        longest=F.coalesce(F.max(F.when(accepted, size)), F.lit(0)),
+    )

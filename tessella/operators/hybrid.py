@@ -10,7 +10,7 @@ from tessella.functions import words as W
 from tessella.operators.keyword import bm25
 from tessella.operators.stored_index import KeywordIndex
 from tessella.operators.stored_vectors import VectorTable
-from tessella.operators.vectors import nearest
+from tessella.operators.vectors import nearest, nearest_per_shelf
 from tessella.scale import BROADCAST_ROWS, skew_join, top_per_group
 
 
@@ -29,18 +29,34 @@ def fuse(
     vector_hits: DataFrame,
     k: int,
     config: RetrievalConfig = DEFAULT.retrieval,
+    keys: tuple[str, ...] = ("qid",),
 ) -> DataFrame:
-    """Weighted union of both candidate lists: ``qid, id, seq, score, rank``."""
-    left = min_max(keyword_hits, ["qid"]).select("qid", "id", "seq", F.col("norm").alias("kw"))
-    right = min_max(vector_hits, ["qid"]).select("qid", "id", "seq", F.col("norm").alias("emb"))
-    both = left.join(right, ["qid", "id", "seq"], "full").na.fill(0.0, ["kw", "emb"])
+    """Weighted union of both candidate lists of each key: keys, ``id, seq, score, rank``."""
+    keys = list(keys)
+    left = min_max(keyword_hits, keys).select(*keys, "id", "seq", F.col("norm").alias("kw"))
+    right = min_max(vector_hits, keys).select(*keys, "id", "seq", F.col("norm").alias("emb"))
+    both = left.join(right, [*keys, "id", "seq"], "full").na.fill(0.0, ["kw", "emb"])
     scored = both.withColumn(
         "score",
         F.col("kw") * config.bm25_weight + F.col("emb") * config.vector_weight,
     ).where((F.col("emb") >= config.semantic_threshold) | (F.col("score") > 0))
-    return top_per_group(
-        scored, ["qid"], [F.round("score", 9).desc(), F.col("seq").asc()], k
-    )
+    return top_per_group(scored, keys, [F.round("score", 9).desc(), F.col("seq").asc()], k)
+
+
+def retrieve_per_shelf(
+    fragments: DataFrame,
+    vectors: DataFrame,
+    queries: DataFrame,
+    query_vectors: DataFrame,
+    top_k: int = 3,
+    config: RetrievalConfig = DEFAULT.retrieval,
+) -> DataFrame:
+    """Hybrid hits of every shelf with its own word statistics and scales: ``qid, shelf, id,
+    seq, score, rank``. ``vectors`` has shelf, id, seq and vec; shelves need a name."""
+    depth = leg_depth(top_k, config)
+    keyword_hits = bm25(fragments, queries, depth, by_shelf=True, config=config)
+    vector_hits = nearest_per_shelf(vectors, query_vectors, depth)
+    return fuse(keyword_hits, vector_hits, top_k, config, ("qid", "shelf"))
 
 
 def retrieve(

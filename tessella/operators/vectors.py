@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 from typing import Callable, Iterator
 
 import numpy as np
@@ -114,6 +115,38 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     )
 
 
+def nearest_per_shelf(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """Exact top ``k`` per query and shelf: ``qid, shelf, id, seq, score, rank``.
+
+    As ``nearest``, with k rows per query, shelf and task going on. Query batches beyond one
+    matrix go block after block, each of which reads the vectors once.
+    """
+    slim = vectors.select("shelf", "id", "seq", "vec")
+    n = queries.count()
+    blocks = 1 if n <= QUERY_ROWS else 2 * -(-n // QUERY_ROWS)
+    parts = []
+    for block in range(blocks):
+        own = queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == block).select("qid", "vec").collect()
+        qids = np.array([r["qid"] for r in own], np.int64)
+        held = vectors.sparkSession.sparkContext.broadcast((qids, np.array([r["vec"] for r in own], np.float64)))
+
+        def scan(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
+            qids, matrix = held.value
+            best: dict[str, pd.DataFrame] = {}
+            for batch in batches:
+                for shelf, part in batch.groupby("shelf", dropna=False, sort=False):
+                    if len(qids):
+                        scores = matrix @ np.stack(part["vec"].to_numpy()).T
+                        hits = _best(qids, scores, part["id"].to_numpy(), part["seq"], k)
+                        best[shelf] = _trim(pd.concat([best[shelf], hits]), k) if shelf in best else hits
+            for shelf, hits in best.items():
+                yield hits.assign(shelf=shelf)
+
+        parts.append(slim.mapInPandas(scan, f"{HITS}, shelf string"))
+    found = reduce(DataFrame.unionByName, parts)
+    return top_per_group(found, ["qid", "shelf"], [F.round("score", 9).desc(), F.col("seq").asc()], k)
+
+
 def _trim(hits: pd.DataFrame, k: int) -> pd.DataFrame:
     ordered = hits.assign(_s=hits["score"].round(9)).sort_values(
         ["qid", "_s", "seq"], ascending=[True, False, True]

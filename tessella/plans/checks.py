@@ -462,6 +462,10 @@ ORACLES: dict[str, str] = {
  j AS (SELECT seq, CASE WHEN status = 'archived' THEN 'duplicate_id' WHEN copy = 1 AND length(content) <= 10000 THEN 'duplicate_id'
    WHEN length(content) > 10000 THEN 'content_too_long' ELSE 'accepted' END AS outcome FROM inc)
  SELECT outcome, count(*) AS n, sum(seq)::BIGINT AS seq_sum FROM j GROUP BY outcome""",
+    "ingest_counts": f"""WITH {FRAG}, inc AS (SELECT *, 0 AS copy FROM frag UNION ALL SELECT *, 1 FROM frag),
+ j AS (SELECT length(content) AS n, status <> 'archived' AND copy = 0 AND length(content) <= 10000 AS ok FROM inc)
+ SELECT count(*) AS judged, count(*) FILTER (ok) AS accepted, count(*) FILTER (NOT ok) AS refused, coalesce(sum(n) FILTER (ok), 0)::BIGINT AS characters,
+  coalesce(max(n) FILTER (ok), 0)::BIGINT AS longest FROM j""",
     "soft_delete": f"WITH {FRAG} SELECT shelf, CASE WHEN quality < 0.2 THEN 'archived' ELSE status END AS status, count(*) AS n FROM frag GROUP BY ALL",
     "list_filter": f"WITH {FRAG} SELECT id, topic, status FROM frag WHERE topic = 'en' AND status = 'active' AND list_has_any(list_transform(tags, lambda t: lower(t)), ['even', 'src3'])",
     "keyword_search": f"WITH {FRAG} SELECT id, shelf FROM frag WHERE len(list_filter(['inthe', 'thisand', 'que la'], lambda k: list_contains(keywords, k) OR contains(lower(content), k))) > 0",
@@ -494,6 +498,12 @@ ORACLES: dict[str, str] = {
  p AS (SELECT a.id AS a, b.id AS b, list_dot_product(a.vec, b.vec) AS s FROM hv a JOIN vec b ON a.id <> b.id),
  c AS (SELECT p.a, count(*) AS n, max(p.s) AS s, max({opposed('x', 'y')}) AS k FROM p JOIN sd x ON x.id = p.a JOIN sd y ON y.id = p.b WHERE p.s >= 0.85 GROUP BY p.a)
  SELECT hy.qid, hy.id, hy.rank, c.n AS n_conflicts, round(c.s, 6) AS max_similarity, round(c.k, 6) AS max_contradiction FROM hy JOIN c ON c.a = hy.id""",
+    "shelf_hybrid_topk": f"""WITH {FRAG}, {QUERIES}, {VECTORS}, {bm25_ctes('shelf')},
+ vs AS (SELECT f.shelf, v.id, v.seq, qv.qid, list_dot_product(v.vec, qv.vec) AS score FROM vec v JOIN frag f ON f.id = v.id, qvec qv),
+ kn AS (SELECT qid, shelf, id, seq, {NORM} AS kw FROM {top('bm', 'qid, shelf', 10)} WINDOW w AS (PARTITION BY qid, shelf)),
+ en AS (SELECT qid, shelf, id, seq, {NORM} AS emb FROM {top('vs', 'qid, shelf', 10)} WINDOW w AS (PARTITION BY qid, shelf)),
+ fused AS (SELECT qid, shelf, id, seq, 0.4 * coalesce(kw, 0) + 0.6 * coalesce(emb, 0) AS score, coalesce(emb, 0) AS emb FROM kn FULL JOIN en USING (qid, shelf, id, seq))
+ SELECT qid, shelf, id, rank, round(score, 6) AS score FROM {top('(SELECT * FROM fused WHERE emb >= 0.72 OR score > 0)', 'qid, shelf', 3)}""",
     "hit_conflict_entries": f"WITH {hybrid_ctes()}, {HIT_PROBES}, {entry_ctes('hp')} SELECT * FROM entries",
     "proposal_conflict_entries": f"""WITH {FRAG}, {VECTORS}, {APPEALS}, pp AS (SELECT a.id, a.proposed_content AS content, a.sources, e.embedding::DOUBLE[] AS vec
   FROM app a, nv, embeddings e WHERE e.vec_id = a.seq % nv.n), {entry_ctes('pp', " AND NOT list_contains((SELECT any_value(sources) FROM pp z WHERE z.id = pr.id), pr.other_id)")}

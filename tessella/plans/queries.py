@@ -95,6 +95,17 @@ def archive_insert(spark, d):
     ).agg(F.count(F.lit(1)).alias("n"), F.sum("seq").alias("seq_sum"))
 
 
+@query
+def ingest_counts(spark, d):
+    """What an insert accepted and refused, counted by the write itself."""
+    f = TB.fragments(spark, d)
+    again = f.withColumn("seq", F.col("seq") + 10_000_000_000)
+    judged, watch = AR.counted(AR.insert(f.unionByName(again), f.where(F.col("status") == "archived")))
+    judged.where("accepted").write.parquet(shared_folder(spark, "accepted"))
+    found = watch.get
+    return spark.createDataFrame([tuple(found.values())], ", ".join(f"{name} long" for name in found))
+
+
 @query
 def soft_delete(spark, d):
     f = TB.fragments(spark, d)
@@ -343,6 +354,15 @@ def answers_with_warnings(spark, d):
     )
 
 
+@query
+def shelf_hybrid_topk(spark, d):
+    """Both legs per shelf, with the shelf's own statistics and scales."""
+    f = TB.fragments(spark, d)
+    vectors = TB.fragment_vectors(spark, d).join(f.select("id", "shelf"), "id")
+    hits = HY.retrieve_per_shelf(f, vectors, TB.queries(spark, d), TB.query_vectors(spark, d), 3)
+    return hits.select("qid", "shelf", "id", "rank", r("score").alias("score"))
+
+
 # -- intake, dispatch, composition -----------------------------------------------
 
 

@@ -12,7 +12,7 @@ import tempfile
 import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Rows of narrow columns that a broadcast side may hold (checked by counting).
@@ -80,6 +80,13 @@ def free_files(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def observed(df: DataFrame, **metrics: Column) -> tuple[DataFrame, Observation]:
+    """``df`` and what its rows amount to, once some action has read all of them: counts come
+    with the write instead of a second scan. ``Observation.get`` waits for that action."""
+    watch = Observation()
+    return df.observe(watch, *[m.alias(name) for name, m in metrics.items()]), watch
+
+
 def spread(df: DataFrame, splits: int = 64) -> DataFrame:
     """Give a table of few splits to all cores.
 
