@@ -11,24 +11,26 @@ from pyspark.sql import functions as F
 
 from tessella.config import DEFAULT, CompositionConfig
 from tessella.functions import words as W
-from tessella.scale import cut, exploded, top_per_group
+from tessella.scale import cut
 
 
 def frequent_words(texts: DataFrame, key: str, text: str, limit: int) -> DataFrame:
-    """``key, frequent``: up to ``limit`` repeated longer words, most common first."""
-    counted = (
-        exploded(texts.select(key, W.words(F.col(text)).alias("_ws")), F.col("_ws"), "word", "pos")
-        .where(F.length("word") > 3)
-        .groupBy(key, F.lower("word").alias("word"))
-        .agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"))
-    )
-    best = top_per_group(counted, [key], [F.col("n").desc(), F.col("first").asc()], limit)
-    return (
-        best.where("n >= 2")
-        .groupBy(key)
-        .agg(F.array_sort(F.collect_list(F.struct("rank", "word"))).alias("_w"))
-        .select(key, F.transform("_w", lambda w: w["word"]).alias("frequent"))
-    )
+    """``key, frequent``: up to ``limit`` repeated longer words of each row, most common first,
+    then by first place.
+
+    Counts are run lengths of the row's own sorted words, so nothing is shuffled.
+    """
+    item = lambda w, i: F.struct(F.lower(w).alias("word"), i.alias("pos"), F.length(w).alias("n"))
+    longer = F.filter(F.transform("_ws", item), lambda x: x["n"] > 3)
+    rows = texts.select(key, W.words(F.col(text)).alias("_ws")).select(key, F.array_sort(longer).alias("_s"))
+    differs = lambda i: (i == 0) | (F.get("_s", i)["word"] != F.get("_s", i - 1)["word"])
+    places = F.when(F.size("_s") > 0, F.sequence(F.lit(0), F.size("_s") - 1)).otherwise(F.array().cast("array<int>"))
+    rows = rows.withColumn("_a", F.filter(places, differs))
+    rows = rows.withColumn("_b", F.concat(F.slice("_a", 2, F.greatest(F.size("_a"), F.lit(1))), F.array(F.size("_s"))))
+    run = lambda a, b: F.struct((a - b).alias("n"), F.get("_s", a)["pos"].alias("first"), F.get("_s", a)["word"].alias("word"))
+    runs = F.zip_with("_a", "_b", run)
+    best = F.slice(F.array_sort(F.filter(runs, lambda r: r["n"] <= -2)), 1, limit)
+    return rows.select(key, F.transform(best, lambda r: r["word"]).alias("frequent"))
 
 
 def connectors(fragments: DataFrame, key: str = "id") -> DataFrame:
