@@ -458,6 +458,8 @@ _markers = " + ".join(
 ORACLES: dict[str, str] = {
     "tokenize_stats": f"WITH {FRAG} SELECT id, len({tokens('content')}) AS n_tokens, len(list_distinct({tokens('content')})) AS n_terms, len({words('content')}) AS n_words, len({word_set('content')}) AS n_word_set FROM frag",
     "fragment_checksum": f"WITH {FRAG} SELECT id, checksum, round(quality, 4) AS quality FROM frag2",
+    "point_lookup": f"""WITH {FRAG} SELECT id, true AS found, checksum, shelf FROM frag2 WHERE seq % 20 = 0
+ UNION ALL SELECT 'X-' || seq, false, NULL, NULL FROM frag2 WHERE seq % 20 = 0""",
     "archive_insert": f"""WITH {FRAG}, inc AS (SELECT *, 0 AS copy FROM frag UNION ALL SELECT * REPLACE (seq + 10000000000 AS seq), 1 FROM frag),
  j AS (SELECT seq, CASE WHEN status = 'archived' THEN 'duplicate_id' WHEN copy = 1 AND length(content) <= 10000 THEN 'duplicate_id'
    WHEN length(content) > 10000 THEN 'content_too_long' ELSE 'accepted' END AS outcome FROM inc)

@@ -25,6 +25,7 @@ from tessella.operators import (
     hybrid as HY,
     intake as IN,
     keyword as KW,
+    lookup as LK,
     patterns as PA,
     quarantine as QU,
     records as RE,
@@ -106,6 +107,17 @@ def ingest_counts(spark, d):
     return spark.createDataFrame([tuple(found.values())], ", ".join(f"{name} long" for name in found))
 
 
+@query
+def point_lookup(spark, d):
+    """Every twentieth fragment and as many unknown ids, from files that tell their ids."""
+    f = TB.fragments(spark, d)
+    path = shared_folder(spark, "lookup")
+    LK.write_lookup(f.select("id", "checksum", "shelf"), path)
+    some = f.where("seq % 20 = 0")
+    ids = some.select("id").unionByName(some.select(F.concat(F.lit("X-"), "seq").alias("id")))
+    return LK.lookup(spark, path, ids).select("id", "found", "checksum", "shelf")
+
+
 @query
 def soft_delete(spark, d):
     f = TB.fragments(spark, d)
