@@ -1,55 +1,52 @@
 """Document fingerprints by consistent weighted sampling.
 
-A text is a weighted set: its words, hashed to TERMS terms, with their counts. For each of
-the samples, every term draws from gamma distributions fixed by term and sample alone and
-the smallest draw wins; two texts draw the same winner with a probability equal to the
+A text is a weighted set: its words, as 64-bit hashes, with their counts. For each of the
+samples, every term draws from gamma distributions fixed by term and sample alone and the
+smallest draw wins; two texts draw the same winner with a probability equal to the
 generalised Jaccard similarity (sum of minima over sum of maxima of the weights). The share
 of equal winners estimates it. Column functions and aggregates only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.llm.common import quoted
 from tessella.scale import with_order_bucket
 
 SAMPLES = 32
-TERMS = 8192
+LANES = 32
 WHITE = r"[\x20\x09-\x0D]+"
 ID_BITS = 20
 NONE = (1 << 62) - 1
 
 
-def draws(spark: SparkSession, samples: int = SAMPLES, terms: int = TERMS) -> DataFrame:
-    """(term, r, b, c): per sample the two gamma variables r, ln c and the uniform b."""
+def uniforms(*seeds) -> tuple[Column, Column]:
+    """Two uniform numbers above 0 and below 1 from one hash."""
+    bits = F.xxhash64(*seeds)
+    low = bits.bitwiseAND(F.lit(0xFFFFFFFF)).cast("double")
+    high = F.shiftrightunsigned(bits, 32).cast("double")
+    return (low + 0.5) / F.lit(2.0**32), (high + 0.5) / F.lit(2.0**32)
 
-    def uniform(sample: Column, use: int) -> Column:
-        bits = F.shiftrightunsigned(F.xxhash64(F.col("id"), sample, F.lit(use)), 12)
-        return (bits.cast("double") + 0.5) / F.lit(2.0**52)
 
-    def per_sample(value) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.lit(samples - 1)), value)
+def winner(term: Column, log_weight: Column, sample: Column) -> Column:
+    """Draw of a term for one sample, larger bits the draw, low bits the drawn identity.
 
-    def gamma(sample: Column, use: int) -> Column:
-        return -F.log(uniform(sample, use)) - F.log(uniform(sample, use + 1))
-
-    return spark.range(terms).select(
-        F.col("id").cast("int").alias("term"),
-        per_sample(lambda j: gamma(j, 1)).alias("r"),
-        per_sample(lambda j: uniform(j, 3)).alias("b"),
-        per_sample(lambda j: F.log(gamma(j, 4))).alias("c"),
-    )
+    The gamma variables r and c and the uniform b come from hashes of the term and the
+    sample, so any number of terms has draws of its own.
+    """
 
+    def gamma(use: int) -> Column:
+        one, two = uniforms(term, sample, F.lit(use))
+        return -F.log(one * two)
 
-def winner(log_weight: Column, sample: int) -> Column:
-    """Draw of a term for one sample, larger bits the draw, low bits the drawn identity."""
-    r, b, c = (F.get(F.col(n), F.lit(sample)) for n in ("r", "b", "c"))
+    r, c, b = gamma(1), F.log(gamma(2)), uniforms(term, sample, F.lit(3))[0]
     t = F.floor(log_weight / r + b)
-    draw = F.greatest(F.least(c - r * (t - b) - r, F.lit(63.0)), F.lit(-63.0))
-    identity = (F.col("term").cast("long") * 2654435 + t * 40503 + sample * 7919).bitwiseAND((1 << ID_BITS) - 1)
-    return F.shiftleft(F.floor((draw + 64.0) * F.lit(2.0**34)), ID_BITS).bitwiseOR(identity)
+    # draws lie between -91 and 4; those of a term that this side lacks (NULL weight) stay NULL
+    draw = c - r * (t - b) - r
+    identity = F.xxhash64(term, t, sample).bitwiseAND(F.lit((1 << ID_BITS) - 1))
+    return F.shiftleft(F.floor((draw + 128.0) * F.lit(2.0**34)), ID_BITS).bitwiseOR(identity)
 
 
 def words_of(text: Column) -> Column:
@@ -125,7 +122,7 @@ def fingerprint_pairs(
         F.sha2(F.concat(head, moved), 256).alias("edited_sha256"),
     )
     # the word at the cut goes with what follows it
-    parted = rows.select("_bucket", "_pos", "_id", "_ghost", words_of(head).alias("_head"), tail.alias("_tail"), moved.alias("_moved"))
+    parted = rows.select("_bucket", "_pos", words_of(head).alias("_head"), tail.alias("_tail"), moved.alias("_moved"))
     last = F.element_at("_head", -1)
     kinds = F.array(
         F.struct(
@@ -134,27 +131,36 @@ def fingerprint_pairs(
         F.struct(F.lit(1).alias("own"), F.lit(0).alias("edited"), words_of(F.concat(last, "_tail")).alias("words")),
         F.struct(F.lit(0).alias("own"), F.lit(1).alias("edited"), words_of(F.concat(last, "_moved")).alias("words")),
     )
-    keys = ["_bucket", "_pos", "_id", "_ghost"]
-    listed = parted.select(*keys, F.explode(kinds).alias("_k")).select(
-        *keys, "_k.own", "_k.edited", F.explode("_k.words").alias("_word")
+    at = ["_bucket", "_pos"]
+    listed = parted.select(*at, F.explode(kinds).alias("_k")).select(
+        *at, "_k.own", "_k.edited", F.explode("_k.words").alias("_word")
     )
     weights = (
         listed.where("_word <> ''")
-        .select(*keys, "own", "edited", F.pmod(F.xxhash64("_word"), F.lit(TERMS)).cast("int").alias("term"))
-        .groupBy(*keys, "term")
+        .select(*at, "own", "edited", F.xxhash64("_word").alias("term"))
+        .groupBy(*at, "term")
         .agg(F.log(F.sum("own").cast("double")).alias("_w0"), F.log(F.sum("edited").cast("double")).alias("_w1"))
     )
-    drawn = weights.join(F.broadcast(draws(df.sparkSession, samples)), "term")
-    winners = drawn.groupBy(*keys).agg(
-        *[F.min(winner(F.col(f"_w{side}"), j)).alias(f"_f{side}_{j}") for side in (0, 1) for j in range(samples)]
-    )
-    identity = [
-        [F.coalesce(F.col(f"_f{side}_{j}"), F.lit(NONE)).bitwiseAND((1 << ID_BITS) - 1).alias(f"_f{side}_{j}") for j in range(samples)]
-        for side in (0, 1)
+    # wide expressions compile slowly, so each row of a term draws for LANES samples
+    lanes = min(samples, LANES)
+    parts = F.explode(F.sequence(F.lit(0), F.lit(-(-samples // lanes) - 1))).alias("_part")
+    drawn = [
+        F.min(winner(F.col("term"), F.col(f"_w{side}"), F.col("_part") * lanes + j)) for side in (0, 1) for j in range(lanes)
     ]
+    identity = [F.coalesce(d, F.lit(NONE)).bitwiseAND(F.lit((1 << ID_BITS) - 1)) for d in drawn]
+    partial = weights.select("*", parts).groupBy(*at, "_part").agg(
+        F.array(*identity[:lanes]).alias("_f"), F.array(*identity[lanes:]).alias("_g")
+    )
+    whole = F.array_sort(F.collect_list(F.struct("_part", "_f", "_g")))
+    winners = partial.groupBy(*at).agg(whole.alias("_parts"))
     # texts without words have no winners; both sides lie in their buckets already
-    found = base.join(winners.drop("_id", "_ghost"), ["_bucket", "_pos"], "left")
-    prints = found.select(*keys, "n_chars", "edited_sha256", F.array(*identity[0]).alias("_f"), F.array(*identity[1]).alias("_g"))
+    found = base.join(winners, at, "left")
+    none = F.array_repeat(F.lit(NONE & ((1 << ID_BITS) - 1)), samples)
+
+    def joined(side: str) -> Column:
+        return F.coalesce(F.slice(F.flatten(F.col(f"_parts.{side}")), 1, samples), none).alias(side)
+
+    prints = found.select(*at, "_id", "_ghost", "n_chars", "edited_sha256", joined("_f"), joined("_g"))
     order = Window.partitionBy("_bucket").orderBy("_pos")
     after = prints.withColumn("_h", F.lead("_f").over(order)).where(~F.col("_ghost"))
 

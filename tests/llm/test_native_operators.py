@@ -77,6 +77,26 @@ def test_weights_count(spark):
     assert abs(near - jaccard(*texts)) < 0.12
 
 
+def test_long_texts_are_as_alike_as_their_words(spark):
+    """Neighbours of many distinct words: the likeness stays within its standard error."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    longest = docs.orderBy(F.char_length("text").desc(), "doc_id").limit(10)
+    rows = [(n, r["text"]) for n, r in enumerate(longest.collect())]
+    random.seed(12)
+    names = [f"name{i}" for i in range(60_000)]
+    rows += [(n, " ".join(random.sample(names, 20_000))) for n in range(10, 14)]
+    some = spark.createDataFrame(rows, "doc_id long, text string")
+    got = fingerprint_pairs(some, samples=256).orderBy("doc_id").collect()
+    texts = [t for _, t in rows]
+    for n, r in enumerate(got):
+        for near, other in (
+            (r["near_next"], texts[(n + 1) % len(texts)]),
+            (r["near_edited"], edited(texts[n], texts[(n + 1) % len(texts)])),
+        ):
+            true = jaccard(texts[n], other)
+            assert abs(near - true) <= 3 * np.sqrt(max(true * (1 - true), 1 / 256) / 256)
+
+
 def test_mixing_meets_its_targets(spark):
     docs, labels = (spark.read.parquet(f"{FOLDER}/{t}.parquet") for t in ("documents", "labels"))
     got = mix_documents(docs, labels).toPandas()
