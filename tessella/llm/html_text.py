@@ -3,7 +3,8 @@
 Every text of a page hangs below a path of tags from the root. Per path, the mean text
 length and the mean punctuation of its texts are set against the number of its texts;
 both ratios are smoothed over similar paths, fused, and paths above a share of the
-strongest one select the blocks to keep.
+strongest one select the blocks to keep. Inside an article, names that only hold a mark
+("related-work") leave it to the ratios whether the block belongs to the text.
 """
 
 from __future__ import annotations
@@ -49,6 +50,12 @@ MARKS = (
     "recommended", "share", "sharing", "social", "sidebar", "skip", "sponsor", "sponsored", "toolbar", "widget",
     "login", "signup",
 )
+# Marks that are doubtful inside an article when they are only part of a longer name, as in
+# "entry-header" or "related-work": there the ratios decide.
+DOUBTFUL = (
+    "banner", "foot", "footer", "header", "label", "masthead", "notice", "overlay", "promoted", "promotion", "related",
+    "recommended", "share", "sharing", "skip", "social", "toolbar", "widget",
+)
 # A header inside the article belongs to it, and so do notes that its text carries.
 MAIN = ("article", "main")
 VOID = (
@@ -72,15 +79,20 @@ IMPLIED = {
 }
 CLOSES_P = frozenset(BLOCKS) - {"body", "html", "head", "li", "dd", "dt", "td", "th", "tr", "tbody", "thead", "tfoot", "summary", "figcaption"}
 _RAW, _BESIDE, _MARKS, _VOID, _BLOCKS, _ROLES = map(frozenset, (RAW, BESIDE, MARKS, VOID, BLOCKS, ROLES))
+_DOUBTFUL = frozenset(DOUBTFUL)
+_HEADED = frozenset(f"h{n}{mark}" for n in range(1, 7) for mark in ("", "?"))
 
 SHARE = 0.05
+# Doubtful blocks need this share of the strongest ratio.
+DOUBT = 0.5
+DOUBTED, OUT = 1, 2
 INLINE = {"b", "i", "em", "strong", "a", "span", "u", "s", "small", "sub", "sup", "code", "mark", "font", "q", "cite", "abbr", "time", "kbd", "var", "br", "wbr", "img", "del", "ins", "big", "tt", "label"}
 
 
 @dataclass
 class Block:
     path: tuple[str, ...]
-    beside: bool
+    beside: int
     article: bool
     parts: list[str] = field(default_factory=list)
     linked: int = 0
@@ -89,26 +101,34 @@ class Block:
         return SPACES.sub(" ", "".join(self.parts)).strip(" ")
 
 
-def is_beside(tag: str, attributes: str, in_article: bool) -> bool:
+def is_beside(tag: str, attributes: str, in_article: bool, in_text: bool = False) -> int:
+    """0, DOUBTED or OUT; ``in_text``: inside an article element, where doubts are possible."""
     if tag in _BESIDE and not (tag == "header" and in_article):
-        return True
-    if not attributes or "=" not in attributes:
-        return False
+        return OUT
+    if not attributes:
+        return 0
+    level = 0
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name in ("class", "id") and tag not in ("body", "html", *MAIN):
-            if not _MARKS.isdisjoint(MARK.findall(value)):
-                return True
+            for token in value.split():
+                marks = _MARKS.intersection(MARK.findall(token))
+                if not marks:
+                    continue
+                doubtful = in_text and tag not in INLINE and token not in marks and marks <= _DOUBTFUL
+                if not doubtful:
+                    return OUT
+                level = DOUBTED
         elif name == "role" and value in _ROLES or name == "aria-hidden" and value == "true":
-            return True
+            return OUT
         elif name == "style" and "display:none" in value.replace(" ", ""):
-            return True
-    return bool(re.search(r"(?:^|\s)hidden(?:\s|$)", attributes))
+            return OUT
+    return OUT if re.search(r"(?:^|\s)hidden(?:\s|$)", attributes) else level
 
 
 def blocks_of(page: str) -> list[Block]:
     """Blocks of text in page order, with the tag path of each."""
-    stack: list[tuple[str, bool, bool]] = []  # tag, beside, in the article
+    stack: list[tuple[str, int, bool]] = []  # tag, beside, in the article
     out: list[Block] = []
     current: Block | None = None
     position, end = 0, len(page)
@@ -117,11 +137,12 @@ def blocks_of(page: str) -> list[Block]:
         nonlocal current
         if not raw:
             return
-        holder = next((e for e in reversed(stack) if e[0] not in INLINE), ("", False, False))
-        if stack and stack[-1][1] and not holder[1]:
+        holder = next((e for e in reversed(stack) if e[0] not in INLINE), ("", 0, False))
+        if stack and stack[-1][1] == OUT and holder[1] != OUT:
             return  # an inline element beside the text of its block
         if current is None:
-            current = Block(tuple(t for t, *_ in stack if t not in INLINE), holder[1], holder[2])
+            path = tuple(t + "?" * (level == DOUBTED) for t, level, _ in stack if t not in INLINE)
+            current = Block(path, holder[1], holder[2])
             out.append(current)
         text = html.unescape(raw)
         current.parts.append(text)
@@ -192,9 +213,10 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if attributes.rstrip().endswith("/") and tag not in _BLOCKS and tag not in INLINE:
             continue
-        beside, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+        beside, article = (stack[-1][1], stack[-1][2]) if stack else (0, False)
         article = article or tag in MAIN
-        stack.append((tag, beside or is_beside(tag, attributes, article), article))
+        in_text = article and "=" in attributes and any(t == "article" for t, *_ in stack)
+        stack.append((tag, max(beside, is_beside(tag, attributes, article, in_text)), article))
     return out
 
 
@@ -212,7 +234,7 @@ def main_text(page: str | None, share: float = SHARE) -> str:
     """The article of a page; '' for NULL, empty pages and pages without text."""
     if not page:
         return ""
-    kept = [(b, t) for b in blocks_of(page) if not b.beside and (t := b.text())]
+    kept = [(b, t) for b in blocks_of(page) if b.beside != OUT and (t := b.text())]
     if any(b.article for b, _ in kept):
         kept = [(b, t) for b, t in kept if b.article]
     sums: dict[tuple[str, ...], list[float]] = {}
@@ -232,8 +254,16 @@ def main_text(page: str | None, share: float = SHARE) -> str:
             sum(w * ratios[other][i] for other, w in weights.items()) / total for i in (0, 1)
         )
         scores[path] = length * (1 + marks)
-    least = share * max(scores.values())
-    return "\n".join(text for block, text in kept if scores[block.path] >= least)
+    best = max(scores.values())
+
+    def stays(block: Block) -> bool:
+        if block.article and _HEADED.intersection(block.path):
+            return True  # titles are short, whatever their path
+        if block.beside == DOUBTED:
+            return scores[block.path] >= max(DOUBT, share) * best
+        return scores[block.path] >= share * best
+
+    return "\n".join(text for block, text in kept if stays(block))
 
 
 def extract_pages(

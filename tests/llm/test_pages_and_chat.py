@@ -37,6 +37,19 @@ def test_what_stands_beside_the_article():
     assert main_text("<main><header><h1>Title</h1></header><p>Text &#233;&lt;b&gt;</main><p>after</p>") == "Title\nText é<b>"
 
 
+def test_names_inside_an_article_leave_it_to_the_ratios():
+    long = "A whole sentence of the article, with commas, and a stop."
+    page = f"""<article><header class="entry-header"><h1>Title</h1></header><div class="post-header"><h2>Part</h2></div>
+    <p>{long}</p><p class="related-work">{long} Cited.</p><div class="share-buttons"><p>Tell friends</p></div>
+    <div class="related-posts"><p><a href=x>{long}</a></p></div><p>One <span class="share-link">share</span>.</p>
+    <section class="post-comments"><p>{long} I agree.</p></section><div class="related"><p>{long} Other.</p></div></article>"""
+    want = ["Title", "Part", long, f"{long} Cited.", "One ."]
+    assert main_text(page).split("\n") == want
+    # without the ratios the buttons and the linked list would stay
+    off = re.sub("share-buttons|related-posts", "plain", page)
+    assert main_text(off) != main_text(page) and "Tell friends" in main_text(off)
+
+
 def test_awkward_pages(spark):
     assert [main_text(p) for p in (None, "", "  ", "<p>", "<!-- only -->", "a < b")] == ["", "", "", "", "", "a < b"]
     deep = "<div>" * 3000 + "deep text" + "</div>" * 3000
