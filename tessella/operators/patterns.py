@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from tessella.scale import (
     cut,
     exploded,
     running_position,
+    shared_folder,
     skew_join,
     small_side,
     top_per_group,
@@ -23,6 +25,8 @@ from tessella.scale import (
 )
 
 OCCURRENCE = ["seq", "pos"]
+# Rows of patterns, one for each of their first words, that are broadcast at once.
+PATTERN_ROWS = 200_000
 
 
 # -- extraction ------------------------------------------------------------------
@@ -80,12 +84,12 @@ def python_patterns(code: str) -> list[tuple[str, str, str, str]]:
     return found["definition"] + found["constant"] + found["library"]
 
 
-PATTERN_ROWS = T.ArrayType(
+PATTERN_TYPE = T.ArrayType(
     T.StructType([T.StructField(n, T.StringType()) for n in ("type", "name", "content", "tag")])
 )
 
 
-@F.udf(PATTERN_ROWS)
+@F.udf(PATTERN_TYPE)
 def _python_patterns(code):
     return python_patterns(code) if code else []
 
@@ -166,61 +170,74 @@ def similar_stored(
 
     A pattern counts as held if a certified row is among its first few most
     similar rows with enough similarity. Only rows at or above that similarity
-    can matter: they precede all others in the ranking. Rows with equal word sets
-    tie, so of each set only the first few rows by ``seq`` are kept.
+    can matter: they precede all others in the ranking.
 
     Pairs come from a prefix filter: of the smaller word set at most
     ``size - ceil(limit * size)`` words may be missing from the larger one, so one
-    more word than that is enough to find every partner. The longest words are
-    taken, which are rarely shared by chance; the choice does not affect results.
+    more word than that is enough to find every partner. The words that the fewest
+    patterns have are taken; the choice does not affect results. Patterns go to the
+    stored rows in blocks of bounded size, so no word of a stored row is shuffled.
+    Words compare by 64-bit hashes.
     """
     depth, limit = config.patterns.dedup_depth, config.patterns.dedup_similarity
 
-    def prefix(ws: Column, size: Column) -> Column:
-        by_length = F.transform(
-            F.array_sort(F.transform(ws, lambda w: F.struct((-F.length(w)).alias("l"), w.alias("w")))),
-            lambda s: s["w"],
-        )
-        return F.slice(by_length, 1, (size - F.ceil(size * limit - 1e-9) + 1).cast("int"))
+    def prefix(size: Column) -> Column:
+        return (size - F.ceil(size * limit - 1e-9) + 1).cast("int")
 
-    asked = patterns.select("key", W.word_set(F.col("content")).alias("ws")).withColumn(
-        "n", F.size("ws")
-    )
+    asked = patterns.select("key", hashed_words(F.col("content")).alias("ws"))
+    words = cut(exploded(asked, F.col("ws"), "word").select("key", "word"))
+    shared = words.groupBy("word").agg(F.count(F.lit(1)).alias("shared"))
+    rare = F.transform(F.array_sort(F.collect_list(F.struct("shared", "word"))), lambda s: s["word"])
+    ranked = words.join(shared, "word").groupBy("key").agg(rare.alias("pattern")).withColumn("n", F.size("pattern"))
+    ranked = cut(ranked)
     sure = is_certified(F.col("quality"), F.col("provenance.final_source"), config.gate)
-    stored = fragments.select(
-        "seq", sure.alias("sure"), F.array_sort(W.word_set(F.col("content"))).alias("ws")
-    ).withColumn("set_id", F.sha2(F.array_join("ws", " "), 256))
-    few = cut(top_per_group(stored, ["set_id"], [F.col("seq").asc()], depth, "copy"))
-    sets = few.where("copy = 1").withColumn("m", F.size("ws"))
-    # side "p": the pattern is the smaller set, side "s": the stored set is
-    asked_words = exploded(asked.select("key", "n", prefix(F.col("ws"), F.col("n")).alias("x"), F.lit("p").alias("side")), F.col("x"), "word").unionByName(
-        exploded(asked.select("key", "n", F.col("ws").alias("x"), F.lit("s").alias("side")), F.col("x"), "word")
-    ).drop("x")
-    stored_words = exploded(sets.select("set_id", "m", F.col("ws").alias("x"), F.lit("p").alias("side")), F.col("x"), "word").unionByName(
-        exploded(sets.select("set_id", "m", prefix(F.col("ws"), F.col("m")).alias("x"), F.lit("s").alias("side")), F.col("x"), "word")
-    ).drop("x")
-    smaller = F.when(F.col("side") == "p", F.col("n") <= F.col("m")).otherwise(
-        F.col("m") < F.col("n")
-    )
-    pairs = (
-        stored_words.join(small_side(asked_words), ["word", "side"])
-        .where(smaller)
-        .select("key", "set_id")
-        .distinct()
+    stored = fragments.select("seq", sure.alias("sure"), hashed_words(F.col("content")).alias("ws")).withColumn("m", F.size("ws"))
+
+    first = ranked.withColumn("word", F.explode(F.slice("pattern", F.lit(1), prefix(F.col("n")))))
+    n_blocks = -(-first.count() // PATTERN_ROWS)
+    folder = shared_folder(fragments.sparkSession, "stored-words")
+    stored.write.parquet(folder)
+    stored = fragments.sparkSession.read.parquet(folder)
+    near = [_short_partners(ranked, words, shared, stored, prefix, limit, depth)]
+    for block in range(n_blocks):
+        part = first.where(F.pmod(F.xxhash64("key"), F.lit(n_blocks)) == block)
+        met = exploded(stored, F.col("ws"), "word").join(F.broadcast(part), "word").where("n <= m")
+        share = F.size(F.array_intersect("ws", "pattern")) / F.col("n")
+        similar = met.select("key", "seq", "sure", share.alias("sim"))
+        # a partner is met once for each of the first words that it has
+        near.append(similar.where(F.col("sim") >= limit).distinct())
+    best = [top_per_group(n, ["key"], [F.round("sim", 9).desc(), F.col("seq").asc()], depth).drop("rank") for n in near]
+    ranking = top_per_group(
+        reduce(DataFrame.unionByName, best), ["key"], [F.round("sim", 9).desc(), F.col("seq").asc()], depth
     )
+    return ranking.where("sure").select("key").distinct()
+
+
+def hashed_words(text: Column) -> Column:
+    """Distinct words of a text as 64-bit hashes."""
+    return F.array_distinct(F.transform(W.lower_words(text), lambda w: F.xxhash64(w)))
+
+
+def _short_partners(ranked: DataFrame, words: DataFrame, shared: DataFrame, stored: DataFrame, prefix, limit: float, depth: int) -> DataFrame:
+    """(key, seq, sure, sim) of stored rows with fewer words than the pattern. Rows with equal
+    words tie, so of each set only the first few by ``seq`` are kept."""
+    longest = ranked.agg(F.max("n")).first()[0] or 0
+    short = stored.where(F.col("m").between(1, longest - 1)).withColumn("ws", F.array_sort("ws"))
+    few = cut(top_per_group(short, ["ws"], [F.col("seq").asc()], depth, "copy"))
+    sets = few.where("copy = 1").select(F.xxhash64("ws").alias("short_id"), "m", "ws")
+    each = sets.select("short_id", "m", F.explode("ws").alias("word")).join(shared, "word", "left")
+    rare = F.array_sort(F.collect_list(F.struct(F.coalesce("shared", F.lit(0)).alias("shared"), "word")))
+    first = F.slice(rare, F.lit(1), prefix(F.col("m")))
+    heads = each.groupBy("short_id", "m").agg(first.alias("first")).select("short_id", F.explode("first.word").alias("word"))
+    pairs = words.join(heads, "word").select("key", "short_id").distinct()
     near = (
-        pairs.join(asked.select("key", F.col("ws").alias("pattern_ws")), "key")
-        .join(sets.select("set_id", "ws"), "set_id")
-        .select("key", "set_id", W.overlap_share(F.col("pattern_ws"), F.col("ws")).alias("sim"))
+        pairs.join(ranked.select("key", "n", "pattern"), "key")
+        .join(sets, "short_id")
+        .where("m < n")
+        .select("key", "ws", W.overlap_share(F.col("pattern"), F.col("ws")).alias("sim"))
         .where(F.col("sim") >= limit)
     )
-    ranked = top_per_group(
-        near.join(few.select("set_id", "seq", "sure"), "set_id"),
-        ["key"],
-        [F.round("sim", 9).desc(), F.col("seq").asc()],
-        depth,
-    )
-    return ranked.where("sure").select("key").distinct()
+    return near.join(few.select("ws", "seq", "sure"), "ws").select("key", "seq", "sure", "sim")
 
 
 def candidates(

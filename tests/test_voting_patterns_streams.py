@@ -195,6 +195,20 @@ def test_similar_patterns_against_brute_force(spark):
     assert {r["key"] for r in PA.similar_stored(p, f).collect()} == want
 
 
+def test_similar_patterns_in_blocks_without_a_shuffle_of_stored_words(spark, monkeypatch):
+    rng = random.Random(4)
+    vocabulary = [f"v{i}" for i in range(30)]
+    archive = [(f"f{i}", i, " ".join(rng.sample(vocabulary, rng.randrange(1, 28))), 0.95) for i in range(60)]
+    f = conform(spark.createDataFrame(archive, "id string, seq long, content string, quality double"), schemas.FRAGMENTS)
+    p = spark.createDataFrame([(f"k{i}", " ".join(rng.sample(vocabulary, rng.randrange(3, 16)))) for i in range(40)], "key string, content string")
+    whole = PA.similar_stored(p, f)
+    plan = whole._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(key" in plan and "hashpartitioning(set_id" not in plan
+    want = {r["key"] for r in whole.collect()}
+    monkeypatch.setattr(PA, "PATTERN_ROWS", 9)
+    assert want and {r["key"] for r in PA.similar_stored(p, f).collect()} == want
+
+
 def test_candidates_emit_each_due_occurrence(spark):
     text = "alpha beta gamma delta epsilon zeta eta theta iota kappa."
     texts = spark.createDataFrame([(i, "ctx", text) for i in range(5)], "seq long, context string, content string")
