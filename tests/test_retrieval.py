@@ -196,6 +196,18 @@ def test_probe_scan_both_paths(spark, monkeypatch):
     assert collected(CF.scan_probes(probes, features)) == want
 
 
+def test_probe_blocks_copy_no_vectors(spark, monkeypatch):
+    monkeypatch.setattr(CF, "PROBE_ROWS", 4)
+    rows, features = conflict_rows(spark, 40)
+    out = CF.scan_probes(features, features, 0.3)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroup" not in plan and "vec" not in plan
+    assert collected(out) == brute_conflicts(rows, rows, 0.3)
+    huge = features.withColumn("vec", F.transform("vec", lambda x: x * 1e25))
+    want = {k: v[0] for k, v in brute_conflicts(rows, rows, 0.3).items()}
+    assert {r["id"]: r["n_conflicts"] for r in CF.scan_probes(huge, huge, 0.3e50).collect()} == want
+
+
 def test_conflict_entries(spark):
     rows, features = conflict_rows(spark, 24)
     contents = spark.createDataFrame([(i, t) for i, _, t in rows], "id string, content string")
