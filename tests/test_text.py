@@ -1,3 +1,4 @@
+import time
 import random
 import re
 
@@ -133,3 +134,18 @@ def test_word_lists_are_whole():
 def test_fixed_decimals(spark, value, want):
     df = spark.createDataFrame([(value,)], "v double")
     assert df.select(W.fixed(F.col("v"), 2)).first()[0] == want == f"{value:.2f}"
+
+
+def test_excerpt_of_long_texts_in_linear_time(spark):
+    blanks = [0x09, 0x0B, 0x1C, 0x1F, 0x85, 0xA0, 0x1680, 0x2003, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+    odd = "".join(f"word{i}{chr(c)}" for i, c in enumerate(blanks)) + "zero\u200bwidth next\u180eone"
+    split = spark.createDataFrame([(odd,)], "a string").select(W.words(F.col("a")).alias("w")).first()["w"]
+    assert split == odd.split()
+    n = 60_000
+    long = spark.range(2).select(
+        F.array_join(F.transform(F.sequence(F.lit(0), F.lit(n)), lambda i: F.concat(F.lit("a"), i)), " ").alias("a"),
+        F.array_join(F.transform(F.sequence(F.lit(0), F.lit(n)), lambda i: F.concat(F.lit("b"), i)), " ").alias("b"),
+    )
+    began = time.monotonic()
+    got = long.select(W.overlap_excerpt(F.concat("a", F.lit(" common ending")), F.concat("b", F.lit(" ending common"))).alias("v")).collect()
+    assert {r["v"] for r in got} == {"common ending"} and time.monotonic() - began < 10
