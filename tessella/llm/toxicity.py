@@ -29,8 +29,6 @@ SHARED_ORDER = 2
 DISCOUNT = 0.75
 # Sequences that are fitted on the driver and broadcast; more are joined. No result depends on it.
 BROADCAST_SEQUENCES = 600_000
-# At most so many ordinary texts per toxic one among the texts that counts come from.
-ORDINARY_PER_TOXIC = 8.0
 # One labelled text in so many calibrates instead of being counted.
 CALIBRATION_SHARE = 4
 # Nats by which the likelihoods of a word may differ by chance; they count as equal.
@@ -255,19 +253,12 @@ def parted(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Sequence counts, and the texts that calibrate, of a table (text, toxic 0/1) without NULLs.
 
     One text in CALIBRATION_SHARE, drawn by a hash of the text so that copies stay on one
-    side, calibrates; sequences of all other toxic texts are counted, and of ordinary ones
-    as many as ORDINARY_PER_TOXIC allows, drawn by hash. Counting is one aggregation over
-    the labelled texts and grows with them.
+    side, calibrates; the sequences of all others are counted. No labelled text is left out.
+    Counting is one aggregation over the labelled texts and grows with them.
     """
     side = F.pmod(F.xxhash64("text"), F.lit(CALIBRATION_SHARE)) == 0
     sided = labelled.select("text", F.col("toxic").cast("int").alias("toxic"), side.alias("calibrates"))
-    sizes = {
-        (r["toxic"], r["calibrates"]): r["n"]
-        for r in sided.groupBy("toxic", "calibrates").agg(F.count("*").alias("n")).collect()
-    }
-    share = ORDINARY_PER_TOXIC * sizes.get((1, False), 0) / max(sizes.get((0, False), 0), 1)
-    draw = F.xxhash64("text", F.lit("ordinary")).bitwiseAND(2**63 - 1) / F.lit(float(2**63))
-    counted = sided.where(~F.col("calibrates") & ((F.col("toxic") == 1) | (draw < share)))
+    counted = sided.where(~F.col("calibrates"))
     counts = (
         counted.select("text", "toxic")
         .mapInPandas(lambda batches: map(sequence_counts, batches), COUNTS_SCHEMA)

@@ -1,5 +1,6 @@
 import itertools
 import math
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -10,7 +11,7 @@ from tables import ODD_TEXTS, odd_documents, odd_labels
 from tessella.llm import ragged, toxicity
 from tessella.llm.piece_sampling import Sampler, decode, encode_samples
 from tessella.llm.queries import tokenizer_file
-from tessella.llm.toxicity import ClassModels, score_toxicity, sequence_counts
+from tessella.llm.toxicity import ClassModels, parted, score_toxicity, sequence_counts
 
 MODEL = tokenizer_file("piece_bpe_32k.model")
 FOLDER = "/root/testdata/sf0.01"
@@ -194,6 +195,16 @@ def test_toxicity_of_held_out_texts(spark):
     assert small.count() == docs.count() and small.where("score < 0 or score > 1 or score is null").count() == 0
 
 
+def test_every_labelled_text_counts_or_calibrates(spark):
+    rows = [(f"nice word{i} here", 0) for i in range(60)] + [("bad one", 1), ("bad two", 1), ("bad three", 1)]
+    counts, calibrating = parted(spark.createDataFrame(rows, "text string, toxic int"))
+    held = {r["text"] for r in calibrating.collect()}
+    counted = [(t, k) for t, k in rows if t not in held]
+    ends = counts.where("n = 5").agg(F.sum("toxic"), F.sum("ordinary")).first()
+    symbols = [sum(len(w) + 1 for t, k in counted if k == kind for w in re.findall("[a-z]+", t)) for kind in (1, 0)]
+    assert list(ends) == symbols and 0 < len(held) < len(rows)
+
+
 def test_toxicity_edges(spark):
     docs, labels = odd_documents(spark), odd_labels(spark)
     got = score_toxicity(docs, labels).toPandas()
