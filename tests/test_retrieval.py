@@ -224,6 +224,19 @@ def test_hot_copies_do_not_multiply(spark):
     assert len(got) == 60 and set(got.values()) == {(59, 1.0, 0.0, 0)}
 
 
+@pytest.mark.parametrize("threshold", [0.85, 0.3])
+def test_archive_scan_copies_each_vector_to_few_blocks(spark, monkeypatch, threshold):
+    """Sides of one vector are members of its group, and blocks fill before they become more."""
+    for name, value in {"EVEN_ROWS": 4, "EVEN_BLOCKS": 3, "MEMBERS": 2, "MEMBER_PAIRS": 5, "TILE_ROWS": 4, "TILE_COLUMNS": 6, "PAIRS": 3}.items():
+        monkeypatch.setattr(CF, name, value)
+    met = []
+    monkeypatch.setattr(CF.F, "explode", lambda c, explode=F.explode: met.append(c) or explode(c))
+    rows, features = conflict_rows(spark)
+    got = CF.scan_archive(features, threshold)
+    assert collected(got) == brute_conflicts(rows, rows, threshold)
+    assert len(met) == 2 and "sequence(0, 2)" in str(met[0])  # three blocks, however many rows
+
+
 def test_probes_skip_excluded_rows(spark, monkeypatch):
     rows, features = conflict_rows(spark, 30)
     probes = features.where("id < 'r06'").withColumn("exclude", F.array(F.lit("r03"), F.lit("r12")))
