@@ -11,22 +11,26 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from tessella.scale import BROADCAST_ROWS
 
-# Cells of a score table (rows times queries) that a task holds at once.
-CELLS = 4_000_000
+# Cells of a score table (rows times queries), and words of rows, that a task handles at once.
+CELLS = 500_000
+WORDS = 1 << 18
 
 
 @dataclass
 class Weights:
-    """Weights of one shelf: words, queries and a words x queries table."""
+    """Weights of one shelf: its words, and for each the queries that have it, word by word."""
 
-    words: dict[str, int]
+    words: pa.Array
     queries: np.ndarray
-    table: np.ndarray
+    start: np.ndarray
+    query: np.ndarray
+    weight: np.ndarray
     mean_size: float
     query_sizes: np.ndarray
 
@@ -41,45 +45,70 @@ def bounded_weights(weights: DataFrame, sizes: DataFrame | None = None) -> dict[
         return None
     of = dict(sizes.toPandas().itertuples(index=False, name=None)) if sizes is not None else {}
     out = {}
-    for shelf, rows in held.groupby("shelf", dropna=False):
-        words = {w: i for i, w in enumerate(rows["term"].unique())}
-        queries = np.sort(rows["qid"].unique())
-        if len(words) * len(queries) > 64 * CELLS:
-            return None
-        table = np.zeros((len(words), len(queries)))
-        table[rows["term"].map(words).to_numpy(), np.searchsorted(queries, rows["qid"].to_numpy())] = rows["w"]
+    for shelf, rows in held.groupby("shelf"):
+        words, word = np.unique(rows["term"].to_numpy(), return_inverse=True)
+        queries, query = np.unique(rows["qid"].to_numpy(), return_inverse=True)
+        order = np.argsort(word, kind="stable")
         out[shelf] = Weights(
-            words, queries, table, float(rows["mean_size"].iloc[0]), np.array([of.get(q, 1) for q in queries], float)
+            pa.array(words, pa.string()), queries, np.searchsorted(word[order], np.arange(len(words) + 1)), query[order],
+            rows["w"].to_numpy(np.float64)[order], float(rows["mean_size"].iloc[0]), np.array([of.get(q, 1) for q in queries], float),
         )
     return out
 
 
-def _cells(rows: pd.DataFrame, weights: Weights) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _parts(batches: Iterator[pa.RecordBatch], weights: dict[str, Weights]) -> Iterator[tuple[Weights, str, pa.RecordBatch]]:
+    """Rows of one shelf that have weights, about WORDS words of the batch at a time.
+
+    Words stay in Arrow's memory, so that a worker holds little beyond the batch it was sent.
+    """
+    for batch in batches:
+        sizes = pc.fill_null(pc.list_value_length(batch.column("toks")), 0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(sizes, dtype=np.int64)
+        first = 0
+        while first < len(ends):
+            before = ends[first] - sizes[first]
+            last = max(first + 1, int(np.searchsorted(ends, before + WORDS, side="right")))
+            some = batch.slice(first, last - first)
+            shelves = some.column("shelf")
+            for shelf in shelves.unique().to_pylist():
+                if shelf in weights:
+                    yield weights[shelf], shelf, some.filter(pc.equal(shelves, shelf))
+            first = last
+
+
+def _cells(rows: pa.RecordBatch, weights: Weights) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, word, times) of the rows' words that some query has, by row."""
-    found, owner = [], []
-    for i, items in enumerate(rows["toks"]):
-        here = [weights.words[t] for t in items if t in weights.words]
-        found += here
-        owner += [i] * len(here)
+    sizes = pc.fill_null(pc.list_value_length(rows.column("toks")), 0).to_numpy(zero_copy_only=False)
+    words = rows.column("toks").flatten()
+    found = pc.fill_null(pc.index_in(words, value_set=weights.words.cast(words.type)), -1).to_numpy(zero_copy_only=False)
+    here = found >= 0
     width = max(len(weights.words), 1)
-    cell, times = np.unique(np.array(owner, np.int64) * width + np.array(found, np.int64), return_counts=True)
+    cell, times = np.unique(np.repeat(np.arange(len(sizes)), sizes)[here] * width + found[here], return_counts=True)
     return cell // width, cell % width, times
 
 
-def _scores(rows: pd.DataFrame, weights: Weights, value) -> Iterator[tuple[int, np.ndarray]]:
+def _scores(rows: pa.RecordBatch, weights: Weights, value) -> Iterator[tuple[int, np.ndarray]]:
     """(first row, scores of rows x queries) for blocks of rows."""
     row, word, times = _cells(rows, weights)
-    part = value(times, rows["size"].to_numpy()[row], weights)
-    step = max(1, CELLS // max(len(weights.queries), 1))
-    bounds = np.searchsorted(row, np.arange(len(rows) + 1))
-    for first in range(0, len(rows), step):
-        last = min(first + step, len(rows))
-        out = np.zeros((last - first, len(weights.queries)))
-        for i in range(first, last):
-            a, b = bounds[i], bounds[i + 1]
-            if b > a:
-                out[i - first] = part[a:b] @ weights.table[word[a:b]]
-        yield first, out
+    part = value(times, _numbers(rows, "size")[row], weights)
+    each = weights.start[word + 1] - weights.start[word]  # queries that have the word
+    n, width = rows.num_rows, len(weights.queries)
+    bounds = np.searchsorted(row, np.arange(n + 1))
+    load = np.concatenate([[0], np.cumsum(each)])[bounds] + width * np.arange(n + 1)
+    first = 0
+    while first < n:
+        last = max(first + 1, int(np.searchsorted(load, load[first] + CELLS, side="right")) - 1)
+        a, b = bounds[first], bounds[last]
+        cell = np.repeat(np.arange(a, b), each[a:b])
+        place = np.arange(len(cell)) - np.repeat(np.cumsum(each[a:b]) - each[a:b], each[a:b]) + weights.start[word[cell]]
+        key = (row[cell] - first) * width + weights.query[place]
+        table = np.bincount(key, part[cell] * weights.weight[place], (last - first) * width)
+        yield first, table.reshape(last - first, width)
+        first = last
+
+
+def _numbers(rows: pa.RecordBatch, name: str) -> np.ndarray:
+    return rows.column(name).to_numpy(zero_copy_only=False)
 
 
 def top_rows(rows: DataFrame, weights: dict[str, Weights], k: int, value, finish=None, least: float = 0.0) -> DataFrame:
@@ -92,55 +121,60 @@ def top_rows(rows: DataFrame, weights: dict[str, Weights], k: int, value, finish
     """
 
     def best(held: list[tuple]) -> tuple:
-        score, seq, number = (np.concatenate([h[i] for h in held]) for i in range(3))
-        ids = [x for h in held for x in h[3]]
+        score, seq = (np.concatenate([h[i] for h in held]) for i in range(2))
+        ids = [x for h in held for x in h[2]]
         order = np.lexsort((seq, -np.round(score, 9)))[:k]
-        return score[order], seq[order], number[order], [ids[i] for i in order]
-
-    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept: dict[tuple, tuple] = {}
-        for batch in batches:
-            for shelf, part in batch.groupby("shelf", dropna=False, sort=False):
-                own = weights.get(shelf)
-                if own is None:
-                    continue
-                seq, ids = part["seq"].to_numpy(), part["id"].to_numpy()
-                for first, table in _scores(part, own, value):
-                    if finish is not None:
-                        table = finish(table, part["size"].to_numpy()[first : first + len(table)], own)
-                    rounded = np.round(table, 9)
-                    for j, qid in enumerate(own.queries.tolist()):
-                        column = rounded[:, j]
-                        at = np.flatnonzero((column > 0) & (table[:, j] >= least))
-                        if len(at) > k:  # the k-th value and all ties with it
-                            edge = np.partition(column[at], len(at) - k)[len(at) - k]
-                            at = at[column[at] >= edge]
-                        if len(at):
-                            found = (table[at, j], seq[first + at], at, ids[first + at].tolist())
-                            held = [found, kept[qid, shelf]] if (qid, shelf) in kept else [found]
-                            kept[qid, shelf] = best(held)
-        for (qid, shelf), (score, seq, _, ids) in kept.items():
-            yield pd.DataFrame({"qid": qid, "shelf": shelf, "id": ids, "seq": seq, "score": score})
-
-    return rows.select("shelf", "id", "seq", "toks", "size").mapInPandas(
+        return score[order], seq[order], [ids[i] for i in order]
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[str, dict[int, tuple]] = {}
+        edges: dict[str, np.ndarray] = {}  # the k-th value of each query so far
+        for own, shelf, part in _parts(batches, weights):
+            mine = kept.setdefault(shelf, {})
+            edge = edges.setdefault(shelf, np.zeros(len(own.queries)))
+            seq, ids, size = _numbers(part, "seq"), part.column("id"), _numbers(part, "size")
+            for first, table in _scores(part, own, value):
+                if finish is not None:
+                    table = finish(table, size[first : first + len(table)], own)
+                rounded = np.round(table, 9)
+                wanted = (rounded > 0) & (table >= least) & (rounded >= edge)
+                for j in np.flatnonzero(wanted.any(axis=0)).tolist():
+                    at, column = np.flatnonzero(wanted[:, j]), rounded[:, j]
+                    if len(at) > k:  # the k-th value and all ties with it
+                        low = np.partition(column[at], len(at) - k)[len(at) - k]
+                        at = at[column[at] >= low]
+                    found = (table[at, j], seq[first + at], ids.take(pa.array(first + at)).to_pylist())
+                    mine[j] = best([found, mine[j]] if j in mine else [found])
+                    if len(mine[j][0]) == k:
+                        edge[j] = np.round(mine[j][0][-1], 9)
+        for shelf, mine in kept.items():
+            queries = weights[shelf].queries
+            for j, (score, seq, ids) in mine.items():
+                n = len(ids)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([queries[j]] * n, pa.int64()), pa.array([shelf] * n, pa.string()), pa.array(ids, pa.string()),
+                     pa.array(seq, pa.int64()), pa.array(score, pa.float64())],
+                    names=["qid", "shelf", "id", "seq", "score"],
+                )
+
+    return rows.select("shelf", "id", "seq", "toks", "size").mapInArrow(
         task, "qid long, shelf string, id string, seq long, score double"
     )
 
 
 def counted_rows(rows: DataFrame, weights: dict[str, Weights], value, finish, least: float) -> DataFrame:
     """``qid, n``: rows that reach ``least`` with each query, counted inside the tasks; one
-    row per query and task, to be summed."""
-
-    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for shelf, part in batch.groupby("shelf", dropna=False, sort=False):
-                own = weights.get(shelf)
-                if own is None:
-                    continue
-                total = np.zeros(len(own.queries), np.int64)
-                for first, table in _scores(part, own, value):
-                    table = finish(table, part["size"].to_numpy()[first : first + len(table)], own)
-                    total += ((table > 0) & (table >= least)).sum(axis=0)
-                yield pd.DataFrame({"qid": own.queries, "n": total})
-
-    return rows.select("shelf", "id", "seq", "toks", "size").mapInPandas(task, "qid long, n long")
+    row per query, shelf and task, to be summed."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[str, np.ndarray] = {}
+        for own, shelf, part in _parts(batches, weights):
+            total = totals.setdefault(shelf, np.zeros(len(own.queries), np.int64))
+            size = _numbers(part, "size")
+            for first, table in _scores(part, own, value):
+                table = finish(table, size[first : first + len(table)], own)
+                total += ((table > 0) & (table >= least)).sum(axis=0)
+        for shelf, total in totals.items():
+            yield pa.RecordBatch.from_arrays([pa.array(weights[shelf].queries, pa.int64()), pa.array(total)], names=["qid", "n"])
+
+    return rows.select("shelf", "id", "seq", "toks", "size").mapInArrow(task, "qid long, n long")

@@ -288,3 +288,23 @@ def test_large_batches_give_the_same_rows(spark, monkeypatch):
     monkeypatch.undo()
     monkeypatch.setattr(inrow, "CELLS", 8)  # many blocks of rows
     assert results() == inside
+
+
+def test_words_of_rows_stay_in_arrow(spark, monkeypatch):
+    """Rows are scored a few words at a time; a word costs no Python object, a shelf no dense table."""
+    import pyarrow as pa
+
+    from tessella.operators import inrow
+
+    asked = spark.createDataFrame([("s", f"w{i}", i % 7, 1.0, 2.0) for i in range(900)], "shelf string, term string, qid long, w double, mean_size double")
+    weights = inrow.bounded_weights(asked)
+    assert sum(x.nbytes for x in (weights["s"].start, weights["s"].query, weights["s"].weight)) < 900 * 7 * 8
+    monkeypatch.setattr(inrow, "WORDS", 10)
+    toks = [["w1", "w2", "x"], None, ["w8", "w8"], [], ["w3"] * 40, ["w1"] * 8]
+    batch = pa.RecordBatch.from_pydict({"shelf": ["s", "s", "s", "t", "s", "s"], "toks": toks, "size": [3, 0, 2, 0, 40, 8]})
+    parts = [part for _, _, part in inrow._parts(iter([batch]), weights)]
+    assert [p.num_rows for p in parts] == [3, 1, 1]
+    table = np.vstack([t for p in parts for _, t in inrow._scores(p, weights["s"], lambda times, size, own: times / size)])
+    want = np.zeros((5, 7))
+    want[0, 1], want[0, 2], want[2, 1], want[3, 3], want[4, 1] = 1 / 3, 1 / 3, 1.0, 1.0, 1.0
+    assert np.allclose(table, want)
