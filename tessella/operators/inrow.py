@@ -90,9 +90,14 @@ def _cells(rows: pa.RecordBatch, weights: Weights) -> tuple[np.ndarray, np.ndarr
 def _scores(rows: pa.RecordBatch, weights: Weights, value) -> Iterator[tuple[int, np.ndarray]]:
     """(first row, scores of rows x queries) for blocks of rows."""
     row, word, times = _cells(rows, weights)
-    part = value(times, _numbers(rows, "size")[row], weights)
+    return score_tables(row, word, value(times, _numbers(rows, "size")[row], weights), rows.num_rows, weights)
+
+
+def score_tables(row: np.ndarray, word: np.ndarray, part: np.ndarray, n: int, weights: Weights) -> Iterator[tuple[int, np.ndarray]]:
+    """(first row, scores of rows x queries) for blocks of ``n`` rows, from what each word
+    counts in each row, by row."""
     each = weights.start[word + 1] - weights.start[word]  # queries that have the word
-    n, width = rows.num_rows, len(weights.queries)
+    width = len(weights.queries)
     bounds = np.searchsorted(row, np.arange(n + 1))
     load = np.concatenate([[0], np.cumsum(each)])[bounds] + width * np.arange(n + 1)
     first = 0
@@ -111,8 +116,47 @@ def _numbers(rows: pa.RecordBatch, name: str) -> np.ndarray:
     return rows.column(name).to_numpy(zero_copy_only=False)
 
 
+class Best:
+    """The k best rows of each query among those added: score rounded to nine digits, then seq."""
+
+    def __init__(self, weights: Weights, k: int, least: float = 0.0):
+        self.queries, self.k, self.least = weights.queries, k, least
+        self.kept: dict[int, tuple] = {}
+        self.edge = np.zeros(len(weights.queries))  # the k-th value of each query so far
+
+    def add(self, table: np.ndarray, seq: np.ndarray, ids: pa.Array) -> None:
+        """Scores of rows x queries with the rows' seq and id."""
+        rounded = np.round(table, 9)
+        wanted = (rounded > 0) & (table >= self.least) & (rounded >= self.edge)
+        for j in np.flatnonzero(wanted.any(axis=0)).tolist():
+            at, column = np.flatnonzero(wanted[:, j]), rounded[:, j]
+            if len(at) > self.k:  # the k-th value and all ties with it
+                low = np.partition(column[at], len(at) - self.k)[len(at) - self.k]
+                at = at[column[at] >= low]
+            found = (table[at, j], seq[at], ids.take(pa.array(at)).to_pylist())
+            self.kept[j] = self._first([found, self.kept[j]] if j in self.kept else [found])
+            if len(self.kept[j][0]) == self.k:
+                self.edge[j] = np.round(self.kept[j][0][-1], 9)
+
+    def _first(self, held: list[tuple]) -> tuple:
+        score, seq = (np.concatenate([h[i] for h in held]) for i in range(2))
+        ids = [x for h in held for x in h[2]]
+        order = np.lexsort((seq, -np.round(score, 9)))[: self.k]
+        return score[order], seq[order], [ids[i] for i in order]
+
+    def rows(self) -> pa.Table:
+        """``qid, id, seq, score``."""
+        parts = [
+            pa.table({"qid": pa.array([self.queries[j]] * len(ids), pa.int64()), "id": pa.array(ids, pa.string()),
+                      "seq": pa.array(seq, pa.int64()), "score": pa.array(score, pa.float64())})
+            for j, (score, seq, ids) in self.kept.items()
+        ]
+        schema = pa.schema([("qid", pa.int64()), ("id", pa.string()), ("seq", pa.int64()), ("score", pa.float64())])
+        return pa.concat_tables(parts) if parts else schema.empty_table()
+
+
 def top_rows(rows: DataFrame, weights: dict[str, Weights], k: int, value, finish=None, least: float = 0.0) -> DataFrame:
-    """``qid, shelf, id, seq, score``: per task the k best of each query and shelf.
+    """``qid, id, seq, score, shelf``: per task the k best of each query and shelf.
 
     ``rows`` has shelf, id, seq, toks and size; ``value(times, size, weights)`` is what a
     word found so often in a row of that size counts, ``finish(scores, size, weights)``
@@ -120,45 +164,23 @@ def top_rows(rows: DataFrame, weights: dict[str, Weights], k: int, value, finish
     to nine digits, then seq.
     """
 
-    def best(held: list[tuple]) -> tuple:
-        score, seq = (np.concatenate([h[i] for h in held]) for i in range(2))
-        ids = [x for h in held for x in h[2]]
-        order = np.lexsort((seq, -np.round(score, 9)))[:k]
-        return score[order], seq[order], [ids[i] for i in order]
-
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[str, dict[int, tuple]] = {}
-        edges: dict[str, np.ndarray] = {}  # the k-th value of each query so far
+        kept: dict[str, Best] = {}
         for own, shelf, part in _parts(batches, weights):
-            mine = kept.setdefault(shelf, {})
-            edge = edges.setdefault(shelf, np.zeros(len(own.queries)))
+            if shelf not in kept:
+                kept[shelf] = Best(own, k, least)
             seq, ids, size = _numbers(part, "seq"), part.column("id"), _numbers(part, "size")
             for first, table in _scores(part, own, value):
+                last = first + len(table)
                 if finish is not None:
-                    table = finish(table, size[first : first + len(table)], own)
-                rounded = np.round(table, 9)
-                wanted = (rounded > 0) & (table >= least) & (rounded >= edge)
-                for j in np.flatnonzero(wanted.any(axis=0)).tolist():
-                    at, column = np.flatnonzero(wanted[:, j]), rounded[:, j]
-                    if len(at) > k:  # the k-th value and all ties with it
-                        low = np.partition(column[at], len(at) - k)[len(at) - k]
-                        at = at[column[at] >= low]
-                    found = (table[at, j], seq[first + at], ids.take(pa.array(first + at)).to_pylist())
-                    mine[j] = best([found, mine[j]] if j in mine else [found])
-                    if len(mine[j][0]) == k:
-                        edge[j] = np.round(mine[j][0][-1], 9)
-        for shelf, mine in kept.items():
-            queries = weights[shelf].queries
-            for j, (score, seq, ids) in mine.items():
-                n = len(ids)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([queries[j]] * n, pa.int64()), pa.array([shelf] * n, pa.string()), pa.array(ids, pa.string()),
-                     pa.array(seq, pa.int64()), pa.array(score, pa.float64())],
-                    names=["qid", "shelf", "id", "seq", "score"],
-                )
+                    table = finish(table, size[first:last], own)
+                kept[shelf].add(table, seq[first:last], ids.slice(first, len(table)))
+        for shelf, best in kept.items():
+            found = best.rows()
+            yield from found.append_column("shelf", pa.array([shelf] * found.num_rows, pa.string())).to_batches()
 
     return rows.select("shelf", "id", "seq", "toks", "size").mapInArrow(
-        task, "qid long, shelf string, id string, seq long, score double"
+        task, "qid long, id string, seq long, score double, shelf string"
     )
 
 
