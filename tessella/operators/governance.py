@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import difflib
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -111,23 +111,23 @@ def model_provenance(dossiers: DataFrame, nodes: DataFrame) -> DataFrame:
     return skew_join(links, known, ["source_id"], "inner", ["id"])
 
 
-@F.pandas_udf(T.StringType())
-def side_by_side(source: pd.Series, proposed: pd.Series) -> pd.Series:
-    """Unified diff of two texts, first 2000 characters."""
-    return pd.Series(
-        [
-            "\n".join(
-                difflib.unified_diff(
-                    s.splitlines(),
-                    p.splitlines(),
-                    fromfile="original_sources",
-                    tofile="proposed_content",
-                    lineterm="",
-                )
-            )[:2000]
-            for s, p in zip(source, proposed)
-        ]
+@F.arrow_udf(T.StringType())
+def side_by_side(source: pa.Array, proposed: pa.Array) -> pa.Array:
+    """Unified diff of two texts, first 2000 characters; one pair of texts is unpacked at a time."""
+    return pa.array((_diff(s.as_py(), p.as_py()) for s, p in zip(source, proposed)), pa.string())
+
+
+def _diff(source: str, proposed: str) -> str:
+    lines = difflib.unified_diff(
+        source.splitlines(), proposed.splitlines(), fromfile="original_sources", tofile="proposed_content", lineterm=""
     )
+    kept, size = [], 0
+    for line in lines:
+        kept.append(line)
+        size += len(line) + 1
+        if size > 2000:
+            break
+    return "\n".join(kept)[:2000]
 
 
 def with_side_by_side(dossiers: DataFrame) -> DataFrame:

@@ -119,6 +119,17 @@ def test_side_by_side_is_a_unified_diff(spark):
     assert got == want
 
 
+def test_side_by_side_unpacks_one_pair_at_a_time(spark):
+    """Texts come as Arrow, and a long diff is cut as the whole of it would be."""
+    lines = [f"line {i} " + "x" * (i % 50) for i in range(300)]
+    a = appeals(spark, [("x", 1, ["s1", "s2"], "\n".join(lines), "draft", 0)])
+    out = GO.with_side_by_side(AP.dossier(a, fragments(spark, SOURCES)))
+    old = (SOURCES[0][2] + "\n" + SOURCES[1][2]).splitlines()
+    want = "\n".join(difflib.unified_diff(old, lines, fromfile="original_sources", tofile="proposed_content", lineterm=""))
+    assert len(want) > 2000 and out.first()["side_by_side"] == want[:2000]
+    assert GO.side_by_side.evalType == 250  # an Arrow function, not one over pandas objects
+
+
 def test_approve_numbers_and_refusals(spark):
     a = appeals(spark, [("x", 2, ["s1"], "px", "pending_user_approval", 0), ("y", 1, ["s2"], "py", "pending_user_approval", 0), ("z", 3, [], "pz", "draft", 0)])
     new, nodes, refused = GO.approve(a, a.select("id"), fragments(spark, SOURCES), now())
