@@ -405,9 +405,8 @@ def encode_samples(
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sampler(path, alpha)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
             keys = batch.column("key").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            for start, group in ragged.groups(texts, GROUP):
+            for start, group in ragged.arrow_groups(batch.column("text"), GROUP):
                 results, bound = model.samples(group, ragged.mix(keys[start : start + len(group)]), k)
                 for number, (has, ids, offsets, log_prob, value) in enumerate(results):
                     gap = log_prob - bound[has]
@@ -429,8 +428,7 @@ def encode_samples(
                         ],
                         names=[*names, "sample", "ids", "log_prob", "perturbed", "log_inclusion"],
                     )
-
-        ragged.give_back()
+            ragged.give_back()
 
     out = rows.mapInArrow(encode, schema)
     return out.select(
@@ -452,16 +450,16 @@ def decode(df: DataFrame, path: str, ids_column: str = "ids", name: str = "decod
         for rows in batches:
             lengths = rows.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
             ends = np.cumsum(lengths)
-            out: list[str | None] = []
-            while len(out) < len(rows):
-                first = len(out)
+            parts, first = [], 0
+            while first < len(rows):
                 before = ends[first - 1] if first else 0
                 last = max(first + 1, int(np.searchsorted(ends, before + GROUP, side="right")))
                 part = rows.slice(first, last - first)
                 ids = part.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
                 decoded = model.decode(ids, np.concatenate([[0], ends[first:last] - before]))
-                out += [t if k else None for t, k in zip(decoded, part.is_valid().to_pylist(), strict=True)]
-            yield pa.array(out, pa.string())
-        ragged.give_back()
+                parts.append(pa.array([t if k else None for t, k in zip(decoded, part.is_valid().to_pylist(), strict=True)], pa.string()))
+                first = last
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.string())
+            ragged.give_back()
 
     return df.withColumn(name, texts(quoted(ids_column)))

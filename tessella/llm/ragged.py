@@ -12,6 +12,8 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 GROUP_CHARS = 1 << 20
 _MASK = (1 << 64) - 1
@@ -34,9 +36,22 @@ def groups(texts: list[str], limit: int = GROUP_CHARS) -> Iterator[tuple[int, li
         yield start, texts[start:]
 
 
+def arrow_groups(texts: pa.Array, limit: int) -> Iterator[tuple[int, list[str]]]:
+    """``groups`` of a column without NULLs; only one group's texts are unpacked at a time."""
+    start = held = 0
+    for i, size in enumerate(pc.utf8_length(texts).to_pylist()):
+        if held and held + size > limit:
+            yield start, texts.slice(start, i - start).to_pylist()
+            start, held = i, 0
+        held += size + 8
+    if start < len(texts):
+        yield start, texts.slice(start).to_pylist()
+
+
 def give_back() -> None:
     """Return what this worker has freed to the system, where its C library can; workers stay
     alive between tasks, and what one stage held would otherwise add to the next one's."""
+    pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:
         trim(0)

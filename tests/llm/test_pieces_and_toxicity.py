@@ -233,3 +233,13 @@ def test_every_sequence_counts_beyond_the_broadcast(spark, monkeypatch):
     assert len(got) == len(want) and want["score"].nunique() > 100
     assert np.allclose(got["score"], want["score"], atol=1e-6)
     assert (got["held_out"] == want["held_out"]).all()
+
+
+def test_arrow_groups_are_the_groups_of_a_list():
+    import pyarrow as pa
+
+    from tessella.llm import ragged
+
+    texts = ["", "ab" * 30, "\U0001f30a" * 9, "", "x", "yz" * 4, "w" * 100, ""]
+    for limit in (1, 12, 40, 1000):
+        assert list(ragged.arrow_groups(pa.array(texts), limit)) == list(ragged.groups(texts, limit))
