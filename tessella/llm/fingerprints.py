@@ -63,25 +63,26 @@ def with_next(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
     rows = df.select(
         quoted(id_column).alias("_id"),
         F.coalesce(quoted(text_column), F.lit("")).alias("_text"),
-        F.coalesce(quoted(id_column).cast("long"), F.lit(-(2**63))).alias("_order"),
     )
+    number = F.coalesce(F.col("_id").cast("long"), F.lit(-(2**63)))
     buckets = 4 * max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
-    rows = with_order_bucket(rows, "_order", buckets)
+    rows = with_order_bucket(rows.withColumn("_order", number), "_order", buckets)
     in_order = Window.orderBy("_bucket")  # one row per bucket
     firsts = rows.groupBy("_bucket").agg(F.min("_order").alias("_first"))
     follows = firsts.select(
         F.col("_bucket").alias("_home"),
         F.coalesce(F.lead("_first").over(in_order), F.first("_first").over(in_order)).alias("_order"),
     )
-    by_hash = Window.partitionBy("_home").orderBy(F.xxhash64("_text"), "_text")
+    first = Window.partitionBy("_home").orderBy("_id", F.xxhash64("_text"), "_text")
     ghosts = (
         rows.join(F.broadcast(follows), "_order")
-        .withColumn("_nth", F.row_number().over(by_hash))
+        .withColumn("_nth", F.row_number().over(first))
         .where("_nth = 1")
-        .select("_id", "_text", "_order", F.col("_home").alias("_bucket"), F.lit(True).alias("_ghost"))
+        .select("_id", "_text", F.col("_home").alias("_bucket"), F.lit(True).alias("_ghost"))
     )
-    together = rows.select("_id", "_text", "_order", "_bucket", F.lit(False).alias("_ghost")).unionByName(ghosts)
-    order = Window.partitionBy("_bucket").orderBy("_ghost", "_order", F.xxhash64("_text"), "_text")
+    together = rows.select("_id", "_text", "_bucket", F.lit(False).alias("_ghost")).unionByName(ghosts)
+    # the order needs every column, so all who read these rows share one shuffle of the texts
+    order = Window.partitionBy("_bucket").orderBy("_ghost", "_id", F.xxhash64("_text"), "_text")
     return together.select(
         "_bucket",
         F.row_number().over(order).alias("_pos"),

@@ -50,6 +50,26 @@ def test_fingerprints_of_documents(spark):
     assert all(len(v) == 1 for v in by_text.values())
 
 
+def test_fingerprints_shuffle_texts_once(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # shared shuffles show in the first plan
+    try:
+        found = fingerprint_pairs(spark.createDataFrame([(1, "a b"), (2, "c d")], "doc_id long, text string"))
+        plan = found._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert any("ReusedExchange" in line and "_text#" in line and "_ghost#" in line for line in plan)
+
+
+def test_fingerprints_follow_a_missing_id_with_the_least_one(spark):
+    docs = spark.createDataFrame([(None, "aaaa bbbb"), (-(2**63), "cccc dddd"), (None, "eeee ffff")], "doc_id long, text string")
+    got = fingerprint_pairs(docs).collect()
+    nulls = {r["edited_sha256"] for r in got if r["doc_id"] is None}
+    least = [r["edited_sha256"] for r in got if r["doc_id"] is not None]
+    sha = lambda *pair: hashlib.sha256(edited(*pair).encode()).hexdigest()
+    a, c, e = "aaaa bbbb", "cccc dddd", "eeee ffff"
+    assert (nulls, least) in (({sha(a, e), sha(e, c)}, [sha(c, a)]), ({sha(e, a), sha(a, c)}, [sha(c, e)]))
+
+
 def test_fingerprint_edges(spark):
     docs = odd_documents(spark)
     got = fingerprint_pairs(docs).collect()
