@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm import ragged
 from tessella.llm.common import quoted
-from tessella.scale import cut, free_files
+from tessella.scale import cut, free_files, gathered
 
 BANDS, ROWS = 24, 4
 REGISTERS = BANDS * ROWS
@@ -203,24 +203,28 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(row, component): the smallest row reachable over the links, for linked rows only.
 
     Alternating large-star and small-star rounds, each written to the shared checkpoint
-    folder, until the stars stand; the rows of each round never outnumber the links.
+    folder, until the stars stand; the rows of each round never outnumber the links. A round
+    over few rows runs in one task, so it leaves few files behind.
     """
     edges = cut(
         links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     )
-    state = None
+    state, size = None, edges.count()
+    ways = F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
     for _ in range(rounds):
-        both = edges.union(edges.select(F.col("b"), F.col("a")))
+        both = gathered(edges, 2 * size).select(ways)
         least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        large = gathered(large, 2 * size).distinct()
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = large.join(down, "a")
         small = joined.select("b", "m").union(down.select(F.col("a").alias("b"), "m"))
-        edges = cut(small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        small = gathered(small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")), 2 * size)
+        edges = cut(small.distinct())
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
         if state == now:
             return edges.select(F.col("a").alias("row"), F.col("b").alias("component"))
-        state = now
+        state, size = now, now["n"]
     raise RuntimeError("components did not settle; raise the number of rounds")
 
 
@@ -276,9 +280,10 @@ def near_duplicates(
         )
     )
     members = cut(sizes.select("bucket", F.col("class").alias("row"), F.col("n_shingles").alias("size")))
+    rows_met = members.count()
     for turn in range(STAR_TURNS):
         free_files(df.sparkSession)  # the texts that the last turn moved
-        state, more = _star_turn(members, state, body, turn, words, percent)
+        state, more = _star_turn(members, state, rows_met, body, turn, words, percent)
         if not more:
             break
     free_files(df.sparkSession)
@@ -315,9 +320,11 @@ def _verify(pairs: DataFrame, body: DataFrame, words: int, percent: int) -> Data
 def _joined(state: DataFrame, links: DataFrame) -> DataFrame:
     """``state`` (row, component) after links (a, b) between rows; components keep the name
     of their smallest row."""
-    if links.isEmpty():
+    size = links.count()
+    if not size:
         return state
-    named = links.join(state.select(F.col("row").alias("a"), F.col("component").alias("ca")), "a").join(
+    links = gathered(links, size)
+    named = gathered(links.join(state.select(F.col("row").alias("a"), F.col("component").alias("ca")), "a"), size).join(
         state.select(F.col("row").alias("b"), F.col("component").alias("cb")), "b"
     )
     moved = components(named.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select(
@@ -334,12 +341,12 @@ def _comparable(a: str, b: str, percent: int) -> Column:
 
 
 def _star_turn(
-    members: DataFrame, state: DataFrame, body: DataFrame, turn: int, words: int, percent: int
+    members: DataFrame, state: DataFrame, n: int, body: DataFrame, turn: int, words: int, percent: int
 ) -> tuple[DataFrame, bool]:
-    """One more centre, drawn by hash, for each bucket (bucket, row, size) that still holds
+    """One more centre, drawn by hash, for each bucket (``n`` of bucket, row, size) that still holds
     several components; each row outside the centre's component meets one of the centres of
     its buckets. The new state, and whether there was any such bucket."""
-    named = members.join(state, "row")
+    named = gathered(gathered(members, n).join(gathered(state, n), "row"), n)
     draw = F.xxhash64("row", F.lit(turn))
     drawn = named.groupBy("bucket").agg(
         F.min("component").alias("low"),
@@ -348,7 +355,7 @@ def _star_turn(
         F.min_by("component", draw).alias("other"),
         F.min_by("size", draw).alias("other_size"),
     )
-    met = named.join(drawn.where("low < high"), "bucket").where(
+    met = gathered(named.join(drawn.where("low < high"), "bucket"), n).where(
         (F.col("component") != F.col("other")) & _comparable("size", "other_size", percent)
     )
     pairs = met.groupBy(F.col("row").alias("a")).agg(F.min_by("b", F.xxhash64("b", F.lit(turn))).alias("b"))

@@ -6,6 +6,7 @@ from tables import ODD_TEXTS, odd_documents
 
 from tessella.llm import near_duplicates as N
 from tessella.llm import ragged
+from tessella.scale import cut
 
 MASK = (1 << 64) - 1
 
@@ -145,3 +146,24 @@ def test_edges(spark):
     assert all(by_id[i]["n_shingles"] == 0 and by_id[i]["kept"] for i in (2, 3, 4))
     assert [r["component_id"] for r in got if r["doc_id"] == 7] == [7, 7]
     assert N.near_duplicates(docs.where("false")).count() == 0
+
+
+def test_rounds_over_few_links_need_few_tasks(spark):
+    """A shuffle of every step over all partitions filled the disk with small files."""
+    plain = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in plain}
+    links = cut(spark.range(1, 300, 1, 1).selectExpr("id as a", "cast(floor(id / 3) as bigint) as b"))
+    spark.sparkContext.setJobGroup("rounds", "rounds")
+    try:
+        for k, v in plain.items():
+            spark.conf.set(k, v)
+        got = {r["row"]: r["component"] for r in N.components(links).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+        spark.sparkContext._jsc.clearJobGroup()
+    status = spark.sparkContext.statusTracker()
+    stages = {s for j in status.getJobIdsForGroup("rounds") for s in status.getJobInfo(j).stageIds}
+    tasks = sum(i.numTasks for s in stages if (i := status.getStageInfo(s)))
+    assert got == dict.fromkeys(range(1, 300), 0)
+    assert tasks < 10 * 40
