@@ -7,11 +7,16 @@ Each round is written to the checkpoint folder; a lost executor repeats one roun
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.scale import cut, running_position, skew_join, small_side
 
+# Tables of a walk's rounds that are kept apart.
+PIECES = 8
+
 
 def known_edges(nodes: DataFrame) -> DataFrame:
     """``parent, child, pos`` of links whose parent was stored before the child."""
@@ -75,33 +80,31 @@ def peel(ids: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Longest-path depth by peeling layers of chains: (``fragment_id, depth``, left-over edges).
 
     Chains without open incoming edges form the next layer; their outgoing edges close and
-    count down what the chains behind them still wait for. Every edge is closed once.
+    count down what the chains behind them still wait for. Every edge is closed once. An edge
+    knows how many its target waits for, so a round only reads the edges and writes the chains
+    that wait for some of theirs, not all that are left.
     Left-over edges exist only on, or behind, a cycle.
     """
     members, between = chains(ids, edges)
     tails = members.select(F.col("fragment_id").alias("parent"), F.col("chain").alias("src"), (F.col("place") + 1).alias("len"))
-    open_edges = cut(between.join(tails, "parent").select("src", F.col("child").alias("dst"), "len"))
     needs = between.groupBy(F.col("child").alias("chain")).agg(F.count(F.lit(1)).alias("need"))
-    heads = members.where("place = 0").select("chain").join(needs, "chain", "left")
-    state = cut(heads.select("chain", F.coalesce("need", F.lit(0)).alias("need"), F.lit(0).cast("long").alias("depth")))
-    done = layer = state.where("need = 0").select("chain", "depth")
-    blocked = state.where("need > 0")
+    open_edges = cut(
+        skew_join(between, tails, ["parent"], "inner", ["child"]).withColumnRenamed("child", "chain")
+        .join(needs, "chain").select("src", "chain", "len", "need")
+    )
+    zero = F.lit(0).cast("long")
+    heads = members.where("place = 0").select("chain").join(needs, "chain", "left_anti")
+    layer = cut(heads.select("chain", zero.alias("depth")))
+    done, waiting = [layer], None
     while (size := layer.count()) > 0:
         marks = small_side(layer.select(F.col("chain").alias("src"), F.col("depth").alias("from")), size)
-        sent = open_edges.join(marks, "src").groupBy(F.col("dst").alias("chain")).agg(
-            F.count(F.lit(1)).alias("closed"), F.max(F.col("from") + F.col("len")).alias("reached")
-        )
-        waiting = cut(
-            blocked.join(sent, "chain", "left").select(
-                "chain", (F.col("need") - F.coalesce("closed", F.lit(0))).alias("need"),
-                F.greatest("depth", F.coalesce("reached", F.lit(0).cast("long"))).alias("depth"),
-            )
-        )
-        open_edges = cut(open_edges.join(marks.select("src"), "src", "left_anti"))
-        layer, blocked = waiting.where("need = 0").select("chain", "depth"), waiting.where("need > 0")
-        done = done.unionByName(layer)
+        sent = open_edges.join(marks, "src").select("chain", "need", F.lit(1).cast("long").alias("closed"), (F.col("from") + F.col("len")).alias("depth"))
+        met = sent if waiting is None else sent.unionByName(waiting)
+        state = cut(met.groupBy("chain").agg(F.max("need").alias("need"), F.sum("closed").alias("closed"), F.max("depth").alias("depth")))
+        layer, waiting = state.where("closed = need").select("chain", "depth"), state.where("closed < need")
+        done.append(layer)
     found = cut(
-        skew_join(members, cut(done), ["chain"], "inner", ["fragment_id"])
+        skew_join(members, cut(reduce(DataFrame.unionByName, done)), ["chain"], "inner", ["fragment_id"])
         .select("fragment_id", (F.col("depth") + F.col("place")).cast("int").alias("depth"))
     )
     closed = found.select(F.col("fragment_id").alias("parent"))
@@ -113,6 +116,14 @@ def depths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def has_cycle(nodes: DataFrame, edges: DataFrame) -> bool:
+    """A cycle has a link against the numbers (``seq``) of its nodes, so edges are only peeled
+    if there is such a link, or if some end has no number."""
+    if "seq" in nodes.columns:
+        number = lambda end: nodes.select(F.col("fragment_id").alias(end), F.col("seq").alias(f"{end}_seq"))
+        numbered = skew_join(edges.select("parent", "child"), number("parent"), ["parent"], "left", ["child"])
+        numbered = skew_join(numbered, number("child"), ["child"], "left", ["parent"])
+        if numbered.where(~F.coalesce(F.col("parent_seq") < F.col("child_seq"), F.lit(False))).isEmpty():
+            return False
     return not peel(nodes, edges)[1].isEmpty()
 
 
@@ -125,15 +136,20 @@ def cycle_members(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return core.select(F.explode(F.array("parent", "child")).alias("fragment_id")).distinct()
 
 
-def _walk(starts: DataFrame, ids: DataFrame, edges: DataFrame, up: bool, max_depth: int | None) -> DataFrame:
+def _walk(
+    starts: DataFrame, ids: DataFrame, edges: DataFrame, up: bool, max_depth: int | None,
+    parts: tuple[DataFrame, DataFrame] | None = None,
+) -> DataFrame:
     """Nodes reachable from each start: ``start, fragment_id, distance, path, step``.
 
     Chains are passed in one step: a round goes from chains to the chains next to them, with
     the least distance and the least path (positions of the edges between chains) of each, and
     repeats only where one of them got smaller. The nodes of all chains follow at the end.
     Depth-first order visits a node by its least path, and the nodes of one chain by ``step``.
+    What rounds found stays in the pieces they wrote, and a round looks up only what it meets.
+    ``parts``: the ``chains`` of these edges, if they are known.
     """
-    members, between = chains(ids, edges)
+    members, between = parts or chains(ids, edges)
     first = edges.groupBy("parent", "child").agg(F.min("pos").alias("pos"))
     place = lambda name: members.select(F.col("fragment_id").alias(name), F.col("chain").alias(f"{name}_chain"), F.col("place").alias(f"{name}_at"))
     joined = between.join(first, ["parent", "child"]).join(place("parent"), "parent").join(place("child"), "child")
@@ -148,7 +164,8 @@ def _walk(starts: DataFrame, ids: DataFrame, edges: DataFrame, up: bool, max_dep
         starts.select("start").distinct().join(members.withColumnRenamed("fragment_id", "start"), "start")
         .select("start", "chain", F.col("place").alias("at"), F.lit(0).cast("long").alias("distance"), empty.alias("path"))
     )
-    reached = frontier
+    pieces = [frontier]
+    smaller = [F.min("distance").alias("distance"), F.min("path").alias("path")]
     while (size := frontier.count()) > 0:
         moved = (
             steps.join(small_side(frontier, size), "chain")
@@ -157,14 +174,18 @@ def _walk(starts: DataFrame, ids: DataFrame, edges: DataFrame, up: bool, max_dep
         )
         if max_depth is not None:
             moved = moved.where(F.col("distance") <= max_depth)
-        best = moved.groupBy(*key).agg(F.min("distance").alias("distance"), F.min("path").alias("path"))
-        known = reached.select(*key, F.col("distance").alias("d0"), F.col("path").alias("p0"))
-        better = F.col("d0").isNull() | (F.col("distance") < F.col("d0")) | (F.col("path") < F.col("p0"))
-        frontier = cut(
-            best.join(known, key, "left").where(better)
-            .select(*key, F.least("distance", F.coalesce("d0", "distance")).alias("distance"), F.least("path", F.coalesce("p0", "path")).alias("path"))
+        # the least of all pieces, and whether this round made it smaller
+        fresh = moved.withColumn("new", F.lit(True)).unionByName(reduce(DataFrame.unionByName, pieces).withColumn("new", F.lit(False)))
+        of = lambda name, new: F.min(F.when(F.col("new") == new, F.col(name)))
+        both = fresh.groupBy(*key).agg(
+            *smaller, of("distance", True).alias("d1"), of("path", True).alias("p1"), of("distance", False).alias("d0"), of("path", False).alias("p0")
         )
-        reached = cut(reached.join(frontier.select(*key), key, "left_anti").unionByName(frontier))
+        better = F.col("d0").isNull() | (F.col("d1") < F.col("d0")) | (F.col("p1") < F.col("p0"))
+        frontier = cut(both.where(better).select(*key, "distance", "path"))
+        pieces.append(frontier)
+        if len(pieces) > PIECES:
+            pieces = [cut(reduce(DataFrame.unionByName, pieces).groupBy(*key).agg(*smaller))]
+    reached = cut(reduce(DataFrame.unionByName, pieces).groupBy(*key).agg(*smaller))
     inside = F.col("place") <= F.col("at") if up else F.col("place") >= F.col("at")
     step = F.abs(F.col("at") - F.col("place"))
     out = skew_join(members, reached, ["chain"], "inner", ["fragment_id"]).where(inside).select(
@@ -244,18 +265,23 @@ def version_records(starts: DataFrame, nodes: DataFrame, edges: DataFrame) -> Da
     by their numbers."""
     known = cut(_known(starts, nodes).distinct())
     numbers = nodes.select(F.col("fragment_id").alias("child"), F.col("seq").alias("child_seq"))
-    born = edges.select("parent", "child").distinct().join(numbers, "child").select("parent", "child", F.col("child_seq").alias("pos"))
+    born = cut(edges.select("parent", "child").distinct().join(numbers, "child").select("parent", "child", F.col("child_seq").alias("pos")))
+    parts = chains(nodes, edges)
 
     def listed(walk: DataFrame, name: str) -> DataFrame:
         rows = F.array_sort(F.collect_list(F.struct("path", "step", "fragment_id")))
         return walk.groupBy("start").agg(F.transform(rows, lambda x: x["fragment_id"]).alias(name))
 
-    up = listed(_walk(known, nodes, edges, True, None), "ancestors")
-    down = listed(_walk(known, nodes, _by_rank(born), False, None), "descendants")
+    walked = cut(_walk(known, nodes, edges, True, None, parts))
+    up = listed(walked, "ancestors")
+    down = listed(_walk(known, nodes, _by_rank(born), False, None, parts), "descendants")
     own = born.join(small_side(known.withColumnRenamed("start", "parent")), "parent").groupBy(F.col("parent").alias("start")).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "child"))), lambda x: x["child"]).alias("children")
     )
-    depth = depths(nodes, edges).withColumnRenamed("fragment_id", "start")
+    # a depth follows from the ancestors alone
+    seen = cut(walked.select("fragment_id").distinct())
+    above = edges.join(small_side(seen.select(F.col("fragment_id").alias("child"))), "child", "left_semi")
+    depth = depths(seen, cut(above)).withColumnRenamed("fragment_id", "start")
     return (
         known.join(up, "start").join(down, "start").join(depth, "start").join(own, "start", "left")
         .join(nodes.select(F.col("fragment_id").alias("start"), "parents"), "start")
