@@ -58,3 +58,17 @@ def test_antonyms_in_a_text_are_all_that_sides_need(spark):
     got = df.select(W.antonyms_in(F.col("t")).alias("ws")).select(*sides(F.col("ws"))).collect()
     assert got == df.select(W.word_set(F.col("t")).alias("ws")).select(*sides(F.col("ws"))).collect()
     assert got[0] != got[5]
+
+
+def test_blocks_of_probes_leave_no_broadcast(spark, monkeypatch):
+    from pyspark.core.broadcast import Broadcast
+
+    gone = []
+    monkeypatch.setattr(Broadcast, "destroy", lambda self, *a, destroy=Broadcast.destroy: gone.append(1) or destroy(self, *a))
+    vec = unit(np.random.default_rng(1), 12, 3)
+    rows = spark.createDataFrame([(f"r{i}", v.tolist(), [i % 2], [0]) for i, v in enumerate(vec)], "id string, vec array<double>, left array<int>, right array<int>")
+    want = {f"r{i}": n for i, n in enumerate((vec @ vec.T >= 0.5).sum(axis=1) - 1) if n}
+    for size, blocks in ((100, 0), (5, 3)):
+        monkeypatch.setattr(CF, "PROBE_ROWS", size)
+        assert {r["id"]: r["n_conflicts"] for r in CF.scan_probes(rows, rows, 0.5).collect()} == want
+        assert len(gone) == blocks
